@@ -129,3 +129,14 @@ def description(wikitext: Column) -> Column:
     first = F.get(prose, F.lit(0))
     sentence = F.coalesce(group(first, r"^([^.!?]+[.!?])", 1), F.substring(first, 1, 150))
     return F.coalesce(F.substring(trim_all(sentence), 1, 200), F.lit(""))
+
+
+def with_suffixes(slugs: Column) -> Column:
+    """Make the slugs of one article unique: in order, each takes the fewest
+    '-x' that give a slug not used before."""
+
+    def step(used: Column, s: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda n: F.concat(s, F.repeat(F.lit("-x"), n)))
+        return F.concat(used, F.slice(F.filter(tries, lambda t: ~F.array_contains(used, t)), 1, 1))
+
+    return F.aggregate(slugs, F.array().cast("array<string>"), step)

@@ -184,7 +184,7 @@ SELECT a.lane_id, a.slug, a.laneset_id, a.ordinal, CAST(a.lng AS DOUBLE) x1, CAS
  FROM v_ring a JOIN v_ring b ON a.lane_id=b.lane_id AND b.vtx=a.vtx+1""",
     "v_hit": """
 SELECT p.entry_id, e.lane_id, e.slug, e.laneset_id, e.ordinal FROM v_locations p
- JOIN v_edge e ON ((y1>p.lat) <> (y2>p.lat)) AND p.lng < (x2-x1)*(p.lat-y1)/(y2-y1)+x1
+ JOIN v_edge e ON ((y1>p.lat) <> (y2>p.lat)) AND p.lng < (x1-x2)*(p.lat-y2)/(y1-y2)+x2
  WHERE p.ordinal=0 GROUP BY p.entry_id, e.lane_id, e.slug, e.laneset_id, e.ordinal HAVING count(*)%2=1""",
     "v_wikitext": """
 SELECT doc_id AS page_id, concat('Doc ',CAST(doc_id AS STRING)) AS title,
