@@ -13,6 +13,7 @@ from chronofold.functions.coords import LOCATION_MAP, page_points
 from chronofold.functions.dates import parse_date
 from chronofold.functions.text import WS, description, slug
 from chronofold.operators.catalog import DEFAULT_TYPES, category_of, infobox_types, primary_type
+from chronofold.runtime import keep_if
 
 # Infobox fields that date an entry, by category, best first.
 # A # stands for an optional number at the end of the name.
@@ -143,7 +144,7 @@ def judge_pages(pages: DataFrame, rules: IngestRules = IngestRules()) -> DataFra
     to Python or searched for points and dates.
     """
     df = pages.withColumn("infobox_type", primary_type(infobox_types(F.col("wikitext")), rules.include))
-    df = df.filter(F.col("infobox_type").isNotNull()).withColumn("category", category_of(F.col("infobox_type")))
+    df = keep_if(df, F.col("infobox_type").isNotNull()).withColumn("category", category_of(F.col("infobox_type")))
     out = F.col("category").isin(*rules.exclude_categories) if rules.exclude_categories else F.lit(False)
     df = df.withColumn("live", F.when(~out, F.col("wikitext")))
     df = df.withColumn("templates", page_templates(needs_templates(F.col("live"))))
@@ -169,7 +170,7 @@ def extract_entries(judged: DataFrame) -> DataFrame:
     s, e = F.col("dates.start"), F.col("dates.end")
     point = lambda p: F.struct(F.lit("point").alias("type"), p["lat"].alias("lat"), p["lng"].alias("lng"))
     end = lambda part: F.when(e.isNotNull(), e[f"start_{part}"]).otherwise(s[f"end_{part}"]).alias(f"end_{part}")
-    return judged.filter("reject_reason IS NULL").select(
+    return keep_if(judged, F.col("reject_reason").isNull()).select(
         slug(F.col("title")).alias("id"), "title", F.transform("points", point).alias("locations"),
         s["start_year"].alias("start_year"), s["start_month"].alias("start_month"), s["start_day"].alias("start_day"),
         end("year"), end("month"), end("day"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronofold.functions.text import let
 from chronofold.operators.scans import Running, running
-from chronofold.runtime import small_enough
+from chronofold.runtime import keep_if, small_enough
 
 CELL_DEGREES = 4.0
 PIECE_ROWS = 50_000
@@ -147,7 +147,7 @@ def first_containing(points: DataFrame, polygons: DataFrame, point_keys: list[st
             F.sort_array(F.collect_list(F.struct(order, name, "edge_rings"))).alias("c"))
         hit = grid.join(F.broadcast(cells), ["cx", "cy"]).select(*point_keys, *group, F.get(F.filter(
             "c", lambda c: inside_rings(c["edge_rings"], F.col("lng"), F.col("lat"))), F.lit(0))[name].alias(name))
-        return hit.filter(F.col(name).isNotNull())
+        return keep_if(hit, F.col(name).isNotNull())
     hit = grid.join(p, ["cx", "cy"]).filter(inside_rings(F.col("edge_rings"), F.col("lng"), F.col("lat")))
     return (hit.groupBy(*point_keys, *group).agg(F.min(F.struct(order, name)).alias("m"))
             .select(*point_keys, *group, F.col(f"m.{name}").alias(name)))

@@ -126,14 +126,12 @@ def coordinate_forms(spark, sf):
 
 
 @query("same_latitude_points", """
-SELECT entry_id, ordinal, lat, lng FROM v_locations l WHERE ordinal=0 OR NOT EXISTS (SELECT 1 FROM v_locations o WHERE o.entry_id=l.entry_id AND o.ordinal<l.ordinal AND abs(o.lat-l.lat)<0.0001)""", ("v_locations",))
+SELECT entry_id, lat, lng FROM v_locations l WHERE ordinal=0 OR NOT EXISTS (SELECT 1 FROM v_locations o WHERE o.entry_id=l.entry_id AND o.ordinal<l.ordinal AND abs(o.lat-l.lat)<0.0001)""", ("v_locations",))
 def same_latitude_points(spark, sf):
     """Later points on an earlier point's latitude drop out."""
     loc = v.locations(spark, sf).groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "lat", "lng"))).alias("l"))
-    kept = F.transform(F.filter("l", lambda x, i: ~F.exists(F.slice("l", 1, i), lambda o: F.abs(o["lat"] - x["lat"]) < coords.SAME_LATITUDE)), lambda x: x)
-    check = F.size(coords.distinct_points(F.transform("l", lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng")))))
-    df = loc.select("entry_id", kept.alias("k"), check.alias("c"))
-    return df.filter(F.size("k") == F.col("c")).select("entry_id", F.explode("k").alias("x")).select("entry_id", "x.*")
+    points = F.transform("l", lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng")))
+    return loc.select("entry_id", F.explode(coords.distinct_points(points)).alias("p")).select("entry_id", "p.*")
 
 
 @query("descriptions", _with("SELECT page_id, coalesce(trim(sentence)[1:200],'') AS description FROM p", True), ("v_wikitext",))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows of a side that may be broadcast.  The sides it is used on hold a few
 # short columns, so this is some tens of megabytes at the very most.
@@ -48,3 +48,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df when a count proves it small, else leave the join to
     shuffle (with adaptive skew splitting)."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly columns without computing them again.
+
+    A plain filter is pushed below the projections that make the columns, which
+    repeats their expressions (over a chain of columns, many times over).  A
+    generator is not pushed down, so each column is made once.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("__keep")).drop("__keep")
