@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chronofold.operators.scans import ordinals
+from chronofold.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt out over the cores for work that is heavy per text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _pick(c: Column, names: list[str], last: str) -> Column:
     out = None
     for i, n in enumerate(names):
@@ -91,7 +97,7 @@ def ring_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    d, i = texts(spark, sf_dir), F.col("doc_id")
 
     def s(c):
         return c.cast("string")

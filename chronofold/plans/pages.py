@@ -88,7 +88,7 @@ SELECT doc_id, CASE WHEN regexp_matches(s,'hijri|ah\\b|هـ') THEN 'islamic' WHE
 FROM (SELECT doc_id, lower(text) AS s FROM documents)""")
 def calendar_and_style(spark, sf):
     t = F.col("text")
-    return v.table(spark, sf, "documents").select("doc_id", dates.calendar(t).alias("calendar"), dates.style(t).alias("style"))
+    return v.texts(spark, sf).select("doc_id", dates.calendar(t).alias("calendar"), dates.style(t).alias("style"))
 
 
 @query("uncertainty_table", """
@@ -223,5 +223,5 @@ SELECT doc_id, md5(replace(replace(replace(text,chr(9),'\\t'),chr(10),'\\n'),chr
 def field_escape(spark, sf):
     t = F.col("text")
     e = escape_field(t)
-    return v.table(spark, sf, "documents").select("doc_id", F.md5(e).alias("escaped"),
+    return v.texts(spark, sf).select("doc_id", F.md5(e).alias("escaped"),
                                                   (unescape_field(e) == F.replace(t, F.lit("\r"), F.lit(""))).alias("same_again"))

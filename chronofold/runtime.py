@@ -58,3 +58,10 @@ def keep_if(df: DataFrame, condition: Column) -> DataFrame:
     generator is not pushed down, so each column is made once.
     """
     return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("__keep")).drop("__keep")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when the input has fewer splits than there are cores, as a
+    single small file does; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
