@@ -67,26 +67,26 @@ def rules_for(categories: list[str] | None, rules: list[CategoryRule] = CATEGORY
     return got
 
 
-def descendants(edges: DataFrame, roots: DataFrame, hops: int = 4) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, type): every type that reaches a root in zero or more steps.
 
-    edges: (child, parent); roots: (root).  Breadth first from the roots, a few
+    edges: (child, parent); roots: (root).  Breadth first from the roots, several
     hops per round; each round's new pairs are written out, so neither the plan
     nor the work to redo after a lost executor grows.  Cycles end by themselves:
     a known pair is never new.
     """
     edges = edges.select("child", "parent")
     few_edges = small_enough(edges, EDGE_ROWS)
-    down = F.broadcast(edges) if few_edges else edges
+    hops = 6 if few_edges else 2
     known = frontier = roots.select("root", F.col("root").alias("type")).distinct()
     while True:
-        step, found = frontier if few_edges else broadcast_if_small(frontier), None
-        for _ in range(hops):
-            step = step.join(down, F.col("type") == F.col("parent")).select("root", F.col("child").alias("type"))
-            if not few_edges:
-                step = step.distinct()
-            found = step if found is None else found.unionAll(step)
-        frontier = cut(found.distinct().join(known, ["root", "type"], "left_anti"), "closure")
+        step = frontier.withColumnRenamed("type", "t0") if few_edges else broadcast_if_small(frontier.withColumnRenamed("type", "t0"))
+        for n in range(hops):
+            e = edges.select(F.col("parent").alias(f"t{n}"), F.col("child").alias(f"t{n + 1}"))
+            step = step.join(F.broadcast(e) if few_edges else e, f"t{n}", "left" if n else "inner")
+        met = F.explode(F.array(*[F.col(f"t{n + 1}") for n in range(hops)])).alias("type")
+        found = step.select("root", met).filter("type IS NOT NULL").distinct()
+        frontier = cut(found.join(known, ["root", "type"], "left_anti"), "closure")
         if frontier.isEmpty():
             return known
         known = known.unionAll(frontier)
