@@ -108,7 +108,7 @@ def network(spark, sf):
     """Lines along 100-step strips, cut after every tenth; a third runs backwards."""
     i = F.col("o_orderkey")
     lat = (F.floor(i / 100) % 1500).cast("double") / 10 - 75
-    at = lambda k: F.struct(lat.alias("lat"), ((i % 100 + F.floor(i / 150000) * 0 + k).cast("double") / 5 - 60).alias("lng"))
+    at = lambda k: F.struct(lat.alias("lat"), ((i % 100 + k).cast("double") / 5 - 60).alias("lng"))
     a, b = F.array(at(F.lit(0)), at(F.lit(1))), F.array(at(F.lit(1)), at(F.lit(0)))
     return v.table(spark, sf, "orders").filter("o_orderkey % 10 <> 9").select(
         i.alias("line"), F.when(i % 3 == 0, b).otherwise(a).alias("points"))
@@ -124,12 +124,12 @@ def merged_lines(spark, sf):
 @query("section_report", """
 WITH s AS (SELECT o_orderkey-o_orderkey%10 AS chain, count(*) AS n_lines, sum(2*6371*asin(sqrt(pow(cos(radians(lat)),2)*pow(sin(radians(0.2)/2),2)))) AS km
  FROM (SELECT o_orderkey, (floor(o_orderkey/100)%1500)/10-75 AS lat FROM orders WHERE o_orderkey%10<>9) GROUP BY 1)
-SELECT chain, n_lines, round(km,3) AS length_km FROM s WHERE km>=100""")
+SELECT chain, n_lines, round(km,3) AS length_km FROM s WHERE km>=60""")
 def section_report(spark, sf):
-    """Chains of at least 100 km."""
+    """Chains of at least 60 km."""
     lines = network(spark, sf)
     s = J.chain_lengths(lines, J.merge_lines(lines))
-    return f.at_least_km(s, 100.0).select("chain", "n_lines", F.round("length_km", 3).alias("length_km"))
+    return f.at_least_km(s, 60.0).select("chain", "n_lines", F.round("length_km", 3).alias("length_km"))
 
 
 @query("section_labels", """
