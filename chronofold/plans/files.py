@@ -1,0 +1,243 @@
+"""Queries that write the derived tables in a file format and read them back."""
+
+from pyspark.sql import functions as F
+
+from chronofold.operators import catalog as C, routes as J, spatial as sp
+from chronofold.operators.facts import as_entries, merge_by_id
+from chronofold.plans import fixtures as v
+from chronofold.plans.places import polygons
+from chronofold.plans.registry import query
+from chronofold.runtime import shared_path
+from chronofold.sources import dump, files, sinks
+
+
+def written(spark, df, label):
+    path = shared_path(spark, label)
+    df.write.text(path)
+    return path
+
+
+@query("index_scan", """SELECT CAST(floor(doc_id/100)*650+17 AS BIGINT) AS "offset", doc_id AS article_id, concat('Doc: ',CAST(doc_id AS STRING)) AS title FROM documents WHERE doc_id%9<>4""")
+def index_scan(spark, sf):
+    i = F.col("doc_id")
+    line = F.when(i % 9 == 4, F.concat(F.lit("bad line "), i.cast("string"))).otherwise(F.concat(
+        (F.floor(i / 100) * 650 + 17).cast("string"), F.lit(":"), i.cast("string"), F.lit(":Doc: "), i.cast("string")))
+    path = written(spark, v.table(spark, sf, "documents").select(line.alias("value")), "index")
+    return dump.read_index(spark, path).select("offset", "article_id", "title")
+
+
+def stored(spark, sf):
+    e = v.entries_with_tags(spark, sf)
+    i = F.col("id")
+    loc = F.when(i % 4 == 0, F.lit("[]")).when(i % 4 == 1, F.lit('[{"type":"circle","centerLat":5.5,"centerLng":6.5,"radiusKm":20,"label":"a"}]')).when(
+        i % 4 == 2, F.lit('[{"type":"point","lat":1.5,"lng":2.5},{"type":"path","waypoints":[{"lat":1,"lng":2,"t":0.5,"label":"x"},{"lat":3,"lng":4}]}]')).otherwise(
+        F.lit('[{"type":"polygon","rings":[[[0,0],[4,0],[4,4],[0,0]]],"uncertain":true}]'))
+    from chronofold.schema import LOCATIONS
+    zero = F.lit(0)
+    return e.select(F.col("slug").alias("id"), F.concat("title", F.lit("\tx\ny")).alias("title"), F.from_json(loc, LOCATIONS).alias("locations"),
+                    "start_year", zero.alias("start_month"), zero.alias("start_day"), "end_year", zero.alias("end_month"), zero.alias("end_day"),
+                    F.lit("a \"b\"").alias("start_expr"), F.lit(" ").alias("end_expr"), F.when(i % 3 == 0, "").otherwise("julian").alias("calendar"),
+                    F.lit(20).alias("uncertainty_years"), F.when(F.col("category") == "concepts", "invention").otherwise(F.col("category")).alias("category"),
+                    F.lit("").alias("infobox_type"), "description", "tags")
+
+
+@query("entry_file", """
+SELECT slug, concat(title,chr(9),'x',chr(10),'y') AS title, start_year, end_year, CASE WHEN id%3=0 THEN 'gregorian' ELSE 'julian' END AS calendar, 20.0::DOUBLE AS uncertainty_years,
+ CASE WHEN category='concepts' THEN 'other' ELSE category END AS category, description, tag AS tags, CAST(CASE id%4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS INT) AS n_locations FROM v_entries""", ("v_entries",))
+def entry_file(spark, sf):
+    """Entries written as 17-column text and read back."""
+    path = shared_path(spark, "entries-tsv")
+    sinks.write_entries(stored(spark, sf), path)
+    e = files.read_entries(spark, path)
+    return e.select("slug", "title", "start_year", "end_year", "calendar", "uncertainty_years", "category", "description",
+                    F.array_join("tags", ",").alias("tags"), F.size("locations").alias("n_locations"))
+
+
+@query("entry_file_rules", """
+SELECT concat('o-',CAST(o_orderkey AS STRING)) AS slug, CAST(CASE o_orderkey%8 WHEN 0 THEN 12 ELSE o_orderkey%3000 END AS INT) AS start_year, CASE WHEN o_orderkey%8=5 THEN 0 ELSE 1 END AS n_tags FROM orders WHERE o_orderkey%8 IN (0,4,5,6,7)""")
+def entry_file_rules(spark, sf):
+    """Lines that break a rule drop out; a number may be followed by text."""
+    i = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    year = F.when(i % 8 == 0, "12th").when(i % 8 == 1, "unknown").otherwise(s(i % 3000))
+    loc = F.when(i % 8 == 2, '{"type":"point"}').when(i % 8 == 3, "[{").otherwise("[]")
+    tags = F.when(i % 8 == 5, "[oops").otherwise('["t"]')
+    line = F.concat_ws("\t", F.concat(F.lit("o-"), s(i)), F.lit("t"), loc, year, F.lit("0"), F.lit("0"), s(i % 3000 + 5), F.lit("0"), F.lit("0"),
+                       F.lit("a"), F.lit("b"), F.lit(""), F.lit("x"), F.lit("event"), F.lit(""), F.lit("d"), tags)
+    path = written(spark, v.table(spark, sf, "orders").select(line.alias("value")), "lines")
+    return files.read_entries(spark, path).select("slug", "start_year", F.size("tags").alias("n_tags"))
+
+
+@query("entry_union", """
+SELECT slug, category, CASE WHEN part=1 THEN 'Source' ELSE '' END AS citation_label FROM (SELECT slug, CASE WHEN category='concepts' THEN 'other' ELSE category END AS category, 0 AS part FROM v_entries
+ UNION ALL SELECT concat('extra-',CAST(id AS STRING)), 'event', 1 FROM v_entries WHERE id%50=0)""", ("v_entries",))
+def entry_union(spark, sf):
+    """Entry text and entry documents together, a blank citation where none is given."""
+    path = shared_path(spark, "entries-tsv")
+    sinks.write_entries(stored(spark, sf), path)
+    i = F.col("id")
+    doc = F.concat(F.lit('[{"slug":"extra-'), i.cast("string"), F.lit('","title":"E","startYear":1,"endYear":2,"category":"event","tags":["x"],"citationUrl":"u","citationLabel":"Source","locations":[]}]'))
+    extra = written(spark, v.entries(spark, sf).filter("id % 50 = 0").repartition(4).groupBy(F.spark_partition_id().alias("p")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(F.regexp_replace(doc, r"^\[|\]$", "")), ","), F.lit("]")).alias("value")).select("value"), "extra")
+    both = files.all_entries([files.read_entries(spark, path), files.read_entry_documents(spark, extra)])
+    return both.select("slug", "category", "citation_label")
+
+
+@query("normalised_load", """
+SELECT slug, CAST(ordinal AS INT) AS ordinal, kind, lng, lat, radius_km, n_vertices FROM (SELECT slug, id FROM v_entries) e JOIN (
+ SELECT 1 AS k, 0 AS ordinal, 'circle' AS kind, 6.5::DOUBLE AS lng, 5.5::DOUBLE AS lat, 20.0::DOUBLE AS radius_km, NULL AS n_vertices UNION ALL SELECT 2, 0, 'point', 2.5, 1.5, NULL, NULL
+ UNION ALL SELECT 2, 1, 'path', NULL, NULL, NULL, 2 UNION ALL SELECT 3, 0, 'polygon', NULL, NULL, NULL, 4) l ON e.id%4=l.k""", ("v_entries",))
+def normalised_load(spark, sf):
+    """Entry and location tables written, read back and joined by id."""
+    path = shared_path(spark, "tables")
+    sinks.load_tables(stored(spark, sf).withColumnRenamed("id", "slug"), path)
+    e, loc = spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/locations")
+    n = F.when(F.col("kind") == "path", F.size("waypoints")).when(F.col("kind") == "polygon", F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))))
+    return loc.join(e.select(F.col("id").alias("entry_id"), "slug"), "entry_id").select("slug", "ordinal", "kind", "lng", "lat", "radius_km", n.alias("n_vertices"))
+
+
+def feature_line(ring):
+    return F.concat(F.lit("[["), F.array_join(F.transform(ring, lambda p: F.concat(
+        F.lit("["), p["lng"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]"))), ","), F.lit("]]"))
+
+
+@query("boundary_features", """
+SELECT concat('realm-',CASE WHEN k*100-1000<0 THEN concat('bce',CAST(1000-k*100 AS STRING)) ELSE CAST(k*100-1000 AS STRING) END,'-',CASE WHEN k*100-850<0 THEN concat('bce',CAST(850-k*100 AS STRING)) ELSE CAST(k*100-850 AS STRING) END) AS slug,
+ k*100-1000 AS start_year, CASE WHEN k*100-1000<0 THEN concat(CAST(1000-k*100 AS STRING),' BCE') ELSE concat(CAST(k*100-1000 AS STRING),' CE') END AS start_expr,
+ concat('The extent from ',CASE WHEN k*100-1000<0 THEN concat(CAST(1000-k*100 AS STRING),' BCE') ELSE concat(CAST(k*100-1000 AS STRING),' CE') END,' to ',CASE WHEN k*100-850<0 THEN concat(CAST(850-k*100 AS STRING),' BCE') ELSE concat(CAST(k*100-850 AS STRING),' CE') END,
+  '. Approximate area: ',CASE WHEN k=0 THEN '1,235' ELSE concat(CAST(k AS STRING),',001,235') END,' km².',CASE WHEN k%2=0 THEN ' See also Wikipedia: "Realm".' ELSE '' END) AS description, 1 AS n_polygons, 6 AS n_vertices
+FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey%3<>1)""")
+def boundary_features(spark, sf):
+    """Features one to a line, of one name, as boundary entries."""
+    k = F.col("ordinal")
+    line = F.concat(
+        F.lit('{ "type": "Feature", "properties": { "Name": "'), F.when(k % 3 == 1, "Other").otherwise("Realm"), F.lit('", "FromYear": '), (k * 100 - 1000).cast("string"),
+        F.lit('.0, "ToYear": '), (k * 100 - 850).cast("string"), F.lit(', "Area": '), (k * 1000000 + 1234).cast("string"), F.lit('.56'),
+        F.when(k % 2 == 0, ', "Wikipedia": "Realm"').otherwise(""), F.lit(' }, "geometry": { "type": '),
+        F.when(k % 2 == 0, F.concat(F.lit('"Polygon", "coordinates": '), feature_line(F.get("rings", F.lit(0)))))
+        .otherwise(F.concat(F.lit('"MultiPolygon", "coordinates": ['), feature_line(F.get("rings", F.lit(0))), F.lit("]"))), F.lit(" } },"))
+    path = written(spark, polygons(spark, sf).select(line.alias("value")), "features")
+    b = files.boundary_entries(files.read_feature_lines(spark, path, "Realm"), "realm", "https://example.org", "Example", "boundary", "The extent")
+    return b.select("slug", "start_year", "start_expr", "description", F.size("polygons").alias("n_polygons"),
+                    F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))
+
+
+@query("laneset_file", """
+SELECT lower(r_name) AS laneset_id, n_nationkey AS nation, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey)-1 AS INT) AS ordinal, concat('lane-',CAST(n_nationkey AS STRING)) AS slug, 1 AS n_sources, 6 AS n_vertices
+FROM region JOIN nation ON n_regionkey=r_regionkey""")
+def laneset_file(spark, sf):
+    """One document per laneset, lanes in document order."""
+    lane = F.concat(F.lit('{"id":"'), F.col("slug"), F.lit('","name":"n","description":"d","geometry":['), feature_line(F.get("rings", F.lit(0))),
+                    F.lit('],"bbox":[0,0,1,1],"eraSources":["rome-history"]}'))
+    doc = polygons(spark, sf).groupBy("laneset_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", lane.alias("l")))).alias("ls"))
+    r = v.table(spark, sf, "region").select(F.col("r_regionkey").alias("laneset_id"), F.lower("r_name").alias("name"))
+    text = F.concat(F.lit('{"lanesets":[{"id":"'), F.col("name"), F.lit('","name":"x","description":"y","lanes":['), F.array_join(F.col("ls.l"), ","), F.lit("]}]}"))
+    path = written(spark, doc.join(r, "laneset_id").repartition(5, "laneset_id").sortWithinPartitions("laneset_id").select(text.alias("value")), "lanesets")
+    # One JSON document per line here, so the line reader would do as well.
+    sets, lanes = files.parse_lanesets(spark.read.schema(files.LANESETS).json(path))
+    return lanes.select("laneset_id", F.regexp_extract("slug", r"(\d+)", 1).cast("int").alias("nation"), "ordinal", "slug",
+                        F.size("era_sources").alias("n_sources"), F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))
+
+
+@query("country_file", """
+SELECT CASE WHEN n_nationkey%2=0 THEN 'Asia' ELSE 'Africa' END AS continent, concat('sub ',CAST(n_nationkey AS STRING)) AS subregion, CASE WHEN n_nationkey%5=1 THEN 2 ELSE 1 END AS n_polygons FROM nation WHERE n_nationkey%7<>3""")
+def country_file(spark, sf):
+    k = F.col("ordinal")
+    ring = feature_line(F.get("rings", F.lit(0)))
+    f = F.concat(F.lit('{"type":"Feature","properties":{"CONTINENT":"'), F.when(k % 7 == 3, files.OPEN_OCEAN).when(k % 2 == 0, "Asia").otherwise("Africa"),
+                 F.lit('","SUBREGION":"sub '), k.cast("string"), F.lit('"},"geometry":{"type":'), F.when(k % 5 == 1, F.concat(
+                     F.lit('"MultiPolygon","coordinates":['), ring, F.lit(","), ring, F.lit("]"))).otherwise(F.concat(F.lit('"Polygon","coordinates":'), ring)), F.lit("}}"))
+    doc = polygons(spark, sf).groupBy("laneset_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(f), ","), F.lit("]}")).alias("value"))
+    path = written(spark, doc.repartition(5, "laneset_id").select("value"), "countries")
+    c = files.parse_countries(spark.read.schema(files.COUNTRIES).json(path))
+    return c.select("continent", "subregion", F.size("polygons").alias("n_polygons"))
+
+
+@query("map_elements", """
+SELECT 'node' AS kind, p_partkey AS id, CAST(p_partkey%180-90 AS DOUBLE) AS lat, CAST(NULL AS BIGINT) AS n FROM part UNION ALL SELECT 'way', s_suppkey, NULL, 3 FROM supplier UNION ALL SELECT 'member', n_nationkey+1, NULL, n_regionkey FROM nation""")
+def map_elements(spark, sf):
+    """Every element is listed twice and counts once."""
+    s = lambda c: F.col(c).cast("string")
+    n = v.table(spark, sf, "part").select(F.concat(F.lit('{"type":"node","id":'), s("p_partkey"), F.lit(',"lat":'), (F.col("p_partkey") % 180 - 90).cast("string"), F.lit(',"lon":1}')).alias("e"))
+    w = v.table(spark, sf, "supplier").select(F.concat(F.lit('{"type":"way","id":'), s("s_suppkey"), F.lit(',"nodes":[1,2,3]}')).alias("e"))
+    r = v.table(spark, sf, "nation").select(F.concat(F.lit('{"type":"relation","id":'), (F.col("n_nationkey") + 1).cast("string"), F.lit(',"members":[{"type":"relation","ref":'), s("n_regionkey"), F.lit("}]}")).alias("e"))
+    e = n.unionAll(w).unionAll(r)
+    path = written(spark, e.unionAll(e).select(F.concat(F.lit('{"elements":['), "e", F.lit("]}")).alias("value")), "elements")
+    nodes, ways, members = files.parse_map_elements(spark.read.schema(files.ELEMENTS).json(path))
+    null = F.lit(None)
+    return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "lat", null.cast("long").alias("n")).unionAll(
+        ways.select(F.lit("way"), "way_id", null.cast("double"), F.size("nodes").cast("long"))).unionAll(
+        members.select(F.lit("member"), "parent", null.cast("double"), "child"))
+
+
+@query("query_results", """
+SELECT concat('Q',CAST(id AS STRING)) AS id, CASE WHEN id%3=0 THEN concat('Q',CAST(id AS STRING)) ELSE title END AS title, start_year, 5 AS start_month, 0 AS start_day, 'wikidata:Q5' AS infobox_type, CASE WHEN id%2=0 THEN 1 ELSE 0 END AS n_points
+FROM v_entries WHERE id%11<>0""", ("v_entries",))
+def query_results(spark, sf):
+    """Query-result documents to entries; a row whose item is no item drops out."""
+    i = F.col("id")
+    time = F.concat(F.when(F.col("start_year") < 0, "-").otherwise(""), F.lpad(F.abs("start_year").cast("string"), 4, "0"), F.lit("-05-17T00:00:00Z"))
+    pair = lambda n, c: F.concat(F.lit(f'"{n}":{{"value":"'), c, F.lit('"}'))
+    b = F.concat(F.lit('{"results":{"bindings":[{'), F.concat_ws(",", pair("item", F.concat(F.lit("http://www.wikidata.org/entity/"), F.when(i % 11 == 0, "L").otherwise("Q"), i.cast("string"))),
+                 F.when(i % 3 != 0, pair("itemLabel", F.col("title"))), pair("matchedCategory", F.lit("person")), pair("date", time), pair("datePrecision", F.lit("10")),
+                 F.when(i % 2 == 0, pair("coord", F.lit("POINT(1.5 2.5)"))), pair("wikipediaTitle", F.lit("W"))), F.lit("}]}}"))
+    path = written(spark, v.entries(spark, sf).select(b.alias("value")), "bindings")
+    e = merge_by_id(as_entries(files.bindings_as_facts(files.parse_bindings(spark.read.schema(files.BINDINGS).json(path)))), ["start_year"])
+    return e.select("id", "title", "start_year", "start_month", "start_day", "infobox_type", F.size("locations").alias("n_points"))
+
+
+@query("document_lists", """
+SELECT CAST(event_id AS STRING) AS id, event_type AS category, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events""")
+def document_lists(spark, sf):
+    """Records in JSON lists, each kept whole beside its key."""
+    e = v.table(spark, sf, "events")
+    rec = F.to_json(F.array(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("category"), F.from_json("props", "k long").alias("p"))))
+    d = files.parse_documents(spark.read.text(written(spark, e.select(rec.alias("value")), "documents")))
+    return d.select("id", "category", F.get_json_object("data", "$.p.k").cast("long").alias("k"))
+
+
+@query("json_paths", """
+SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k, concat('{"id":',CAST(event_id AS STRING),',"tags":["',event_type,'"]}') AS row_json FROM events""")
+def json_paths(spark, sf):
+    """Path into a document, and a row as a document, by the variant type."""
+    e = v.table(spark, sf, "events")
+    return e.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"),
+                    F.to_json(F.struct(F.col("event_id").alias("id"), F.array("event_type").alias("tags"))).alias("row_json"))
+
+
+@query("catalog_file", """
+SELECT p_type AS infobox_type, count(*) AS count, p_type='ECONOMY' AS include_in_future FROM part GROUP BY p_type""")
+def catalog_file(spark, sf):
+    """The catalog written, read back and turned into the list of types to take in."""
+    c = v.table(spark, sf, "part").groupBy(F.col("p_type").alias("infobox_type")).agg(F.count(F.lit(1)).alias("count"))
+    c = C.recategorise(c).withColumns({"was_included": F.lit(True), "include_in_future": F.col("infobox_type") == "ECONOMY"})
+    path = shared_path(spark, "catalog")
+    sinks.write_catalog(c, path)
+    back = files.read_catalog(spark, path)
+    types = files.types_from_file(spark, path)
+    return back.select("infobox_type", "count", F.col("infobox_type").isin(*types).alias("include_in_future"))
+
+
+@query("catalog_split", """
+SELECT c_mktsegment AS infobox_type, count(*) AS count, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'artifact' WHEN 'BUILDING' THEN 'place' ELSE 'other' END AS proposed_category FROM customer GROUP BY c_mktsegment HAVING count(*)>1""")
+def catalog_split(spark, sf):
+    """One folder per category; types seen once are left out."""
+    c = v.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("t")).unionAll(v.table(spark, sf, "nation").select("n_name"))
+    c = c.groupBy(F.col("t").alias("infobox_type")).agg(F.count(F.lit(1)).alias("count"))
+    c = C.recategorise(c).withColumns({"was_included": F.lit(True), "include_in_future": F.lit(False)})
+    path = shared_path(spark, "catalog-split")
+    sinks.write_split_catalog(c, path)
+    return spark.read.options(sep="\t", header=True).csv(path).select("infobox_type", F.col("count").cast("long").alias("count"), "proposed_category")
+
+
+@query("waypoint_file", """
+SELECT number, label, CAST(row_number() OVER (ORDER BY number, n_nationkey)-1 AS BIGINT) AS seq, lng FROM (SELECT n_nationkey, n_nationkey%20 AS number, n_name AS label, CAST(n_nationkey*3 AS DOUBLE) AS lng FROM nation WHERE n_nationkey%4<>0)""")
+def waypoint_file(spark, sf):
+    """Point features of one route, the numbered ones kept in order."""
+    k = F.col("n_nationkey")
+    f = F.concat(F.lit('{"properties":{"name":"'), F.when(k % 4 == 0, "Book ").otherwise(F.concat(F.lit("#"), (k % 20).cast("string"), F.lit(" = "))), F.col("n_name"),
+                 F.lit('","description":"d"},"geometry":{"type":"Point","coordinates":['), (k * 3).cast("string"), F.lit(',1]}}'))
+    doc = v.table(spark, sf, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", f.alias("f")))).alias("fs")).select(
+        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.col("fs.f"), ","), F.lit("]}")).alias("value"))
+    path = written(spark, doc, "waypoints")
+    return J.numbered_waypoints(files.read_waypoint_features(spark, path)).select("number", "label", "seq", "lng")
