@@ -103,8 +103,8 @@ def distinct_points(points: Column, strict: bool = False) -> Column:
 def page_points(text: Column, map_bodies: Column, strict: bool = False) -> Column:
     """All points of a page, by the five forms in order."""
     return distinct_points(F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(COORD), F.lit(1)), coord_arguments),
-        F.transform(F.regexp_extract_all(text, F.lit(COORD_MODULE), F.lit(1)), coord_arguments),
+        F.transform(F.concat(F.regexp_extract_all(text, F.lit(COORD), F.lit(1)),
+                             F.regexp_extract_all(text, F.lit(COORD_MODULE), F.lit(1))), coord_arguments),
         F.transform(map_bodies, map_mark),
         F.array(degree_fields(text), plain_fields(text))), strict)
 

@@ -77,9 +77,9 @@ def entry_union(spark, sf):
     sinks.write_entries(stored(spark, sf), path)
     i = F.col("id")
     doc = F.concat(F.lit('[{"slug":"extra-'), i.cast("string"), F.lit('","title":"E","startYear":1,"endYear":2,"category":"event","tags":["x"],"citationUrl":"u","citationLabel":"Source","locations":[]}]'))
-    extra = written(spark, v.entries(spark, sf).filter("id % 50 = 0").repartition(4).groupBy(F.spark_partition_id().alias("p")).agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list(F.regexp_replace(doc, r"^\[|\]$", "")), ","), F.lit("]")).alias("value")).select("value"), "extra")
-    both = files.all_entries([files.read_entries(spark, path), files.read_entry_documents(spark, extra)])
+    extra = written(spark, v.entries(spark, sf).filter("id % 50 = 0").select(doc.alias("value")), "extra")
+    docs = files.parse_entry_documents(spark.read.schema(files.ENTRY_DOCUMENTS).json(extra))
+    both = files.all_entries([files.read_entries(spark, path), docs])
     return both.select("slug", "category", "citation_label")
 
 
@@ -133,7 +133,6 @@ def laneset_file(spark, sf):
     r = v.table(spark, sf, "region").select(F.col("r_regionkey").alias("laneset_id"), F.lower("r_name").alias("name"))
     text = F.concat(F.lit('{"lanesets":[{"id":"'), F.col("name"), F.lit('","name":"x","description":"y","lanes":['), F.array_join(F.col("ls.l"), ","), F.lit("]}]}"))
     path = written(spark, doc.join(r, "laneset_id").repartition(5, "laneset_id").sortWithinPartitions("laneset_id").select(text.alias("value")), "lanesets")
-    # One JSON document per line here, so the line reader would do as well.
     sets, lanes = files.parse_lanesets(spark.read.schema(files.LANESETS).json(path))
     return lanes.select("laneset_id", F.regexp_extract("slug", r"(\d+)", 1).cast("int").alias("nation"), "ordinal", "slug",
                         F.size("era_sources").alias("n_sources"), F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))

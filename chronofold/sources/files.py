@@ -11,6 +11,15 @@ from chronofold.operators.spatial import to_rings
 from chronofold.schema import CATEGORIES, LOCATIONS
 
 
+def whole_json(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    """JSON documents that run over many lines, one file each.
+
+    Such a file is read by one task.  Files with one document to a line are read
+    with spark.read.schema(shape).json and go to the same parse functions.
+    """
+    return spark.read.schema(shape).option("multiLine", True).json(path)
+
+
 # -- entries ----------------------------------------------------------------
 
 def parse_entries(lines: DataFrame) -> DataFrame:
@@ -41,15 +50,21 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return parse_entries(spark.read.text(path))
 
 
+ENTRY_DOCUMENTS = (
+    "slug string, title string, locations string, startYear int, startMonth int, startDay int, endYear int,"
+    " endMonth int, endDay int, startExpr string, endExpr string, calendar string, uncertaintyYears double,"
+    " category string, infoboxType string, description string, tags array<string>, citationUrl string,"
+    " citationLabel string")
+
+
 def read_entry_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Entry objects in JSON lists, with their citation."""
-    shape = ("slug string, title string, locations string, startYear int, startMonth int, startDay int, endYear int,"
-             " endMonth int, endDay int, startExpr string, endExpr string, calendar string, uncertaintyYears double,"
-             " category string, infoboxType string, description string, tags array<string>, citationUrl string,"
-             " citationLabel string")
-    df = whole_json(spark, path, shape)
+    return parse_entry_documents(whole_json(spark, path, ENTRY_DOCUMENTS))
+
+
+def parse_entry_documents(doc: DataFrame) -> DataFrame:
+    """Entry objects of JSON lists, with their citation."""
     snake = lambda n: "".join("_" + ch.lower() if ch.isupper() else ch for ch in n)
-    df = df.select(*[F.col(n).alias(snake(n)) for n in df.columns])
+    df = doc.select(*[F.col(n).alias(snake(n)) for n in doc.columns])
     return df.withColumn("locations", F.from_json("locations", LOCATIONS))
 
 
@@ -117,15 +132,6 @@ COUNTRIES = ("features array<struct<properties:struct<CONTINENT:string,SUBREGION
              "geometry:struct<type:string,coordinates:string>>>")
 
 
-def whole_json(spark: SparkSession, path: str, shape: str) -> DataFrame:
-    """JSON documents that run over many lines, one file each.
-
-    Such a file is read by one task.  Files with one document to a line are read
-    with spark.read.schema(shape).json and go to the same parse functions.
-    """
-    return spark.read.schema(shape).option("multiLine", True).json(path)
-
-
 def read_lanesets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_lanesets(whole_json(spark, path, LANESETS))
 
