@@ -34,7 +34,7 @@ def trim_all(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """The five XML entities; the ampersand first, so doubly encoded text opens fully."""
+    """The five XML entities, the ampersand first: &amp;lt; opens fully to <."""
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         c = F.replace(c, F.lit(name), F.lit(char))
     return c

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from chronofold.functions import years
 from chronofold.functions.text import citation_label, citation_url
 from chronofold.operators.filters import only_eras
-from chronofold.runtime import broadcast_if_small
+from chronofold.runtime import broadcast_if_small, cut
+from chronofold.schema import MAX_LIMIT
 
 
 def nested_locations(locations: DataFrame, *fields: str) -> DataFrame:
@@ -17,19 +18,24 @@ def nested_locations(locations: DataFrame, *fields: str) -> DataFrame:
 
 
 def with_locations(entries: DataFrame, locations: DataFrame, *fields: str) -> DataFrame:
-    """Entries with their location array, empty when there is none.
-
-    Only the locations of the given entries are gathered, so after a limit the
-    semi join keeps the aggregate to those few entries.
-    """
-    wanted = locations.join(broadcast_if_small(entries.select(F.col("id").alias("entry_id"))),
-                            "entry_id", "left_semi")
-    nested = nested_locations(wanted, *fields)
+    """Entries with their location array, empty when there is none."""
+    nested = nested_locations(locations, *fields)
     out = entries.join(nested, entries["id"] == nested["entry_id"], "left").drop("entry_id")
     kind = out.schema["locations"].dataType
     return out.withColumn("locations", F.coalesce("locations", F.array().cast(kind)))
 
 
+def page_with_locations(top: DataFrame, locations: DataFrame, *fields: str) -> DataFrame:
+    """The same for a search's first rows, at most MAX_LIMIT of them.
+
+    They are written out, so the search runs once, and their ids are broadcast
+    into the location scan, so only their locations are gathered.
+    """
+    top = cut(top.limit(MAX_LIMIT), "page")
+    ids = F.broadcast(top.select(F.col("id").alias("entry_id")))
+    return with_locations(top, locations.join(ids, "entry_id", "left_semi"), *fields)
+
+
 def location_json(kind: Column) -> Column:
     """One location row as the JSON object of its kind."""
     label, uncertain = F.col("label"), F.col("uncertain")

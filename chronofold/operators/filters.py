@@ -69,7 +69,7 @@ def without_eras(df: DataFrame) -> DataFrame:
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries named in a table of ids."""
-    return df.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")
+    return df.join(broadcast_if_small(ids.select("id")), "id", "left_semi")
 
 
 def check_uuids(ids: list[str]) -> list[str]:

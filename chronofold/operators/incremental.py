@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from chronofold.runtime import broadcast_if_small
+from chronofold.runtime import broadcast_if_small, cut
 
 
 def to_fetch(slim: DataFrame, cached: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def records_of(records: DataFrame, chunks: DataFrame) -> DataFrame:
 def load_chunks(records: DataFrame, chunks: DataFrame, progress: DataFrame, path: str) -> DataFrame:
     """Load the chunks not yet recorded, all in one job, each into its own partition
     (loading one again replaces it), and return the new progress table."""
-    left = chunks_left(chunks, progress)
+    left = cut(chunks_left(chunks, progress), "chunks-left")
     part = records_of(records, left)
     part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("low", "high").parquet(path)
     loaded = records.sparkSession.read.parquet(path).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"))

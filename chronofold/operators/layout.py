@@ -13,7 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from chronofold.runtime import broadcast_if_small
+from chronofold.runtime import broadcast_if_small, cut
 
 MAX_ROWS = 8
 TRACKS = 2
@@ -46,7 +46,7 @@ def pack_rows(df: DataFrame, lane: str, key: str, start: str, end: str, pad: flo
         return pd.DataFrame({lane: pdf[lane], key: pdf.key, "row": rows})
 
     kinds = dict(df.dtypes)
-    placed = few.groupBy(lane).applyInPandas(pack, f"`{lane}` {kinds[lane]}, `{key}` {kinds[key]}, row int")
+    placed = cut(few.groupBy(lane).applyInPandas(pack, f"`{lane}` {kinds[lane]}, `{key}` {kinds[key]}, row int"), "rows")
     out = df.select(lane, key).join(broadcast_if_small(placed), [lane, key], "left")
     return out.withColumn("row", F.coalesce("row", F.lit(max_rows - 1)))
 
@@ -74,32 +74,35 @@ def pack_tracks(df: DataFrame, lane: str, key: str, start: str, end: str) -> Dat
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf[lane].iloc[0]
-        active: list[tuple | None] = [None] * TRACKS      # (end, key)
+        pdf = pdf.sort_values(["start", "key"], na_position="last")
+        active: list[tuple] = [(float("-inf"), None)] * TRACKS      # (end, key)
         shown: dict[int, int] = {}
-        turns = []
-        for s, group in pdf.sort_values(["start", "key"], na_position="last").groupby("start", sort=True):
-            active = [a if a and a[0] > s else None for a in active]
-            free = [t for t, a in enumerate(active) if a is None]
-            longs = group[group.key.notna()]
-            takers = [int(k) for k in longs.key.head(len(free))]
-            turns.append((name, s, *[x for t in range(TRACKS) for x in (
-                (free[t] if t < len(free) else None), (takers[t] if t < len(takers) else None))]))
-            for k, e in zip(longs.key, longs.end):
-                t = next((t for t, a in enumerate(active) if a is None), None)
-                if t is None:
-                    t = min(range(TRACKS), key=lambda i: (active[i][0], i))
-                    if e <= active[t][0]:
-                        continue
-                    del shown[active[t][1]]
-                active[t] = (e, int(k))
-                shown[int(k)] = t
+        turns: list[list] = []
+        for s, k, e in zip(pdf.start.to_numpy(), pdf.key.to_numpy(), pdf.end.to_numpy()):
+            if not turns or turns[-1][1] != s:
+                free = [t for t, a in enumerate(active) if a[0] <= s]
+                free += [None] * (TRACKS - len(free))
+                turns.append([name, s, free[0], None, free[1], None])
+            if pd.isna(k):
+                continue
+            t = next((t for t, a in enumerate(active) if a[0] <= s), None)
+            if t is None:
+                t = min(range(TRACKS), key=lambda i: active[i][0])
+                if e <= active[t][0]:
+                    continue
+                del shown[active[t][1]]
+            else:
+                # This one ends the wait for a free track at its place in line.
+                turns[-1][3 if turns[-1][3] is None else 5] = int(k)
+            active[t] = (e, int(k))
+            shown[int(k)] = t
         kept = pd.DataFrame([(name, k, t) for k, t in shown.items()], columns=[lane, "key", "track"])
         turn = pd.DataFrame(turns, columns=[lane, "start", "t0", "k0", "t1", "k1"])
         return pd.concat([kept, turn], ignore_index=True).astype(
             {c: "Int64" for c in ("key", "track", "start", "t0", "k0", "t1", "k1")})
 
     shape = f"`{lane}` {dict(df.dtypes)[lane]}, key long, track int, start long, t0 int, k0 long, t1 int, k1 long"
-    run = long.unionByName(mark).groupBy(lane).applyInPandas(pack, shape)
+    run = cut(long.unionByName(mark).groupBy(lane).applyInPandas(pack, shape), "tracks")
     turns = run.filter("start IS NOT NULL").select(lane, F.col("start").alias("start"), "t0", "k0", "t1", "k1")
     track = (F.when(F.col("k0").isNull() | (F.col("key") < F.col("k0")), F.col("t0"))
              .when(F.col("k1").isNull() | (F.col("key") < F.col("k1")), F.col("t1")))

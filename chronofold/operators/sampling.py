@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from chronofold.operators.scans import Running, ordinals, running
-from chronofold.runtime import broadcast_if_small
+from chronofold.runtime import broadcast_if_small, cut
 
 # Bytes of a dump file per block of the next-offset scan.
 OFFSET_BLOCK = 1 << 26
@@ -61,16 +61,15 @@ def next_offsets(index: DataFrame, file: str = "file") -> DataFrame:
 
 def find_titles(titles: DataFrame, index: DataFrame, file: str = "file") -> DataFrame:
     """(title, file, offset, next_offset): where in the dump each title lies."""
-    at = index.join(broadcast_if_small(titles.select("title").distinct()), "title", "left_semi").select("title", file, "offset")
-    return broadcast_if_small(at).join(next_offsets(index, file), [file, "offset"]).select("title", file, "offset", "next_offset")
+    at = index.join(broadcast_if_small(titles.select("title")), "title", "left_semi").select("title", file, "offset")
+    return at.join(next_offsets(index, file), [file, "offset"]).select("title", file, "offset", "next_offset")
 
 
 def spread_sample(df: DataFrame, group: str, pos: str, n: int, block: int = 100_000) -> DataFrame:
     """About n rows, spread evenly over each group: every step-th row of a group,
     step = its size / its share, at most the share; groups in order of first row."""
     ranked = ordinals(df, [group], F.floor(F.col(pos) / block), [pos], "__i")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"), F.min(pos).alias("__first"))
-    # One row per group from here to the join.
+    sizes = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"), F.min(pos).alias("__first")), "sizes")
     share = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.lit(max(1, sizes.count()))))
     sizes = sizes.withColumn("__step", F.greatest(F.lit(1), F.floor(F.col("__size") / share)))
     kept = ranked.join(broadcast_if_small(sizes), group).filter(
