@@ -114,12 +114,6 @@ def without_types(df: DataFrame, types: DataFrame, excluded: list[str]) -> DataF
     return without(df, types.filter(F.col("type_id").isin(*excluded)).select("item"))
 
 
-def without_in(df: DataFrame, category: str, items: DataFrame) -> DataFrame:
-    """Drop the items, but only from one category."""
-    gone = items.select("item").distinct().withColumn("category", F.lit(category))
-    return df.join(gone, ["item", "category"], "left_anti")
-
-
 def in_language(texts: DataFrame, lang: str = "en") -> DataFrame:
     """One text per item in the language."""
     return texts.filter(F.col("lang") == lang).groupBy("item").agg(F.min("text").alias("text"))
@@ -140,25 +134,26 @@ def category_items(types: DataFrame, rules: list[CategoryRule], closure: DataFra
 
 
 def place_points(claims: DataFrame, rules: list[CategoryRule]) -> DataFrame:
-    """(item, category, point): where each category looks for an item's place, on
-    the item itself or on the item a property leads to."""
+    """(item, categories, point): an item's places, with the categories that look
+    there: on the item itself or on the item a property leads to."""
     spark = claims.sparkSession
     points = claims.filter("prop = 'P625'").select("item", wkt_point(F.col("value_point")).alias("point"))
-    direct = [F.lit(r.category) for r in rules if r.place == "direct"]
-    via = [(r.place, r.category) for r in rules if r.place not in ("direct", "none")]
-    own = points.withColumn("category", F.explode(F.array(*direct)) if direct else F.lit(None).cast("string"))
-    own = own.select("item", "category", "point") if direct else own.select("item", "category", "point").limit(0)
+    direct = [r.category for r in rules if r.place == "direct"]
+    via = sorted({r.place for r in rules} - {"direct", "none"})
+    own = points.filter(F.lit(bool(direct))).select("item", F.array(*[F.lit(c) for c in direct]).cast("array<string>").alias("categories"), "point")
     if not via:
         return own
-    links = claims.filter(F.col("prop").isin(*{p for p, _ in via})).join(
-        F.broadcast(spark.createDataFrame(via, "prop string, category string")), "prop")
-    there = links.select(F.col("item").alias("from"), "category", F.col("value_item").alias("item")).join(points, "item")
-    return own.unionByName(there.select(F.col("from").alias("item"), "category", "point"))
+    by_prop = spark.createDataFrame([(p, [r.category for r in rules if r.place == p]) for p in via], "prop string, categories array<string>")
+    links = claims.filter(F.col("prop").isin(*via)).join(F.broadcast(by_prop), "prop")
+    there = links.select(F.col("item").alias("from"), "categories", F.col("value_item").alias("item")).join(points, "item")
+    return own.unionByName(there.select(F.col("from").alias("item"), "categories", "point"))
 
 
 def with_places(items: DataFrame, claims: DataFrame, rules: list[CategoryRule]) -> DataFrame:
     """Add point (struct(lat, lng) or null): one row per place, one without when there is none."""
-    return items.join(place_points(claims, rules), ["item", "category"], "left")
+    a, b = items.alias("a"), place_points(claims, rules).alias("b")
+    here = (F.col("a.item") == F.col("b.item")) & F.array_contains(F.col("b.categories"), F.col("a.category"))
+    return a.join(b, here, "left").select("a.*", "b.point")
 
 
 def item_id(iri: Column) -> Column:
@@ -195,35 +190,59 @@ def merge_by_id(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.select("id", "first.*", F.col("p.point").alias("locations"))
 
 
+SPORTS, FICTIONAL, NOISE = "sports", "fictional", "noise"
+
+
+def item_marks(claims: DataFrame, rules: list[CategoryRule], closure: DataFrame, out: Exclusions) -> DataFrame:
+    """(item, one true/false column per category and exclusion).
+
+    Categories and exclusions are read off the same statements in one pass: each
+    statement is turned into marks by a small table, and a partial maximum per item
+    brings them together, however many statements an item has.
+    """
+    spark = claims.sparkSession
+    exact = [("P31", r.root, r.category) for r in rules if not r.transitive] + [("P31", t, NOISE) for t in out.event_noise]
+    under = [("P31", r.root, r.category) for r in rules if r.transitive]
+    under += [("P31", out.fictional_root, FICTIONAL), (out.occupation_prop, out.athlete_root, SPORTS)]
+    shape = "prop string, value_item string, mark string"
+    roots = spark.createDataFrame(under, shape.replace("value_item", "root"))
+    lookup = spark.createDataFrame(exact, shape).unionByName(
+        closure.join(F.broadcast(roots), "root").select("prop", F.col("type").alias("value_item"), "mark"))
+    always = F.when(F.col("prop") == out.sport_prop, SPORTS).when(F.col("prop") == out.fictional_prop, FICTIONAL)
+    m = claims.filter(F.col("prop").isin("P31", out.occupation_prop, out.sport_prop, out.fictional_prop))
+    m = m.join(broadcast_if_small(lookup), ["prop", "value_item"], "left").select("item", F.coalesce(always, "mark").alias("mark"))
+    marks = [r.category for r in rules] + [SPORTS, FICTIONAL, NOISE]
+    return m.filter("mark IS NOT NULL").groupBy("item").agg(*[F.max(F.col("mark") == k).alias(f"is_{k}") for k in marks])
+
+
 def search(claims: DataFrame, edges: DataFrame, labels: DataFrame, descriptions: DataFrame, articles: DataFrame,
            year_min: int, year_max: int, categories: list[str] | None = None, text: str | None = None,
            box: dict[str, float] | None = None, limit: int | None = None,
            rules: list[CategoryRule] = CATEGORY_RULES, out: Exclusions = Exclusions()) -> DataFrame:
-    """Entries of the categories with a date in the years, one branch per category.
+    """Entries of the categories with a date in the years; an item may match in two.
 
-    Small tables (rules, closure) are joined to the claims; every exclusion is an
-    anti join; the closure of all roots is worked out once.
+    The closure of all roots is worked out once.  Every join is on the item alone,
+    so the rows are shuffled by item once and stay where they are.
     """
     spark = claims.sparkSession
     rules = rules_for(categories, rules)
-    types = claims.filter("prop = 'P31'").select("item", F.col("value_item").alias("type_id"))
     roots = sorted({r.root for r in rules if r.transitive} | {out.fictional_root, out.athlete_root})
     closure = descendants(edges, spark.createDataFrame([(r,) for r in roots], "root string"))
-
-    rows = category_items(types, rules, closure)
-    occupations = claims.filter(F.col("prop") == out.occupation_prop).select("item", F.col("value_item").alias("type_id"))
-    sports = claims.filter(F.col("prop") == out.sport_prop).select("item").unionByName(
-        of_type(occupations, out.athlete_root, closure))
-    noise = types.filter(F.col("type_id").isin(*out.event_noise)).select("item")
-    rows = without_in(without_in(rows, "person", sports), "event", noise)
+    marks = item_marks(claims, rules, closure, out)
 
     year = fact_time(F.col("value_time"), F.lit(9))["year"]
-    props = spark.createDataFrame([(r.category, r.date_prop) for r in rules], "category string, prop string")
+    props = spark.createDataFrame([(r.date_prop, r.category) for r in rules], "prop string, category string")
     dates = claims.filter(F.col("prop").isin(*{r.date_prop for r in rules}) & year.between(year_min, year_max)) \
         .join(F.broadcast(props), "prop").select("item", "category", "value_time", "precision")
-    rows = rows.join(dates, ["item", "category"])
-    rows = without(rows, of_type(types, out.fictional_root, closure))
-    rows = without(rows, claims.filter(F.col("prop") == out.fictional_prop))
+    fits = F.lit(False)
+    for r in rules:
+        keep = F.col(f"is_{r.category}")
+        if r.category == "person":
+            keep = keep & ~F.col(f"is_{SPORTS}")
+        if r.category == "event":
+            keep = keep & ~F.col(f"is_{NOISE}")
+        fits = fits | ((F.col("category") == r.category) & keep)
+    rows = dates.join(marks, "item").filter(fits & ~F.col(f"is_{FICTIONAL}")).select(*dates.columns)
     rows = rows.join(articles.withColumnRenamed("title", "article"), "item")
     rows = rows.join(in_language(labels).withColumnRenamed("text", "label"), "item", "left")
     rows = rows.join(in_language(descriptions).withColumnRenamed("text", "description"), "item", "left")

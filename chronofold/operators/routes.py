@@ -160,7 +160,7 @@ def components(links: DataFrame) -> DataFrame:
     first for larger then for smaller nodes; the rounds needed grow with the
     logarithm of the longest path.
     """
-    e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     seen = None
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -300,10 +300,14 @@ def merge_lines(lines: DataFrame, walk_lines: int = WALK_LINES) -> DataFrame:
     at = at.select("line", "p.*")
     least = at.groupBy("y", "x").agg(F.min("line").alias("first_here"))
     links = at.join(least, ["y", "x"]).select(F.col("line").alias("a"), F.col("first_here").alias("b"))
-    placed = ends.join(components(links).select(F.col("node").alias("line"), "root"), "line", "left")
-    alone = placed.filter("root IS NULL").join(links.filter("a <> b").select(F.col("b").alias("line")), "line", "left_anti")
-    single = alone.select("line", F.col("line").alias("chain"), F.lit(0).alias("seq"), F.lit(False).alias("turned"))
-    joined = placed.withColumn("root", F.coalesce("root", "line")).join(alone.select("line"), "line", "left_anti")
+    roots = components(links)
+    placed = ends.join(roots.select(F.col("node").alias("line"), "root"), "line", "left")
+    # A root is not listed under itself, so it is told from a line on its own by its followers.
+    placed = placed.join(roots.select(F.col("root").alias("line"), F.lit(True).alias("leads")).distinct(), "line", "left")
+    placed = cut(placed.withColumn("leads", F.coalesce("leads", F.lit(False))), "networks")
+    single = placed.filter("root IS NULL AND NOT leads").select(
+        "line", F.col("line").alias("chain"), F.lit(0).alias("seq"), F.lit(False).alias("turned"))
+    joined = placed.filter("root IS NOT NULL OR leads").select("line", "sy", "sx", "ey", "ex", F.coalesce("root", "line").alias("root"))
     big = joined.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > walk_lines).select("root")
     buckets = int(ends.count() / 100_000) + 8
     walked = joined.join(big, "root", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)))

@@ -161,6 +161,17 @@ def fact_search(spark, sf):
                       F.size("locations").cast("long").alias("n_points"), "wikipedia_title", "citation_url", "infobox_type")
 
 
+@query("category_union", """
+WITH RECURSIVE c AS (SELECT CAST(3 AS BIGINT) AS type UNION SELECT e.child FROM c JOIN v_type_edges e ON e.parent=c.type)
+SELECT DISTINCT item, 'person' AS category FROM v_claims_type WHERE type_id=7 UNION ALL SELECT DISTINCT item, 'event' FROM v_claims_type t JOIN c ON c.type=t.type_id""", ("v_type_edges", "v_claims_type"))
+def category_union(spark, sf):
+    """One branch per category, exact or with subclasses; an item may be in two."""
+    types = v.type_claims(spark, sf).select("item", q(F.col("type_id")).alias("type_id"))
+    edges = v.type_edges(spark, sf).select(q(F.col("child")).alias("child"), q(F.col("parent")).alias("parent"))
+    closure = K.descendants(edges, v.table(spark, sf, "part").filter("p_partkey = 3").select(q(F.col("p_partkey")).alias("root")))
+    return K.category_items(types, RULES, closure)
+
+
 @query("optional_places", """
 SELECT e.id, 'event' AS category, l.lat, l.lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id AND l.ordinal<2
 UNION ALL SELECT e.id, 'person', l.lat, l.lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id+1 AND l.ordinal<2 AND e.id%4<>1
