@@ -1 +1,9 @@
 """chronofold: Spark operators for dated, located entries."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers are sent by value, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
