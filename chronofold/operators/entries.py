@@ -85,10 +85,11 @@ def eras(entries: DataFrame) -> DataFrame:
 def with_pins(matches: DataFrame, order: list[str], entries: DataFrame, pins: DataFrame) -> DataFrame:
     """Matches in order, then the pinned entries not among them in pin order.
 
-    `pins` is (id, pin_order).  Returns `part` (0 match, 1 pin) and `seq`-ready
-    sort columns; pins that name no entry drop out.
+    `pins` is (id, pin_order).  Adds `part` (0 match, 1 pin) and pin_order; pins
+    that name no entry drop out.  The matches are written out, so the search
+    behind them runs once.
     """
-    small = broadcast_if_small(pins)
+    matches, small = cut(matches, "matches"), broadcast_if_small(pins)
     extra = entries.join(small, "id").join(matches.select("id"), "id", "left_anti")
     a = matches.withColumn("part", F.lit(0)).withColumn("pin_order", F.lit(None).cast("long"))
     b = extra.withColumn("part", F.lit(1)).withColumn("pin_order", F.col("pin_order").cast("long"))

@@ -32,10 +32,14 @@ def lane_parts(lanes: DataFrame) -> DataFrame:
     return lanes.select("laneset_id", "ordinal", "slug", F.posexplode("polygons").alias("part", "rings"))
 
 
-def nested_lanes(lanesets: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Lanesets with their lanes as an array in lane order, empty when none."""
+def nested_lanes(lanesets: DataFrame, lanes: DataFrame, *fields: str) -> DataFrame:
+    """Lanesets with their lanes as an array in lane order, empty when none.
+
+    A lane has its slug, box and era sources, and what other fields are named
+    (name, description, polygons).
+    """
     item = F.struct("ordinal", "slug", F.array("bbox.lng_min", "bbox.lat_min", "bbox.lng_max", "bbox.lat_max").alias("bbox"),
-                    "era_sources")
+                    "era_sources", *fields)
     agg = lanes.groupBy("laneset_id").agg(F.sort_array(F.collect_list(item)).alias("lanes"))
     out = lanesets.join(agg, "laneset_id", "left")
     return out.withColumn("lanes", F.coalesce("lanes", F.array().cast(out.schema["lanes"].dataType)))

@@ -132,6 +132,19 @@ def progress(day: Column, start: Column, end: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.date_diff(day, start) / F.date_diff(end, start)))
 
 
+def route_points(features: DataFrame, start: Column, end: Column, path: str = "path_id", pos: str = "pos") -> DataFrame:
+    """(path, seq, label, lat, lng, date, t): a journey's numbered waypoints with dates
+    from their descriptions, filled in between, and the share of the time passed.
+
+    features: (path, pos, name, description, lat, lng).
+    """
+    df = numbered_waypoints(features, path, pos).withColumn("f", date_fragment(F.coalesce("description", F.lit(""))))
+    df = df.select(path, "seq", "label", "lat", "lng", F.col("f").isNotNull().alias("has_fragment"), F.col("f.day").alias("stated_day"),
+                   F.col("f.month").alias("stated_month"), F.col("f.year").alias("stated_year"))
+    df = fill_gaps(carry_dates(df, path, "seq"), path, "seq")
+    return df.select(path, "seq", "label", "lat", "lng", "date", progress(F.col("date"), start, end).alias("t"))
+
+
 # -- way networks -----------------------------------------------------------
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:

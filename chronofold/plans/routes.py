@@ -76,6 +76,23 @@ def voyage_progress(spark, sf):
     return v.table(spark, sf, "events").select("event_id", F.round(t, 9).alias("t"), long_date(F.year(d), F.month(d), F.day(d)).alias("label"))
 
 
+@query("route_points", """
+WITH w AS (SELECT user_id AS path_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS seq, CASE WHEN event_id%3=0 THEN CAST(ts AS DATE)-DATE '1970-01-01' END AS d FROM events),
+g AS (SELECT *, last_value(CASE WHEN d IS NOT NULL THEN seq END IGNORE NULLS) OVER a AS p1, last_value(d IGNORE NULLS) OVER a AS d1, first_value(CASE WHEN d IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS p2, first_value(d IGNORE NULLS) OVER b AS d2 FROM w
+ WINDOW a AS (PARTITION BY path_id ORDER BY seq), b AS (PARTITION BY path_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT path_id, seq, DATE '1970-01-01'+CAST(coalesce(d, floor(d1+(d2-d1)*((seq-p1)/CAST(nullif(p2-p1,0) AS DOUBLE)))) AS INT) AS date FROM g)
+SELECT path_id, seq, date, round(least(1.0,greatest(0.0,CAST(date-DATE '2024-01-05' AS DOUBLE)/(DATE '2024-01-25'-DATE '2024-01-05'))),9) AS t FROM f""")
+def route_points(spark, sf):
+    """From features to dated waypoints; two thirds of them name no date."""
+    i, s = F.col("event_id"), lambda c: c.cast("string")
+    day = F.to_date("ts")
+    text = F.when(i % 3 == 0, F.concat(F.lit("On the "), s(F.day(day)), F.lit("th of January, "), s(F.year(day)), F.lit(" we sailed."))).otherwise("Calm sea.")
+    f = v.table(spark, sf, "events").select(F.col("user_id").alias("path_id"), i.alias("pos"), F.concat(F.lit("#"), s(i), F.lit(" = stop")).alias("name"),
+                                            text.alias("description"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    r = J.route_points(f, F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date"))
+    return r.select("path_id", "seq", "date", F.round("t", 9).alias("t"))
+
+
 @query("way_lines", """
 WITH r AS (SELECT w, p, n FROM (SELECT l_orderkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey) AS p, l_partkey AS n FROM lineitem) WHERE n%10<>0)
 SELECT w AS way_id, count(*) AS n_points, round(min_by(CAST(n%180 AS DOUBLE)-90,p),6) AS first_lat, round(max_by(CAST(n%360 AS DOUBLE)-180,p),6) AS last_lng FROM r GROUP BY w HAVING count(*)>=2""")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from chronofold.functions.text import WS, leading_int, trim_all, unescape_field
 from chronofold.functions.years import year_label
 from chronofold.operators.catalog import DEFAULT_TYPES
+from chronofold.operators.extract import IngestRules
 from chronofold.operators.spatial import to_rings
 from chronofold.schema import CATEGORIES, LOCATIONS
 
@@ -245,6 +246,35 @@ def types_from_file(spark: SparkSession, path: str) -> list[str]:
         return list(DEFAULT_TYPES)
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[IngestRules, dict[str, str]]:
+    """(rules, other settings) of a 'key<TAB>value' settings file; # starts a comment.
+
+    Keys exclude_category and max_birth_year ("type year") may repeat.  Settings
+    that are not rules (paths, stream_stride, max_restarts, stop_after_...) come
+    back as text.
+    """
+    line = trim_all(F.col("value"))
+    lines = spark.read.text(path).select(line.alias("l")).filter(~F.startswith("l", F.lit("#")) & F.contains("l", F.lit("\t")))
+    at = F.locate("\t", F.col("l"))
+    rows = lines.select(trim_all(F.substring("l", F.lit(1), at - 1)), trim_all(F.substring("l", at + 1, F.length("l")))).limit(10_000).collect()
+    rules, caps, excluded, other = {}, {}, [], {}
+    for key, value in rows:
+        if key == "exclude_category":
+            excluded.append(value)
+        elif key == "max_birth_year":
+            infobox_type, year = value.split()
+            caps[infobox_type] = int(year)
+        elif key in ("date_after", "date_before"):
+            rules[key] = int(value)
+        elif key == "exclude_no_coords":
+            rules["require_points"] = value.lower() in ("1", "true")
+        else:
+            other[key] = value
+    if "catalog_input" in other:
+        rules["include"] = types_from_file(spark, other["catalog_input"])
+    return IngestRules(exclude_categories=excluded, max_start_year=caps, **rules), other
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(id, category, data) of JSON lists of records; data is the whole record."""
     return parse_documents(spark.read.option("wholetext", True).text(path))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +23,8 @@ def _counts(judged: DataFrame) -> list:
 def start_ingest(spark: SparkSession, dump: str, out: str, checkpoint: str, rules: IngestRules = IngestRules(),
                  files_per_batch: int = 1) -> StreamingQuery:
     """Turn every dump part not yet done into entries under `out`/entries and one row
-    of counts under `out`/progress, then stop.
+    of counts under `out`/progress, then stop.  Each run and its rules are noted
+    under `out`/runs.
 
     Started again, it goes on after the last finished part.  A batch that was cut
     short is written again over its own folder, so no row comes twice.
@@ -35,6 +39,8 @@ def start_ingest(spark: SparkSession, dump: str, out: str, checkpoint: str, rule
         row = spark.range(1).select(*[F.lit(n[k]).cast("long").alias(k) for k in n], F.current_timestamp().alias("at"))
         row.write.mode("overwrite").parquet(f"{out}/progress/batch={batch}")
 
+    run = spark.range(1).select(F.lit(json.dumps(asdict(rules))).alias("rules"), F.current_timestamp().alias("started_at"))
+    run.write.mode("append").parquet(f"{out}/runs")
     return (stream_pages(spark, dump, files_per_batch).writeStream.foreachBatch(one_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 

@@ -113,3 +113,11 @@ def test_refresh_and_compaction(spark, tmp_path):
     assert {tuple(r) for r in refresh.read_latest(spark, table).collect()} == want
     refresh.compact(spark, table, small)
     assert {tuple(r) for r in refresh.read_latest(spark, small).collect()} == want
+
+
+def test_settings_file(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("# note\nexclude_category\tother\nexclude_category\tplace\ndate_before\t2000\nexclude_no_coords\t1\n"
+                                    "max_birth_year\tperson\t1899\nstream_stride\t100\nnonsense\n")
+    rules, other = files.read_rules(spark, str(tmp_path / "c.tsv"))
+    assert (rules.exclude_categories, rules.date_before, rules.require_points, rules.max_start_year) == (["other", "place"], 2000, True, {"person": 1899})
+    assert other == {"stream_stride": "100"} and "person" in rules.include
