@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chronofold.operators import catalog as C, routes as J, spatial as sp
 from chronofold.operators.facts import as_entries, merge_by_id
 from chronofold.plans import fixtures as v
-from chronofold.plans.places import polygons
+from chronofold.plans.places import shapes
 from chronofold.plans.registry import query
 from chronofold.runtime import shared_path
 from chronofold.sources import dump, files, sinks
@@ -70,14 +70,14 @@ def entry_file_rules(spark, sf):
 
 @query("entry_union", """
 SELECT slug, category, CASE WHEN part=1 THEN 'Source' ELSE '' END AS citation_label FROM (SELECT slug, CASE WHEN category='concepts' THEN 'other' ELSE category END AS category, 0 AS part FROM v_entries
- UNION ALL SELECT concat('extra-',CAST(id AS STRING)), 'event', 1 FROM v_entries WHERE id%50=0)""", ("v_entries",))
+ UNION ALL SELECT concat('extra-',CAST(id AS STRING)), 'event', 1 FROM v_entries)""", ("v_entries",))
 def entry_union(spark, sf):
     """Entry text and entry documents together, a blank citation where none is given."""
     path = shared_path(spark, "entries-tsv")
     sinks.write_entries(stored(spark, sf), path)
     i = F.col("id")
     doc = F.concat(F.lit('[{"slug":"extra-'), i.cast("string"), F.lit('","title":"E","startYear":1,"endYear":2,"category":"event","tags":["x"],"citationUrl":"u","citationLabel":"Source","locations":[]}]'))
-    extra = written(spark, v.entries(spark, sf).filter("id % 50 = 0").select(doc.alias("value")), "extra")
+    extra = written(spark, v.entries(spark, sf).select(doc.alias("value")), "extra")
     docs = files.parse_entry_documents(spark.read.schema(files.ENTRY_DOCUMENTS).json(extra))
     both = files.all_entries([files.read_entries(spark, path), docs])
     return both.select("slug", "category", "citation_label")
@@ -106,48 +106,47 @@ SELECT concat('realm-',CASE WHEN k*100-1000<0 THEN concat('bce',CAST(1000-k*100
  k*100-1000 AS start_year, CASE WHEN k*100-1000<0 THEN concat(CAST(1000-k*100 AS STRING),' BCE') ELSE concat(CAST(k*100-1000 AS STRING),' CE') END AS start_expr,
  concat('The extent from ',CASE WHEN k*100-1000<0 THEN concat(CAST(1000-k*100 AS STRING),' BCE') ELSE concat(CAST(k*100-1000 AS STRING),' CE') END,' to ',CASE WHEN k*100-850<0 THEN concat(CAST(850-k*100 AS STRING),' BCE') ELSE concat(CAST(k*100-850 AS STRING),' CE') END,
   '. Approximate area: ',CASE WHEN k=0 THEN '1,235' ELSE concat(CAST(k AS STRING),',001,235') END,' km².',CASE WHEN k%2=0 THEN ' See also Wikipedia: "Realm".' ELSE '' END) AS description, 1 AS n_polygons, 6 AS n_vertices
-FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey%3<>1)""")
+FROM (SELECT c_custkey AS n, CAST(c_custkey%40 AS INT) AS k FROM customer WHERE c_custkey%40%3<>1)""")
 def boundary_features(spark, sf):
     """Features one to a line, of one name, as boundary entries."""
-    k = F.col("ordinal")
+    k = (F.col("ordinal") % 40).cast("int")
     line = F.concat(
         F.lit('{ "type": "Feature", "properties": { "Name": "'), F.when(k % 3 == 1, "Other").otherwise("Realm"), F.lit('", "FromYear": '), (k * 100 - 1000).cast("string"),
         F.lit('.0, "ToYear": '), (k * 100 - 850).cast("string"), F.lit(', "Area": '), (k * 1000000 + 1234).cast("string"), F.lit('.56'),
         F.when(k % 2 == 0, ', "Wikipedia": "Realm"').otherwise(""), F.lit(' }, "geometry": { "type": '),
         F.when(k % 2 == 0, F.concat(F.lit('"Polygon", "coordinates": '), feature_line(F.get("rings", F.lit(0)))))
         .otherwise(F.concat(F.lit('"MultiPolygon", "coordinates": ['), feature_line(F.get("rings", F.lit(0))), F.lit("]"))), F.lit(" } },"))
-    path = written(spark, polygons(spark, sf).select(line.alias("value")), "features")
+    path = written(spark, shapes(spark, sf).select(line.alias("value")), "features")
     b = files.boundary_entries(files.read_feature_lines(spark, path, "Realm"), "realm", "https://example.org", "Example", "boundary", "The extent")
     return b.select("slug", "start_year", "start_expr", "description", F.size("polygons").alias("n_polygons"),
                     F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))
 
 
 @query("laneset_file", """
-SELECT lower(r_name) AS laneset_id, n_nationkey AS nation, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey)-1 AS INT) AS ordinal, concat('lane-',CAST(n_nationkey AS STRING)) AS slug, 1 AS n_sources, 6 AS n_vertices
-FROM region JOIN nation ON n_regionkey=r_regionkey""")
+SELECT CAST(c_nationkey AS STRING) AS laneset_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1 AS INT) AS ordinal, concat('shape-',CAST(c_custkey AS STRING)) AS slug, 1 AS n_sources, 6 AS n_vertices FROM customer""")
 def laneset_file(spark, sf):
     """One document per laneset, lanes in document order."""
     lane = F.concat(F.lit('{"id":"'), F.col("slug"), F.lit('","name":"n","description":"d","geometry":['), feature_line(F.get("rings", F.lit(0))),
                     F.lit('],"bbox":[0,0,1,1],"eraSources":["rome-history"]}'))
-    doc = polygons(spark, sf).groupBy("laneset_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", lane.alias("l")))).alias("ls"))
-    r = v.table(spark, sf, "region").select(F.col("r_regionkey").alias("laneset_id"), F.lower("r_name").alias("name"))
-    text = F.concat(F.lit('{"lanesets":[{"id":"'), F.col("name"), F.lit('","name":"x","description":"y","lanes":['), F.array_join(F.col("ls.l"), ","), F.lit("]}]}"))
-    path = written(spark, doc.join(r, "laneset_id").repartition(5, "laneset_id").sortWithinPartitions("laneset_id").select(text.alias("value")), "lanesets")
+    doc = shapes(spark, sf).groupBy("laneset_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", lane.alias("l")))).alias("ls"))
+    text = F.concat(F.lit('{"lanesets":[{"id":"'), F.col("laneset_id").cast("string"), F.lit('","name":"x","description":"y","lanes":['), F.array_join(F.col("ls.l"), ","), F.lit("]}]}"))
+    path = written(spark, doc.select(text.alias("value")), "lanesets")
     sets, lanes = files.parse_lanesets(spark.read.schema(files.LANESETS).json(path))
-    return lanes.select("laneset_id", F.regexp_extract("slug", r"(\d+)", 1).cast("int").alias("nation"), "ordinal", "slug",
-                        F.size("era_sources").alias("n_sources"), F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))
+    return lanes.select("laneset_id", "ordinal", "slug", F.size("era_sources").alias("n_sources"),
+                        F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))
 
 
 @query("country_file", """
-SELECT CASE WHEN n_nationkey%2=0 THEN 'Asia' ELSE 'Africa' END AS continent, concat('sub ',CAST(n_nationkey AS STRING)) AS subregion, CASE WHEN n_nationkey%5=1 THEN 2 ELSE 1 END AS n_polygons FROM nation WHERE n_nationkey%7<>3""")
+SELECT CASE WHEN c_custkey%2=0 THEN 'Asia' ELSE 'Africa' END AS continent, concat('sub ',CAST(c_custkey AS STRING)) AS subregion, CASE WHEN c_custkey%5=1 THEN 2 ELSE 1 END AS n_polygons FROM customer WHERE c_custkey%7<>3""")
 def country_file(spark, sf):
+    """Features of both kinds; what the file calls open ocean is no country."""
     k = F.col("ordinal")
     ring = feature_line(F.get("rings", F.lit(0)))
     f = F.concat(F.lit('{"type":"Feature","properties":{"CONTINENT":"'), F.when(k % 7 == 3, files.OPEN_OCEAN).when(k % 2 == 0, "Asia").otherwise("Africa"),
                  F.lit('","SUBREGION":"sub '), k.cast("string"), F.lit('"},"geometry":{"type":'), F.when(k % 5 == 1, F.concat(
                      F.lit('"MultiPolygon","coordinates":['), ring, F.lit(","), ring, F.lit("]"))).otherwise(F.concat(F.lit('"Polygon","coordinates":'), ring)), F.lit("}}"))
-    doc = polygons(spark, sf).groupBy("laneset_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(f), ","), F.lit("]}")).alias("value"))
-    path = written(spark, doc.repartition(5, "laneset_id").select("value"), "countries")
+    doc = shapes(spark, sf).groupBy("laneset_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(f), ","), F.lit("]}")).alias("value"))
+    path = written(spark, doc.select("value"), "countries")
     c = files.parse_countries(spark.read.schema(files.COUNTRIES).json(path))
     return c.select("continent", "subregion", F.size("polygons").alias("n_polygons"))
 
@@ -230,13 +229,14 @@ def catalog_split(spark, sf):
 
 
 @query("waypoint_file", """
-SELECT number, label, CAST(row_number() OVER (ORDER BY number, n_nationkey)-1 AS BIGINT) AS seq, lng FROM (SELECT n_nationkey, n_nationkey%20 AS number, n_name AS label, CAST(n_nationkey*3 AS DOUBLE) AS lng FROM nation WHERE n_nationkey%4<>0)""")
+SELECT path_id, number, label, row_number() OVER (PARTITION BY path_id ORDER BY number, k)-1 AS seq, lng FROM (
+ SELECT CAST(c_nationkey AS STRING) AS path_id, c_custkey AS k, CAST(c_custkey%20 AS INT) AS number, c_name AS label, CAST(c_custkey%60*3 AS DOUBLE) AS lng FROM customer WHERE c_custkey%4<>0)""")
 def waypoint_file(spark, sf):
-    """Point features of one route, the numbered ones kept in order."""
-    k = F.col("n_nationkey")
-    f = F.concat(F.lit('{"properties":{"name":"'), F.when(k % 4 == 0, "Book ").otherwise(F.concat(F.lit("#"), (k % 20).cast("string"), F.lit(" = "))), F.col("n_name"),
-                 F.lit('","description":"d"},"geometry":{"type":"Point","coordinates":['), (k * 3).cast("string"), F.lit(',1]}}'))
-    doc = v.table(spark, sf, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", f.alias("f")))).alias("fs")).select(
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.col("fs.f"), ","), F.lit("]}")).alias("value"))
-    path = written(spark, doc, "waypoints")
-    return J.numbered_waypoints(files.read_waypoint_features(spark, path)).select("number", "label", "seq", "lng")
+    """Point features of a route per document, the numbered ones kept in order."""
+    k = F.col("c_custkey")
+    f = F.concat(F.lit('{"properties":{"name":"'), F.when(k % 4 == 0, "Book ").otherwise(F.concat(F.lit("#"), (k % 20).cast("string"), F.lit(" = "))), F.col("c_name"),
+                 F.lit('","description":"d"},"geometry":{"type":"Point","coordinates":['), (k % 60 * 3).cast("string"), F.lit(',1]}}'))
+    doc = v.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", f.alias("f")))).alias("fs")).select(
+        F.concat(F.lit('{"path_id":"'), F.col("c_nationkey").cast("string"), F.lit('","features":['), F.array_join(F.col("fs.f"), ","), F.lit("]}")).alias("value"))
+    docs = spark.read.schema("path_id string, " + files.WAYPOINTS).json(written(spark, doc, "waypoints"))
+    return J.numbered_waypoints(files.parse_waypoint_features(docs)).select("path_id", "number", "label", "seq", "lng")

@@ -96,6 +96,17 @@ def ring_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shape_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ring in seven sizes, one per customer, as vertex rows."""
+    corner = F.array(*[F.struct(F.lit(k).alias("vtx"), F.lit(x).alias("dx"), F.lit(y).alias("dy"))
+                       for k, (x, y) in enumerate([(0, 0), (80, 0), (40, 20), (80, 40), (0, 40), (0, 0)])])
+    i = F.col("c_custkey")
+    size = (1 + i % 7) / F.lit(8.0)
+    return table(spark, sf_dir, "customer").withColumn("c", F.explode(corner)).select(
+        F.col("c_nationkey").alias("laneset_id"), i.alias("ordinal"), F.concat(F.lit("shape-"), i.cast("string")).alias("slug"),
+        F.col("c.vtx").alias("vtx"), (i % 5 * 50 - 180 + F.col("c.dx") * size).alias("lng"), (i % 4 * 30 - 90 + F.col("c.dy") * size).alias("lat"))
+
+
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = texts(spark, sf_dir), F.col("doc_id")
 
@@ -150,8 +161,8 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """25 saved queries with two year ranges and one category each."""
-    k = F.col("n_nationkey")
+    """A saved query per supplier, with two year ranges and one category."""
+    k = (F.col("s_suppkey") % 25).cast("int")
 
     def part(seq, kind, value, lo, hi):
         return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"),
@@ -163,7 +174,7 @@ def query_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(1, "year", null, k * 100 - 3000, k * 100 - 2000),
         part(2, "year", null, k * 100 - 2800, k * 100 - 1500),
         part(3, "category", F.when(k % 2 == 0, "person").otherwise("event"), null, null))
-    return (table(spark, sf_dir, "nation").select(k.alias("query_id"), F.explode(parts).alias("f"))
+    return (table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.explode(parts).alias("f"))
             .select("query_id", "f.*"))
 
 
@@ -210,8 +221,14 @@ SELECT user_id AS path_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY
  CASE WHEN event_id%4=0 THEN NULL ELSE CAST(floor(event_id/3) AS INT)%12+1 END AS stated_month, CASE WHEN event_id%11=0 THEN 1800+CAST(event_id%50 AS INT) END AS stated_year FROM events""",
     "v_cache": """
 SELECT id, title, last_updated - CASE WHEN id%5=0 THEN INTERVAL '1' DAY ELSE INTERVAL '0' DAY END AS last_updated FROM v_entries WHERE id%3<>0""",
+    "v_shape": """
+SELECT c_nationkey AS laneset_id, c_custkey AS ordinal, concat('shape-',CAST(c_custkey AS STRING)) AS slug, k AS vtx,
+ c_custkey%5*50-180+CASE k WHEN 1 THEN 80 WHEN 2 THEN 40 WHEN 3 THEN 80 ELSE 0 END*(1+c_custkey%7)/8.0 AS lng, c_custkey%4*30-90+CASE k WHEN 2 THEN 20 WHEN 3 THEN 40 WHEN 4 THEN 40 ELSE 0 END*(1+c_custkey%7)/8.0 AS lat
+ FROM customer JOIN (SELECT unnest([0,1,2,3,4,5]) AS k) ON true""",
+    "v_shape_edge": """
+SELECT a.slug, CAST(a.lng AS DOUBLE) x1, CAST(a.lat AS DOUBLE) y1, CAST(b.lng AS DOUBLE) x2, CAST(b.lat AS DOUBLE) y2 FROM v_shape a JOIN v_shape b ON a.slug=b.slug AND b.vtx=a.vtx+1""",
     "v_query_spec": """
-SELECT n_nationkey AS query_id, 1 AS seq, 'year' AS kind, CAST(NULL AS STRING) AS str_value, n_nationkey*100-3000 AS lo, n_nationkey*100-2000 AS hi FROM nation
- UNION ALL SELECT n_nationkey,2,'year',NULL,n_nationkey*100-2800,n_nationkey*100-1500 FROM nation
- UNION ALL SELECT n_nationkey,3,'category',CASE WHEN n_nationkey%2=0 THEN 'person' ELSE 'event' END,NULL,NULL FROM nation""",
+SELECT s_suppkey AS query_id, 1 AS seq, 'year' AS kind, CAST(NULL AS STRING) AS str_value, s_suppkey%25*100-3000 AS lo, s_suppkey%25*100-2000 AS hi FROM supplier
+ UNION ALL SELECT s_suppkey,2,'year',NULL,s_suppkey%25*100-2800,s_suppkey%25*100-1500 FROM supplier
+ UNION ALL SELECT s_suppkey,3,'category',CASE WHEN s_suppkey%25%2=0 THEN 'person' ELSE 'event' END,NULL,NULL FROM supplier""",
 }

@@ -13,6 +13,10 @@ def polygons(spark, sf):
     return sp.rings_from_vertices(v.ring_vertices(spark, sf), RING, "vtx")
 
 
+def shapes(spark, sf):
+    return sp.rings_from_vertices(v.shape_vertices(spark, sf), RING, "vtx")
+
+
 def some_boundary(spark, sf):
     return polygons(spark, sf).filter(F.col("slug").isin("lane-7", "lane-12"))
 
@@ -101,10 +105,10 @@ def era_lanes(spark, sf):
 
 @query("laneset_nested", """
 SELECT laneset_id, count(*) AS n_lanes, string_agg(slug, ',' ORDER BY ordinal) AS lanes, min(x0) AS west, max(y1) AS north FROM (
- SELECT laneset_id, ordinal, slug, CAST(min(lng) AS DOUBLE) x0, CAST(max(lat) AS DOUBLE) y1 FROM v_ring GROUP BY ALL) GROUP BY laneset_id""", ("v_ring",))
+ SELECT laneset_id, ordinal, slug, CAST(min(lng) AS DOUBLE) x0, CAST(max(lat) AS DOUBLE) y1 FROM v_shape GROUP BY ALL) GROUP BY laneset_id""", ("v_shape",))
 def laneset_nested(spark, sf):
-    p = polygons(spark, sf).withColumn("bbox", sp.bbox(F.array("rings"))).withColumn("era_sources", F.array(F.lit("rome-history")))
-    sets = v.table(spark, sf, "region").select(F.col("r_regionkey").alias("laneset_id"))
+    p = shapes(spark, sf).withColumn("bbox", sp.bbox(F.array("rings"))).withColumn("era_sources", F.array(F.lit("rome-history")))
+    sets = v.table(spark, sf, "customer").select(F.col("c_nationkey").alias("laneset_id")).distinct()
     n = L.nested_lanes(sets, p)
     return n.select("laneset_id", F.size("lanes").cast("long").alias("n_lanes"), F.array_join(F.col("lanes.slug"), ",").alias("lanes"),
                     F.array_min(F.transform("lanes", lambda x: F.get(x["bbox"], F.lit(0)))).alias("west"),
@@ -120,47 +124,45 @@ def laneset_list(spark, sf):
 
 
 @query("active_laneset", """
-SELECT 'europe' AS asked, 3 AS laneset_id, 'europe' AS slug UNION ALL SELECT 'atlantis', r_regionkey, lower(r_name) FROM region WHERE r_regionkey=(SELECT min(r_regionkey) FROM region)""")
+SELECT 'set-17' AS asked, CAST(17 AS BIGINT) AS laneset_id, 'set-17' AS slug UNION ALL SELECT 'set-none', min(c_custkey), concat('set-',CAST(min(c_custkey) AS STRING)) FROM customer""")
 def active_laneset(spark, sf):
-    sets = v.table(spark, sf, "region").select(F.col("r_regionkey").alias("laneset_id"), F.lower("r_name").alias("slug"), F.col("r_regionkey").alias("ordinal"))
-    return L.active_laneset(sets, "europe").withColumn("asked", F.lit("europe")).unionByName(
-        L.active_laneset(sets, "atlantis").withColumn("asked", F.lit("atlantis")))
+    """The asked-for laneset, or the first one when there is none of that name."""
+    i = F.col("c_custkey")
+    sets = v.table(spark, sf, "customer").select(i.alias("laneset_id"), F.concat(F.lit("set-"), i.cast("string")).alias("slug"), i.alias("ordinal"))
+    return L.active_laneset(sets, "set-17").withColumn("asked", F.lit("set-17")).unionByName(
+        L.active_laneset(sets, "set-none").withColumn("asked", F.lit("set-none")))
 
 
 @query("lanes_from_countries", """
-SELECT n_regionkey AS laneset_id, concat('region-',CAST(n_regionkey AS STRING)) AS slug, count(*) AS n_polygons, min(x0) AS lng_min, min(y0) AS lat_min, max(x1) AS lng_max, max(y1) AS lat_max,
- min_by(lane_id, lane_id) AS first_polygon FROM (SELECT lane_id, laneset_id AS n_regionkey, CAST(min(lng) AS DOUBLE) x0, CAST(min(lat) AS DOUBLE) y0, CAST(max(lng) AS DOUBLE) x1, CAST(max(lat) AS DOUBLE) y1 FROM v_ring GROUP BY ALL)
-GROUP BY n_regionkey""", ("v_ring",))
+SELECT laneset_id, concat('nation-',CAST(laneset_id AS STRING)) AS slug, count(*) AS n_polygons, min(x0) AS lng_min, min(y0) AS lat_min, max(x1) AS lng_max, max(y1) AS lat_max, min_by(x1, ordinal) AS first_polygon_east
+FROM (SELECT ordinal, laneset_id, CAST(min(lng) AS DOUBLE) x0, CAST(min(lat) AS DOUBLE) y0, CAST(max(lng) AS DOUBLE) x1, CAST(max(lat) AS DOUBLE) y1 FROM v_shape GROUP BY ALL) GROUP BY laneset_id""", ("v_shape",))
 def lanes_from_countries(spark, sf):
-    """Country polygons gathered into lanes by a membership table, in source order."""
-    p = polygons(spark, sf)
-    countries = p.select(F.col("ordinal").alias("source_order"), F.col("laneset_id").cast("string").alias("continent"),
-                         F.lit("none").alias("subregion"), F.array("rings").alias("polygons"))
-    member = v.table(spark, sf, "region").select(
-        F.col("r_regionkey").alias("laneset_id"), F.lit(0).alias("ordinal"),
-        F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("slug"),
-        F.lit("continent").alias("key_kind"), F.col("r_regionkey").cast("string").alias("key_value"))
+    """Polygons gathered into lanes by a membership table, in source order."""
+    countries = shapes(spark, sf).select(F.col("ordinal").alias("source_order"), F.col("laneset_id").cast("string").alias("continent"),
+                                         F.lit("none").alias("subregion"), F.array("rings").alias("polygons"))
+    k = F.col("n_nationkey")
+    member = v.table(spark, sf, "nation").select(k.alias("laneset_id"), F.lit(0).alias("ordinal"), F.concat(F.lit("nation-"), k.cast("string")).alias("slug"),
+                                                 F.lit("continent").alias("key_kind"), k.cast("string").alias("key_value"))
     g = L.group_into_lanes(countries, member)
-    first = F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(0))
-    k = (((first["lat"] + 90) / 36) * 5 + (first["lng"] + 180) / 72).cast("int")
-    return g.select("laneset_id", "slug", F.size("polygons").cast("long").alias("n_polygons"), "bbox.*", k.alias("first_polygon"))
+    east = sp.bbox(F.slice("polygons", 1, 1))["lng_max"]
+    return g.select("laneset_id", "slug", F.size("polygons").cast("long").alias("n_polygons"), "bbox.*", east.alias("first_polygon_east"))
 
 
 @query("geometry_bbox", """
-SELECT slug, CAST(min(lng) AS DOUBLE) AS lng_min, CAST(min(lat) AS DOUBLE) AS lat_min, CAST(max(lng) AS DOUBLE) AS lng_max, CAST(max(lat) AS DOUBLE) AS lat_max FROM v_ring GROUP BY slug""", ("v_ring",))
+SELECT slug, CAST(min(lng) AS DOUBLE) AS lng_min, CAST(min(lat) AS DOUBLE) AS lat_min, CAST(max(lng) AS DOUBLE) AS lng_max, CAST(max(lat) AS DOUBLE) AS lat_max FROM v_shape GROUP BY slug""", ("v_shape",))
 def geometry_bbox(spark, sf):
-    return polygons(spark, sf).select("slug", sp.bbox(F.array("rings")).alias("b")).select("slug", "b.*")
+    return shapes(spark, sf).select("slug", sp.bbox(F.array("rings")).alias("b")).select("slug", "b.*")
 
 
 @query("representative_point", """
-WITH b AS (SELECT slug, (min(lat)+max(lat))/2.0 AS lat FROM v_ring GROUP BY slug),
+WITH b AS (SELECT slug, (min(lat)+max(lat))/2.0 AS lat FROM v_shape GROUP BY slug),
 x AS (SELECT e.slug, b.lat, (x1-x2)*(b.lat-y2)/(y1-y2)+x2 AS x, row_number() OVER (PARTITION BY e.slug ORDER BY (x1-x2)*(b.lat-y2)/(y1-y2)+x2) AS i
- FROM v_edge e JOIN b ON b.slug=e.slug WHERE (y1>b.lat) <> (y2>b.lat)),
+ FROM v_shape_edge e JOIN b ON b.slug=e.slug WHERE (y1>b.lat) <> (y2>b.lat)),
 s AS (SELECT a.slug, a.lat, c.x-a.x AS width, (a.x+c.x)/2 AS mid FROM x a JOIN x c ON c.slug=a.slug AND c.i=a.i+1 AND a.i%2=1)
-SELECT slug, CAST(lat AS DOUBLE) AS lat, round(max_by(mid, width),6) AS lng FROM s GROUP BY slug, lat""", ("v_ring", "v_edge"))
+SELECT slug, CAST(lat AS DOUBLE) AS lat, round(max_by(mid, width),6) AS lng FROM s GROUP BY slug, lat""", ("v_shape", "v_shape_edge"))
 def representative_point(spark, sf):
     """A point that is certainly inside each polygon."""
-    p = polygons(spark, sf).select("slug", sp.filter_point(F.lit("polygon"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.array("rings")).alias("p"))
+    p = shapes(spark, sf).select("slug", sp.filter_point(F.lit("polygon"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.array("rings")).alias("p"))
     return p.select("slug", F.col("p.lat").alias("lat"), F.round("p.lng", 6).alias("lng"))
 
 
@@ -191,20 +193,20 @@ def polyline_length(spark, sf):
 
 
 @query("ring_clean", """
-SELECT slug, vtx, floor((lng+lat/7.0)*100+0.5)/100 AS lng, floor((lat-lng/7.0)*100+0.5)/100 AS lat FROM v_ring""", ("v_ring",))
+SELECT slug, vtx, floor((lng+lat/7.0)*100+0.5)/100 AS lng, floor((lat-lng/7.0)*100+0.5)/100 AS lat FROM v_shape""", ("v_shape",))
 def ring_clean(spark, sf):
     """Rounded to two places, halves up; the last vertex is put back by closing."""
-    vtx = v.ring_vertices(spark, sf).filter("vtx < 5").select(*RING, "vtx", (F.col("lng") + F.col("lat") / 7.0).alias("lng"), (F.col("lat") - F.col("lng") / 7.0).alias("lat"))
+    vtx = v.shape_vertices(spark, sf).filter("vtx < 5").select(*RING, "vtx", (F.col("lng") + F.col("lat") / 7.0).alias("lng"), (F.col("lat") - F.col("lng") / 7.0).alias("lat"))
     r = sp.rings_from_vertices(vtx, RING, "vtx").select("slug", sp.clean_ring(F.get("rings", F.lit(0))).alias("ring"))
     return r.select("slug", F.posexplode("ring").alias("vtx", "p")).select("slug", "vtx", "p.lng", "p.lat")
 
 
 @query("ring_simplify", """
-SELECT slug, vtx, CAST(lng AS DOUBLE) AS lng, CAST(lat AS DOUBLE) AS lat FROM v_ring WHERE vtx<5
-UNION ALL SELECT a.slug, 5, a.lng+(b.lng-a.lng)*3/4.0+0.1, a.lat+(b.lat-a.lat)*3/4.0 FROM v_ring a JOIN v_ring b ON b.slug=a.slug AND a.vtx=4 AND b.vtx=5""", ("v_ring",))
+SELECT slug, vtx, CAST(lng AS DOUBLE) AS lng, CAST(lat AS DOUBLE) AS lat FROM v_shape WHERE vtx<5
+UNION ALL SELECT a.slug, 5, a.lng+(b.lng-a.lng)*3/4.0+0.1, a.lat+(b.lat-a.lat)*3/4.0 FROM v_shape a JOIN v_shape b ON b.slug=a.slug AND a.vtx=4 AND b.vtx=5""", ("v_shape",))
 def ring_simplify(spark, sf):
     """Rings with three extra points near each edge; the pass drops them again."""
-    x = v.ring_vertices(spark, sf)
+    x = v.shape_vertices(spark, sf)
     w = W.partitionBy("slug").orderBy("vtx")
     x = x.withColumns({"nx": F.lead("lng").over(w), "ny": F.lead("lat").over(w)}).filter("nx IS NOT NULL")
     steps = F.explode(F.array(*[F.lit(i) for i in range(4)]))
@@ -216,12 +218,12 @@ def ring_simplify(spark, sf):
 
 
 @query("rectangle_lanes", """
-SELECT n_nationkey, k AS vtx, CAST(CASE WHEN k IN (0,3,4) THEN n_nationkey*7-180 ELSE n_nationkey*7-170 END AS DOUBLE) AS lng, CAST(CASE WHEN k IN (0,1,4) THEN n_nationkey*3-90 ELSE n_nationkey*3-80 END AS DOUBLE) AS lat
-FROM nation JOIN (SELECT unnest([0,1,2,3,4]) AS k) ON true""")
+SELECT c_custkey, k AS vtx, CAST(CASE WHEN k IN (0,3,4) THEN c_custkey%50*7-180 ELSE c_custkey%50*7-173 END AS DOUBLE) AS lng, CAST(CASE WHEN k IN (0,1,4) THEN c_custkey%50*3-90 ELSE c_custkey%50*3-80 END AS DOUBLE) AS lat
+FROM customer JOIN (SELECT unnest([0,1,2,3,4]) AS k) ON true""")
 def rectangle_lanes(spark, sf):
-    n = F.col("n_nationkey")
-    r = v.table(spark, sf, "nation").select("n_nationkey", sp.rectangle(n * 7 - 180, n * 3 - 90, n * 7 - 170, n * 3 - 80).alias("rings"))
-    return r.select("n_nationkey", F.posexplode(F.get("rings", F.lit(0))).alias("vtx", "p")).select("n_nationkey", "vtx", "p.lng", "p.lat")
+    n = F.col("c_custkey") % 50
+    r = v.table(spark, sf, "customer").select("c_custkey", sp.rectangle(n * 7 - 180, n * 3 - 90, n * 7 - 173, n * 3 - 80).alias("rings"))
+    return r.select("c_custkey", F.posexplode(F.get("rings", F.lit(0))).alias("vtx", "p")).select("c_custkey", "vtx", "p.lng", "p.lat")
 
 
 @query("circle_extent", "SELECT s_suppkey, round((s_suppkey*3.5)/111,6) AS degrees FROM supplier")

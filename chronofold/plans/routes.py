@@ -122,31 +122,31 @@ def relation_tree(spark, sf):
 
 
 def network(spark, sf):
-    """Lines along 100-step strips, cut after every tenth; a third runs backwards."""
+    """Nine lines in a row and one apart; a third of them runs backwards."""
     i = F.col("o_orderkey")
-    lat = (F.floor(i / 100) % 1500).cast("double") / 10 - 75
+    lat = (F.floor(i / 100) % 1500).cast("double") / 10 - 75 + F.when(i % 10 == 9, 0.05).otherwise(0.0)
     at = lambda k: F.struct(lat.alias("lat"), ((i % 100 + k).cast("double") / 5 - 60).alias("lng"))
     a, b = F.array(at(F.lit(0)), at(F.lit(1))), F.array(at(F.lit(1)), at(F.lit(0)))
-    return v.table(spark, sf, "orders").filter("o_orderkey % 10 <> 9").select(
-        i.alias("line"), F.when(i % 3 == 0, b).otherwise(a).alias("points"))
+    return v.table(spark, sf, "orders").select(i.alias("line"), F.when(i % 3 == 0, b).otherwise(a).alias("points"))
 
 
 @query("merged_lines", """
-SELECT o_orderkey AS line, o_orderkey-o_orderkey%10 AS chain, CASE WHEN (o_orderkey-o_orderkey%10)%3=0 THEN 8-CAST(o_orderkey%10 AS INT) ELSE CAST(o_orderkey%10 AS INT) END AS seq,
- (o_orderkey%3=0)<>((o_orderkey-o_orderkey%10)%3=0) AS turned FROM orders WHERE o_orderkey%10<>9""")
+SELECT o_orderkey AS line, CASE WHEN o_orderkey%10=9 THEN o_orderkey ELSE o_orderkey-o_orderkey%10 END AS chain,
+ CASE WHEN o_orderkey%10=9 THEN 0 WHEN (o_orderkey-o_orderkey%10)%3=0 THEN 8-CAST(o_orderkey%10 AS INT) ELSE CAST(o_orderkey%10 AS INT) END AS seq,
+ o_orderkey%10<>9 AND (o_orderkey%3=0)<>((o_orderkey-o_orderkey%10)%3=0) AS turned FROM orders""")
 def merged_lines(spark, sf):
     return J.merge_lines(network(spark, sf))
 
 
 @query("section_report", """
-WITH s AS (SELECT o_orderkey-o_orderkey%10 AS chain, count(*) AS n_lines, sum(2*6371*asin(sqrt(pow(cos(radians(lat)),2)*pow(sin(radians(0.2)/2),2)))) AS km
- FROM (SELECT o_orderkey, (floor(o_orderkey/100)%1500)/10-75 AS lat FROM orders WHERE o_orderkey%10<>9) GROUP BY 1)
-SELECT chain, n_lines, round(km,3) AS length_km FROM s WHERE km>=60""")
+WITH s AS (SELECT CASE WHEN o_orderkey%10=9 THEN o_orderkey ELSE o_orderkey-o_orderkey%10 END AS chain, count(*) AS n_lines, sum(2*6371*asin(sqrt(pow(cos(radians(lat)),2)*pow(sin(radians(0.2)/2),2)))) AS km
+ FROM (SELECT o_orderkey, (floor(o_orderkey/100)%1500)/10-75+CASE WHEN o_orderkey%10=9 THEN 0.05 ELSE 0 END AS lat FROM orders) GROUP BY 1)
+SELECT chain, n_lines, round(km,3) AS length_km FROM s WHERE km>=10""")
 def section_report(spark, sf):
-    """Chains of at least 60 km."""
+    """Chains of at least 10 km."""
     lines = network(spark, sf)
     s = J.chain_lengths(lines, J.merge_lines(lines))
-    return f.at_least_km(s, 60.0).select("chain", "n_lines", F.round("length_km", 3).alias("length_km"))
+    return f.at_least_km(s).select("chain", "n_lines", F.round("length_km", 3).alias("length_km"))
 
 
 @query("section_labels", """

@@ -164,12 +164,19 @@ def parse_countries(doc: DataFrame) -> DataFrame:
         "source_order", "continent", "subregion", as_multipolygon(F.col("kind"), F.col("coordinates")).alias("polygons"))
 
 
-def read_waypoint_features(spark: SparkSession, path: str) -> DataFrame:
-    """(path_id, pos, name, description, lng, lat) of point features; one path per file."""
-    shape = ("features array<struct<properties:struct<name:string,description:string>,"
+WAYPOINTS = ("features array<struct<properties:struct<name:string,description:string>,"
              "geometry:struct<type:string,coordinates:array<double>>>>")
-    f = whole_json(spark, path, shape)
-    f = f.select(F.col("_metadata.file_name").alias("path_id"), F.posexplode("features").alias("pos", "f"))
+
+
+def read_waypoint_features(spark: SparkSession, path: str) -> DataFrame:
+    """One path per file."""
+    doc = whole_json(spark, path, WAYPOINTS)
+    return parse_waypoint_features(doc.select(F.col("_metadata.file_name").alias("path_id"), "features"))
+
+
+def parse_waypoint_features(doc: DataFrame) -> DataFrame:
+    """(path_id, pos, name, description, lng, lat) of point features."""
+    f = doc.select("path_id", F.posexplode("features").alias("pos", "f"))
     return f.select("path_id", "pos", "f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("lng"),
                     F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))
 
