@@ -68,7 +68,7 @@ def fact_times(spark, sf):
 
 
 @query("wkt_points", """
-SELECT entry_id, ordinal, CASE WHEN ordinal<>2 THEN lng END AS lng, CASE WHEN ordinal<>2 THEN lat END AS lat FROM v_locations""", ("v_locations",))
+SELECT entry_id, ordinal, CASE WHEN ordinal<>2 THEN round(lng,2) END AS lng, CASE WHEN ordinal<>2 THEN round(lat,2) END AS lat FROM v_locations""", ("v_locations",))
 def wkt_points(spark, sf):
     text = F.when(F.col("ordinal") == 2, "LINESTRING(1 2, 3 4)").otherwise(F.format_string("Point( %s  %s )", F.col("lng").cast("decimal(10,2)").cast("string"), F.col("lat").cast("decimal(10,2)").cast("string")))
     p = coords.wkt_point(text)
@@ -173,8 +173,8 @@ def category_union(spark, sf):
 
 
 @query("optional_places", """
-SELECT e.id, 'event' AS category, l.lat, l.lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id AND l.ordinal<2
-UNION ALL SELECT e.id, 'person', l.lat, l.lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id+1 AND l.ordinal<2 AND e.id%4<>1
+SELECT e.id, 'event' AS category, round(l.lat,2) AS lat, round(l.lng,2) AS lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id AND l.ordinal<2
+UNION ALL SELECT e.id, 'person', round(l.lat,2), round(l.lng,2) FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id+1 AND l.ordinal<2 AND e.id%4<>1
 UNION ALL SELECT e.id, 'concepts', NULL, NULL FROM v_entries e""", ("v_entries", "v_locations"))
 def optional_places(spark, sf):
     """A place on the item, on a linked item, or none; n places give n rows."""

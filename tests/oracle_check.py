@@ -1,9 +1,11 @@
-"""Run registered queries and their SQL side by side: python tests/oracle_check.py [sf] [name...]"""
+"""Run registered queries and their SQL side by side: [EXACT=1] python tests/oracle_check.py [sf] [name...]"""
 import datetime, decimal, math, sys, time, os
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb
 from pyspark.sql import SparkSession
 
+# EXACT=1 compares floating values to the last bit.
+EXACT = os.environ.get("EXACT") == "1"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -14,6 +16,8 @@ def norm(v):
         return str(v)
     if isinstance(v, decimal.Decimal):
         v = float(v)
+    if isinstance(v, float) and EXACT:
+        return repr(v)
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.9g}" if v != int(v) or abs(v) > 1e15 else str(int(v))
     if isinstance(v, (list, tuple)):
@@ -47,7 +51,7 @@ def compare(spark, con, sf_dir, name, queries, oracles):
     want = sorted(tuple(norm(r[i]) for i in idx) for r in cur.fetchall())
     if got == want:
         return len(got), ""
-    a, b = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+    a, b = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
     return len(got), f"{cols} rows {len(got)} vs {len(want)}\n   spark {a}\n   duck  {b}"
 
 
