@@ -90,7 +90,7 @@ def whole_year_bounds(spark, sf):
 
 @query("merge_by_id", """
 SELECT id, min_by(title, seq) AS title, count(DISTINCT (lat, lng)) FILTER (lat IS NOT NULL) AS n_points, min_by(lat, seq) FILTER (lat IS NOT NULL) AS first_lat FROM (
- SELECT entry_id%997 AS id, entry_id*10+ordinal AS seq, concat('t',CAST(entry_id AS STRING)) AS title, CASE WHEN ordinal%4<>3 THEN round(lat/10)*10 END AS lat, CASE WHEN ordinal%4<>3 THEN round(lng/10)*10 END AS lng FROM v_locations) GROUP BY id""", ("v_locations",))
+ SELECT entry_id%997 AS id, entry_id*10+ordinal AS seq, concat('t',CAST(entry_id AS STRING)) AS title, CASE WHEN ordinal%4<>3 THEN round(lat/10)*10+0 END AS lat, CASE WHEN ordinal%4<>3 THEN round(lng/10)*10+0 END AS lng FROM v_locations) GROUP BY id""", ("v_locations",))
 def merge_by_id(spark, sf):
     """Rows with one id become one row: first values, all different points."""
     has = F.col("ordinal") % 4 != 3
