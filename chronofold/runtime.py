@@ -65,3 +65,33 @@ def spread(df: DataFrame) -> DataFrame:
     single small file does; large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Work:
+    """Intermediate tables of one operator in the shared folder.
+
+    `cut` writes a table and reads it back; `drop` deletes tables that no later
+    step reads.  What the returned plan still reads stays.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.label = spark, label
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, f"{self.label}-{name}")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self._paths.pop(id(t), (None, None))
+            if path:
+                remove_path(self.spark, path)
