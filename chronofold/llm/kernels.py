@@ -6,7 +6,7 @@ does not follow the size of a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,11 +156,11 @@ class Circulant:
             np.minimum(best, self.runs[places[lo:lo + self.step]].min(axis=0), out=best)
         return best
 
-    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
+    def keys(self, sets: Iterable[np.ndarray]) -> np.ndarray:
         """One row of band keys for each (non-empty) set of shingle hashes."""
         sig = np.stack([self.minima((s >> U64(64 - self.BITS)).astype(np.int64)) for s in sets]).astype(U64)
-        sig = sig.reshape(len(sets), self.bands, self.rows)
-        out = np.zeros((len(sets), self.bands), U64) + np.arange(1, self.bands + 1, dtype=U64) * ODD[40]
+        sig = sig.reshape(-1, self.bands, self.rows)
+        out = np.zeros(sig.shape[:2], U64) + np.arange(1, self.bands + 1, dtype=U64) * ODD[40]
         for j in range(self.rows):
             out = mix(out + sig[:, :, j] * ODD[41 + j])
         return out.view(np.int64)

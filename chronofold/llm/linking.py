@@ -1,4 +1,4 @@
-"""From band buckets to verified components, without making all pairs of a bucket."""
+"""From band buckets to verified components, without making the pairs of a bucket."""
 
 from __future__ import annotations
 
@@ -11,121 +11,138 @@ from pyspark.sql import DataFrame, functions as F
 from chronofold.llm.components import components
 from chronofold.runtime import Work, broadcast_if_small
 
-#: Rows of narrow id tables (two or three longs, under 64 MB) that may be broadcast.
+#: Rows of narrow id tables (a few longs, under 64 MB) that may be broadcast.
 NARROW_ROWS = 1_000_000
-#: Members that one hub is compared with in one group; a hub with more has several groups.
-GROUP = 64
-#: Pairs between components for each bucket row, up to which they are made outright.
-PAIRS_A_ROW = 4
+#: Members in one group of a round; hubs in one.
+MEMBERS, HUBS = 512, 256
 
 SetsOf = Callable[[pa.Array], Iterator[np.ndarray]]
+LINK = "u long, v long"
 
 
 def buckets(keys: DataFrame, work: Work) -> DataFrame:
     """(key, id, hub): the rows of buckets that hold more than one id; hub is the smallest.
 
-    keys: (id, n, keys array<long>).  Keys are counted with map-side partial
+    keys: (id, keys array<long>).  Keys are counted with map-side partial
     aggregates, so a bucket of any size is one small row before it meets the
     rows again.
     """
-    rows = keys.select(F.explode("keys").alias("key"), "id", "n")
+    rows = keys.select(F.explode("keys").alias("key"), "id")
     shared = (rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
               .where("hub < last").select("key", "hub"))
     shared = work.cut(shared, "shared")
-    out = work.cut(rows.join(broadcast_if_small(shared, 2 * NARROW_ROWS), "key"), "buckets")
+    out = work.cut(rows.join(broadcast_if_small(shared, 2 * NARROW_ROWS), "key").distinct(), "buckets")
     work.drop(shared)
     return out
 
 
-def verified(pairs: DataFrame, with_texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int, work: Work) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, as (u, v).
+class HubIndex:
+    """The sets of a group's hubs; one look-up counts what a set shares with each of them."""
 
-    with_texts adds the text to a table with the column id.  A hub's text goes
-    once to each group of GROUP members at most, so no hub, however many
-    members it has, is one task.
+    def __init__(self, ids: list[int], parts: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.parts = np.array(ids), np.array(parts)
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, first = np.unique(flat[order], return_index=True)
+        self.ends = np.append(first, len(flat))
+
+    def linked(self, part: int, s: np.ndarray, percent: int) -> list[int]:
+        """Hubs of other components that are near enough, one for each component."""
+        at = np.searchsorted(self.values, s)
+        at = at[at < len(self.values)] if len(at) and at[-1] >= len(self.values) else at
+        at = at[self.values[at] == s[:len(at)]]
+        a, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        spots = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owners[spots], minlength=len(self.ids))
+        near = np.flatnonzero((both > 0) & (self.parts != part) & (100 * both >= percent * (self.sizes + len(s) - both)))
+        return self.ids[near[np.unique(self.parts[near], return_index=True)[1]]].tolist()
+
+
+def verified(needs: DataFrame, with_texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
+    """(u, v): each member's links to the hubs of its group in other components, by full sets.
+
+    needs: (g, salt, id, side, component); side is 0 for hubs, 1 for members of group (g, salt).
+    with_texts adds the text to a table with the column id.
     """
-    pairs = work.cut(pairs, "pairs")
-    crowded = pairs.groupBy("a").agg(F.count("*").alias("degree")).where(F.col("degree") > GROUP)
-    groups = pairs.join(broadcast_if_small(crowded, NARROW_ROWS), "a", "left").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("degree") / GROUP), F.lit(1))).cast("int").alias("salt"))
-    groups = work.cut(groups, "groups")
-    needs = work.cut(groups.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("side"))
-                     .unionAll(groups.select("a", "a", "salt", F.lit(0)).distinct()), "needs")
-    work.drop(pairs, groups)
-    sides = with_texts(needs).select("a", "salt", "id", "text", "side")
-    ordered = sides.repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "id")
+    ordered = (with_texts(needs).select("g", "salt", "side", "id", "component", "text")
+               .repartition("g", "salt").sortWithinPartitions("g", "salt", "side", "id"))
 
     def compare(batches):
-        hub, hub_sets = None, []
+        group, hubs, index = None, [], None
         for batch in batches:
-            found_a, found_b = [], []
-            sets = sets_of(batch.column("text"))
-            for a, salt, id_, side, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "id", "side")), sets):
+            us, vs = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "side", "id", "component")))
+            for (g, salt, side, id_, part), s in zip(rows, sets_of(batch.column("text"))):
+                if group != (g, salt):
+                    group, hubs, index = (g, salt), [], None
                 if side == 0:
-                    if hub != (a, salt):
-                        hub, hub_sets = (a, salt), []
-                    hub_sets.append(s)  # an id may have several rows
-                    continue
-                for h in hub_sets if hub == (a, salt) else ():
-                    both = len(np.intersect1d(h, s, assume_unique=True)) if min(len(h), len(s)) * 100 >= percent * max(len(h), len(s)) else 0
-                    if both and 100 * both >= percent * (len(h) + len(s) - both):
-                        found_a.append(a)
-                        found_b.append(id_)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["u", "v"])
-
-    out = work.cut(ordered.mapInArrow(compare, "u long, v long"), "links")
-    work.drop(needs)
-    return out
+                    hubs.append((id_, part, s))
+                elif hubs and len(s):
+                    index = index or HubIndex(*map(list, zip(*hubs)))
+                    for u in index.linked(part, s, percent):
+                        us.append(u)
+                        vs.append(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return ordered.mapInArrow(compare, LINK)
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """The first round: every bucket's smallest id with the ids it meets in any bucket."""
+    pairs = members.where("hub != id").select(F.col("hub").alias("g"), "id").distinct()
+    sizes = pairs.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    rows = (pairs.join(broadcast_if_small(sizes.where("salts > 1"), NARROW_ROWS), "g", "left")
+            .select("g", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "id", F.lit(1).alias("side"), F.col("id").alias("component")))
+    hubs = rows.select("g", "salt").distinct().select("g", "salt", F.col("g").alias("id"), F.lit(0).alias("side"), F.col("g").alias("component"))
+    return hubs.unionAll(rows)
 
 
 def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int,
            work: Work) -> tuple[DataFrame, DataFrame]:
-    """Components of the similarity graph over the pairs that share a bucket.
-
-    members: (key, id, n, hub).  with_texts adds the text to a table with the column id.
-    Each bucket's smallest id, its hub, is compared with the bucket's members of
-    other components and then leaves the bucket.  Buckets whose other members
-    are all in one component are done: no pair left in them can change a
-    component.  When the pairs between components that are left are few for
-    the number of rows, they are compared outright; till then the next hubs are
-    taken.  No pair of different components is left uncompared, and the
-    pairs made in a round are in proportion to the rows.
-
-    Gives (id, component) of all linked ids, and the verified edges (u, v).
+    """(id, component) of all linked ids and the edges (u, v) that tie them, over the pairs that share a bucket.
+
+    members: (key, id, hub).  with_texts adds the text to a table with the column id.
+
+    First each bucket's smallest id is compared with the others.  A bucket whose ids are
+    then in one component is done.  In the others, the ids outside the bucket's
+    largest component are compared with all its ids: any pair of two components has such an
+    id.  Where these are many, a few ids of the bucket are taken instead, twice as many
+    in each round, which as a rule joins most of the rest.  Ids that were
+    compared with the whole bucket leave it.  So no pair of different
+    components stays uncompared, the rounds grow with the logarithm of the largest bucket, and
+    a bucket's rows move once a round for each HUBS of its hubs, not once a pair.
     """
-    spark = members.sparkSession
-    edges = spark.createDataFrame([], "u long, v long")
-    labels = spark.createDataFrame([], "id long, component long")
-    pairs = members.where("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    last = False
+    needs = work.cut(_stars(members), "needs")
+    edges = work.cut(verified(needs, with_texts, sets_of, percent), "links")
+    work.drop(needs)
+    rest, several = members.where("hub != id").select("key", "id"), 8
     while True:
-        found = verified(pairs, with_texts, sets_of, percent, work)
-        edges = work.cut(edges.unionAll(found), "verified")
         labels = work.cut(components(edges, work), "labels")
-        if last:
-            return labels, edges
-        before = members
-        rest = members.where("hub != id").drop("hub", "component")
-        rest = (rest.join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
-                .withColumn("component", F.coalesce("component", "id")))
-        rest = work.cut(rest, "rest")
-        sizes = rest.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("least"))
-        open_ = work.cut(sizes.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"),
-                                                  F.min("least").alias("hub"), F.count("*").alias("parts"))
-                         .where("parts > 1"), "open")
-        members = work.cut(rest.join(broadcast_if_small(open_.select("key", "hub"), NARROW_ROWS), "key"), "members")
-        work.drop(before, rest)
-        n, left = open_.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2)).first()
-        work.drop(open_)
-        if not n:
+        rows = work.cut(rest.join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
+                        .select("key", "id", F.coalesce("component", "id").alias("component")), "rows")
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        open_ = (parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
+                 .where("parts > 1").select("key", "n", F.col("top.component").alias("top"), (F.col("n") - F.col("top.c")).alias("outside")))
+        open_ = work.cut(open_, "open")
+        work.drop(members)
+        if open_.isEmpty():
+            work.drop(rows, open_)
             return labels, edges
-        x, y = members.alias("x"), members.alias("y")
-        if left <= PAIRS_A_ROW * n:
-            last = True
-            pairs = (x.join(y, F.expr("x.key = y.key and x.id < y.id and x.component != y.component"))
-                     .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-        else:
-            hubs = members.where("id = hub").select("key", F.col("component").alias("of"))
-            pairs = (members.join(hubs, "key").where("component != of")
-                     .select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        live = rows.join(broadcast_if_small(open_, NARROW_ROWS), "key")
+        share = F.pmod(F.xxhash64("key", "id", F.lit(several)), F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * several * (1 << 30)
+        hub = F.when(F.col("outside") <= several, F.col("component") != F.col("top")).otherwise(share)
+        live = live.select("key", "id", "component", "n", hub.alias("hub"), F.when(F.col("outside") <= several, F.col("outside")).otherwise(F.lit(2 * several)).alias("hubs"))
+        salts, blocks = F.ceil(F.col("n") / MEMBERS).cast("int"), F.ceil(F.col("hubs") / HUBS).cast("int")
+        block = lambda b: F.xxhash64("key", b)
+        to_hubs = (live.where("hub").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+                   .select(block(F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("g"), "salt", "id", F.lit(0).alias("side"), "component"))
+        to_members = (live.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                      .select(block(F.col("b")).alias("g"), F.pmod(F.xxhash64("id", F.lit(1)), salts).cast("int").alias("salt"), "id", F.lit(1).alias("side"), "component"))
+        needs = work.cut(to_hubs.unionAll(to_members), "needs")
+        found = verified(needs, with_texts, sets_of, percent)
+        more = work.cut(edges.unionAll(found), "links")
+        members = work.cut(live.where("not hub").select("key", "id"), "members")
+        work.drop(needs, edges, labels, rows, open_)
+        edges, rest, several = more, members, 2 * several

@@ -66,7 +66,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     real = signed.where("n > 0 and id is not null")
     # Equal sets are one class from here on; the map side folds copies first.
     classes = work.cut(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")), "classes")
-    members = buckets(classes.select(F.col("rep").alias("id"), "n", "keys"), work)
+    members = buckets(classes.select(F.col("rep").alias("id"), "keys"), work)
 
     def with_texts(needs: DataFrame) -> DataFrame:
         return docs.join(broadcast_if_small(needs, NARROW_ROWS), "id")

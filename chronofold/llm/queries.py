@@ -52,3 +52,28 @@ FROM s JOIN c ON s.doc_id = c.x""")
 def op7_near_duplicates(spark, sf_dir):
     from chronofold.llm.near_duplicates import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query()
+def op6_line_dedup(spark, sf_dir):
+    """Per document: its lines left, the numbers of the lines that went, a digest of the text left."""
+    from chronofold.llm.line_dedup import dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="dropped_lines")
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "dropped_lines",
+                      F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op8_decontamination(spark, sf_dir):
+    """The benchmark items found in each document; documents without any have no row."""
+    from chronofold.llm.decontamination import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from chronofold.llm import bpe
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
