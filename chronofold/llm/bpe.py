@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -18,16 +19,19 @@ LEAF = 1024
 #: Tokens on each side of a join that are encoded anew at first.
 WINDOW = 8
 #: Words whose tokens a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
-# Fixed values of byte-level BPE: the splitting pattern and the characters that stand for bytes.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed values of byte-level BPE: the characters that stand for bytes.
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(b) for b in PLAIN_BYTES} | {
     b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in set(PLAIN_BYTES))}
 
-#: Texts of other characters are left to the library, whose tables of letters and spaces may be of another Unicode version.
-COMMON = r"[\t\n\r\x20-\x7e\xa0-ſ‐-‧‰-⁞]*"
+#: The same splits for texts of these characters alone, without tables of letters; other texts are
+#: left to the library, whose tables may be of another Unicode version.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+COMMON = "[\t\n\r\x20-\x7e\u00a0-\u017f\u2010-\u2027\u2030-\u205e]*"
+COMMON_PATTERN = ("'s|'t|'re|'ve|'m|'ll|'d| ?[" + LETTERS + "]+| ?[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+"
+                  "| ?[^\\s" + LETTERS + "0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+|\\s+(?!\\S)|\\s+")
 
 
 def byte_string(text: str) -> str:
@@ -39,13 +43,12 @@ class Codec:
 
     def __init__(self, path: str | bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(path) if isinstance(path, bytes) else Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = regex.compile(PATTERN).findall
-        self.common = regex.compile(COMMON).fullmatch
+        self.split = re.compile(COMMON_PATTERN).findall
+        self.common = re.compile(COMMON).fullmatch
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.words: dict[str, bytes] = {}
 
@@ -95,9 +98,8 @@ class Codec:
 
     def segments(self, text: str) -> Iterable[tuple[str, bool]]:
         """(text, unsplit): the text in order; unsplit pieces are single words of LEAF characters or more."""
-        import regex
         plain: list[str] = []
-        for run in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text) if self.special else [text]:
+        for run in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]:
             if run in self.special:
                 plain.append(run)
                 continue

@@ -77,3 +77,17 @@ def op4_bpe(spark, sf_dir):
     from chronofold.llm import bpe
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def fold(parts: int):
+    """crc32 of the decimal doc_id, modulo parts."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query()
+def op3_language_id(spark, sf_dir):
+    from chronofold.llm import language_id
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(fold(4) != 2))
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
