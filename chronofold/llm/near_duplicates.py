@@ -85,3 +85,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "id").alias("component_id"),
                     F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each class of near copies, that of the smallest doc_id.
+
+    All columns stay.  Of rows that repeat a doc_id one stays, that of the
+    smallest text.  Rows with a null doc_id and texts without a word stay.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = Work(docs.sparkSession, "near").cut(kept.select(F.col("doc_id").alias("__llm_id"), "n"), "kept")
+    once, more = kept.where("n = 1").drop("n"), kept.where("n > 1").drop("n")
+    same = F.col("doc_id").cast("long") == F.col("__llm_id")
+    out = docs.join(broadcast_if_small(once, NARROW_ROWS), same, "left_semi").unionAll(docs.where("doc_id is null"))
+    if not more.isEmpty():
+        rows = docs.join(broadcast_if_small(more, NARROW_ROWS), same, "left_semi")
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.unionAll(rows.groupBy(F.col("doc_id").alias("__llm_id")).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("__llm_row"))
+                           .select("__llm_row.*"))
+    return out

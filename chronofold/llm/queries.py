@@ -91,3 +91,15 @@ def op3_language_id(spark, sf_dir):
     model = language_id.fit(docs.where(fold(4) != 2))
     return language_id.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op5_sharding(spark, sf_dir):
+    from chronofold.llm.sharding import shard
+    return shard(table(spark, sf_dir, "documents"))
+
+
+@query()
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
