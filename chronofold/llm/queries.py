@@ -103,3 +103,10 @@ def op5_sharding(spark, sf_dir):
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query()
+def op2_vector_search(spark, sf_dir):
+    from chronofold.llm.vector_search import nearest
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
