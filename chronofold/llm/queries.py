@@ -110,3 +110,13 @@ def op2_vector_search(spark, sf_dir):
     from chronofold.llm.vector_search import nearest
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query()
+def op10_quality(spark, sf_dir):
+    from chronofold.llm import quality
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", "quality")
+    model = quality.fit(docs.join(labels, "doc_id"))
+    return quality.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score",
+                                             (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("predicted"))
