@@ -120,3 +120,15 @@ def op10_quality(spark, sf_dir):
     model = quality.fit(docs.join(labels, "doc_id"))
     return quality.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score",
                                              (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("predicted"))
+
+
+@query()
+def op1_license_scan(spark, sf_dir):
+    from chronofold.llm.licenses import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_quotations(spark, sf_dir):
+    from chronofold.llm.quotations import link_quotations
+    return link_quotations(table(spark, sf_dir, "conversations"))
