@@ -29,9 +29,8 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     least = least.select("node", F.least("node", "m").alias("m"))
     tied = out.join(least, "node")
     if both_ways:
-        made = tied.where("near > node").select(F.col("near").alias("v"), F.col("m").alias("u"))
-    else:
-        made = tied.select(F.col("near").alias("v"), F.col("m").alias("u")).unionAll(least.select("node", "m"))
+        return tied.where("near > node and near != m").select(F.col("near").alias("v"), F.col("m").alias("u"))
+    made = tied.select(F.col("near").alias("v"), F.col("m").alias("u")).unionAll(least.select("node", "m"))
     return made.where("v != u").distinct()
 
 
@@ -42,11 +41,13 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs no
     more than that round.  Rounds grow with the logarithm of the longest chain.
     """
-    edges = work.cut(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    while not _is_forest_of_stars(edges):
+    edges = edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = True
+    while first or not _is_forest_of_stars(edges):
         large = work.cut(_stars(edges, True), "large")
-        work.drop(edges)
-        edges = work.cut(_stars(large, False), "small")
+        if not first:
+            work.drop(edges)
+        edges, first = work.cut(_stars(large, False), "small"), False
         work.drop(large)
     return (edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
             .unionAll(edges.select("u", "u").distinct()))

@@ -154,7 +154,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     work = Work(docs.sparkSession, "lines")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = work.cut(narrow.mapInArrow(_line_keys(bands, rows), "id long, h2 long, doc_id long, line_no int, keys array<long>"), "lines")
-    members = buckets(lines.select("id", "keys"), work)
+    members = buckets(lines.select("id", "keys"), work, repeats=True)
     places = lines.select("id", "doc_id", "line_no")
 
     def with_texts(needs: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ SetsOf = Callable[[pa.Array], Iterator[np.ndarray]]
 LINK = "u long, v long"
 
 
-def buckets(keys: DataFrame, work: Work) -> DataFrame:
+def buckets(keys: DataFrame, work: Work, repeats: bool = False) -> DataFrame:
     """(key, id, hub): the rows of buckets that hold more than one id; hub is the smallest.
 
-    keys: (id, keys array<long>).  Keys are counted with map-side partial
+    keys: (id, keys array<long>); repeats: an id may have several rows.  Keys are counted with map-side partial
     aggregates, so a bucket of any size is one small row before it meets the
     rows again.
     """
@@ -31,7 +31,8 @@ def buckets(keys: DataFrame, work: Work) -> DataFrame:
     shared = (rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
               .where("hub < last").select("key", "hub"))
     shared = work.cut(shared, "shared")
-    out = work.cut(rows.join(broadcast_if_small(shared, 2 * NARROW_ROWS), "key").distinct(), "buckets")
+    out = rows.join(broadcast_if_small(shared, 2 * NARROW_ROWS), "key")
+    out = work.cut(out.distinct() if repeats else out, "buckets")
     work.drop(shared)
     return out
 
@@ -108,16 +109,16 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
     First each bucket's smallest id is compared with the others.  A bucket whose ids are
     then in one component is done.  In the others, the ids outside the bucket's
     largest component are compared with all its ids: any pair of two components has such an
-    id.  Where these are many, a few ids of the bucket are taken instead, twice as many
+    id.  Where these are more than HUBS, so many ids of the bucket are taken instead, twice as many
     in each round, which as a rule joins most of the rest.  Ids that were
     compared with the whole bucket leave it.  So no pair of different
     components stays uncompared, the rounds grow with the logarithm of the largest bucket, and
     a bucket's rows move once a round for each HUBS of its hubs, not once a pair.
     """
     needs = work.cut(_stars(members), "needs")
-    edges = work.cut(verified(needs, with_texts, sets_of, percent), "links")
+    edges = work.cut(verified(needs, with_texts, sets_of, percent), "links")  # later: what ties the components so far
     work.drop(needs)
-    rest, several = members.where("hub != id").select("key", "id"), 8
+    rest, several = members.where("hub != id").select("key", "id"), HUBS
     while True:
         labels = work.cut(components(edges, work), "labels")
         rows = work.cut(rest.join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
@@ -133,7 +134,7 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
         live = rows.join(broadcast_if_small(open_, NARROW_ROWS), "key")
         share = F.pmod(F.xxhash64("key", "id", F.lit(several)), F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * several * (1 << 30)
         hub = F.when(F.col("outside") <= several, F.col("component") != F.col("top")).otherwise(share)
-        live = live.select("key", "id", "component", "n", hub.alias("hub"), F.when(F.col("outside") <= several, F.col("outside")).otherwise(F.lit(2 * several)).alias("hubs"))
+        live = live.select("key", "id", "component", "n", hub.alias("hub"), F.when(F.col("outside") <= several, F.col("outside")).otherwise(F.lit(several)).alias("hubs"))
         salts, blocks = F.ceil(F.col("n") / MEMBERS).cast("int"), F.ceil(F.col("hubs") / HUBS).cast("int")
         block = lambda b: F.xxhash64("key", b)
         to_hubs = (live.where("hub").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
@@ -142,7 +143,7 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
                       .select(block(F.col("b")).alias("g"), F.pmod(F.xxhash64("id", F.lit(1)), salts).cast("int").alias("salt"), "id", F.lit(1).alias("side"), "component"))
         needs = work.cut(to_hubs.unionAll(to_members), "needs")
         found = verified(needs, with_texts, sets_of, percent)
-        more = work.cut(edges.unionAll(found), "links")
+        more = work.cut(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).where("u != v").unionAll(found), "links")
         members = work.cut(live.where("not hub").select("key", "id"), "members")
         work.drop(needs, edges, labels, rows, open_)
         edges, rest, several = more, members, 2 * several
