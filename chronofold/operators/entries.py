@@ -8,7 +8,6 @@ from chronofold.functions import years
 from chronofold.functions.text import citation_label, citation_url
 from chronofold.operators.filters import only_eras
 from chronofold.runtime import broadcast_if_small, cut
-from chronofold.schema import MAX_LIMIT
 
 
 def nested_locations(locations: DataFrame, *fields: str) -> DataFrame:
@@ -26,20 +25,22 @@ def with_locations(entries: DataFrame, locations: DataFrame, *fields: str) -> Da
 
 
 def page_with_locations(top: DataFrame, locations: DataFrame, *fields: str) -> DataFrame:
-    """The same for a search's first rows, at most MAX_LIMIT of them.
+    """The same for a search's rows, all that it is given.
 
-    They are written out, so the search runs once, and their ids are broadcast
+    They are written out, so the search runs once, and their ids, if few, are broadcast
     into the location scan, so only their locations are gathered.
     """
-    top = cut(top.limit(MAX_LIMIT), "page")
-    ids = F.broadcast(top.select(F.col("id").alias("entry_id")))
+    top = cut(top, "page")
+    ids = broadcast_if_small(top.select(F.col("id").alias("entry_id")))
     return with_locations(top, locations.join(ids, "entry_id", "left_semi"), *fields)
 
 
 def location_json(kind: Column) -> Column:
-    """One location row as the JSON object of its kind."""
+    """One stored location row as the JSON object of its kind; ring points are [lng, lat]."""
     label, uncertain = F.col("label"), F.col("uncertain")
     tail = [uncertain.alias("uncertain"), label.alias("label")]
+    pair = lambda p: F.array(p["lng"], p["lat"])
+    shapes = F.transform("polygons", lambda rings: F.transform(rings, lambda ring: F.transform(ring, pair)))
 
     def js(*cols):
         return F.to_json(F.struct(kind.alias("type"), *cols), {"ignoreNullFields": "false"})
@@ -47,8 +48,8 @@ def location_json(kind: Column) -> Column:
     return (F.when(kind == "point", js(F.col("lat").alias("lat"), F.col("lng").alias("lng"), *tail))
             .when(kind == "circle", js(F.col("lat").alias("centerLat"), F.col("lng").alias("centerLng"),
                                        F.col("radius_km").alias("radiusKm"), *tail))
-            .when(kind == "polygon", js(F.get("polygons", F.lit(0)).alias("rings"), *tail))
-            .when(kind == "multipolygon", js(F.col("polygons").alias("polygons"), *tail))
+            .when(kind == "polygon", js(F.get(shapes, F.lit(0)).alias("rings"), *tail))
+            .when(kind == "multipolygon", js(shapes.alias("polygons"), *tail))
             .when(kind == "path", js(F.col("waypoints").alias("waypoints"), label.alias("label")))
             .otherwise(F.raise_error(F.concat(F.lit("unknown location kind: "), kind))))
 

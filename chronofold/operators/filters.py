@@ -83,7 +83,7 @@ def at_least_km(df: DataFrame, floor_km: float = 10.0) -> DataFrame:
     return df.filter(F.col("length_km") >= floor_km)
 
 
-def first_entries(df: DataFrame, limit: int = 100, descending: bool = False, most: int = 500) -> DataFrame:
-    """Earliest (or latest) entries; one TakeOrdered, no full sort."""
+def first_entries(df: DataFrame, limit: int = 100, descending: bool = False, most: int | None = None) -> DataFrame:
+    """Earliest (or latest) entries, `most` at most if given; one TakeOrdered, no full sort."""
     start = F.col("start_year").desc() if descending else F.col("start_year").asc()
-    return df.orderBy(start, F.col("slug")).limit(min(most, limit))
+    return df.orderBy(start, F.col("slug")).limit(limit if most is None else min(most, limit))

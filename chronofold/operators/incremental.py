@@ -39,18 +39,22 @@ def chunks_left(chunks: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 def records_of(records: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Records whose year lies in one of the (disjoint) chunks, with the chunk's bounds."""
-    years = chunks.select("low", "high", F.explode(F.sequence("low", "high")).alias("year"))
-    return records.join(broadcast_if_small(years), "year")
+    """Records whose category and year lie in one of the (disjoint) chunks, with the chunk's bounds."""
+    years = chunks.select("category", "low", "high", F.explode(F.sequence("low", "high")).alias("year"))
+    return records.join(broadcast_if_small(years), ["category", "year"])
 
 
 def load_chunks(records: DataFrame, chunks: DataFrame, progress: DataFrame, path: str) -> DataFrame:
     """Load the chunks not yet recorded, all in one job, each into its own partition
-    (loading one again replaces it), and return the new progress table."""
+    (loading one again replaces it), and return the new progress table.
+
+    Only the chunks just written are counted: the partition columns prune the rest.
+    """
     left = cut(chunks_left(chunks, progress), "chunks-left")
-    part = records_of(records, left)
-    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("low", "high").parquet(path)
-    loaded = records.sparkSession.read.parquet(path).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"))
-    done = left.select("category", "low", "high").join(loaded, ["low", "high"], "left").select(
+    part, keys = records_of(records, left), ["category", "low", "high"]
+    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    stored = records.sparkSession.read.schema(part.schema).parquet(path)
+    loaded = stored.join(broadcast_if_small(left.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    done = left.select(*keys).join(loaded, keys, "left").select(
         "category", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.current_timestamp().alias("completed_at"))
     return record_progress(progress, done)

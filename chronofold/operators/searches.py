@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronofold.operators.filters import without_eras
 from chronofold.operators.spatial import containing
-from chronofold.runtime import broadcast_if_small
-from chronofold.schema import CATEGORIES, DEFAULT_LIMIT, MAX_LIMIT, YEAR_CEILING, YEAR_FLOOR
+from chronofold.runtime import broadcast_if_small, cut
+from chronofold.schema import CATEGORIES, DEFAULT_LIMIT
 
 # Years per time bucket of the many-searches join, and the span that is cut into
 # buckets; everything before or after falls into the first or last one.
 BUCKET_YEARS, BUCKET_FROM, BUCKET_TO = 250, -10_000, 3_000
 
 
-def resolve(spec: DataFrame, years: tuple[int, int] = (YEAR_FLOOR, YEAR_CEILING),
-            box: tuple[float, float, float, float] | None = None) -> DataFrame:
+def resolve(spec: DataFrame, years: tuple[float, float] = (float("-inf"), float("inf")),
+            box: tuple[float, float, float, float] | None = None, most: int | None = None) -> DataFrame:
     """One row of bounds per search.
 
     spec: (query_id, seq, kind, str_value, lo, hi), kinds category, text, year,
     lat, lng, inside, outside, limit.  Of category, text, inside, outside and limit
     the last line counts; year, lat and lng ranges are intersected, a reversed one
     put in order first, together with the caller's years and box
-    (lat_min, lat_max, lng_min, lng_max).  Unknown categories drop out of a line,
+    (lat_min, lat_max, lng_min, lng_max).  A limit is cut to `most` if that is given.  Unknown categories drop out of a line,
     and a line with none left is as if not there.
     """
     names = F.filter(F.transform(F.split("str_value", ","), lambda s: F.lower(F.trim(s))), lambda s: s.isin(*CATEGORIES))
@@ -41,7 +41,7 @@ def resolve(spec: DataFrame, years: tuple[int, int] = (YEAR_FLOOR, YEAR_CEILING)
         low("lat").alias("lat_min"), high("lat").alias("lat_max"), low("lng").alias("lng_min"), high("lng").alias("lng_max"),
         last(F.col("names")).alias("categories"), last(text).alias("text"),
         last(of("inside", F.col("str_value"))).alias("inside"), last(of("outside", F.col("str_value"))).alias("outside"),
-        F.least(F.coalesce(last(limit), F.lit(DEFAULT_LIMIT)), F.lit(MAX_LIMIT)).alias("row_limit"))
+        F.least(F.coalesce(last(limit), F.lit(DEFAULT_LIMIT)), F.lit(most)).cast("int").alias("row_limit"))
 
 
 def _bucket(year):
@@ -54,10 +54,18 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
 
     Searches and entries meet on category and time bucket, both sides listing the
     buckets they touch (at most 53), and a pair counts only in the first bucket the
-    two share.  Ranks are cut to the ceiling before the shuffle.
+    two share.  Searches with the same bounds are run once and their rows handed to
+    each.  Ranks are cut to the largest limit before the shuffle, and only boundaries that
+    a search names are looked into.
 
     entries carry tags; primary: (entry_id, lat, lng); boundaries: (slug, part, rings).
     """
+    same = F.to_json(F.struct(*[c for c in bounds.columns if c != "query_id"]))
+    asked = cut(bounds.withColumn("bounds", same), "bounds")
+    leaders = asked.groupBy("bounds").agg(F.min("query_id").alias("leader"))
+    owners = asked.select("query_id", "bounds").join(leaders, "bounds").select("query_id", "leader")
+    bounds = asked.join(leaders, [asked["bounds"] == leaders["bounds"], asked["query_id"] == leaders["leader"]], "left_semi").drop("bounds")
+    most = asked.agg(F.max("row_limit")).first()[0] or 0
     e = without_eras(entries)
     if primary is not None:
         e = e.join(primary.select(F.col("entry_id").alias("id"), "lat", "lng"), "id", "left")
@@ -79,11 +87,14 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
         & (F.col("lng_min").isNull() | F.coalesce(F.col("lng").between(F.col("lng_min"), F.col("lng_max")), F.lit(False))))
     hit = hit.select("query_id", "id", "slug", "start_year", "inside", "outside", "row_limit")
     if primary is not None and boundaries is not None:
+        named = bounds.select(F.explode(F.array("inside", "outside")).alias("slug")).where("slug is not null").distinct()
+        boundaries = boundaries.join(broadcast_if_small(named), "slug", "left_semi")
         within = containing(primary, boundaries, ["slug"]).select(F.col("entry_id").alias("id"), F.col("slug").alias("boundary")).distinct()
         inside = within.withColumn("is_in", F.lit(True)).withColumnRenamed("boundary", "inside")
         outside = within.withColumnRenamed("boundary", "outside")
         hit = hit.join(inside, ["id", "inside"], "left").filter("inside IS NULL OR is_in").drop("is_in")
         hit = hit.join(outside, ["id", "outside"], "left_anti")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("start_year", "slug"))
-    top = hit.withColumn("rank", rank).filter(F.col("rank") <= MAX_LIMIT)
-    return top.filter("rank <= row_limit").select("query_id", "rank", "id", "slug", "start_year")
+    top = hit.withColumn("rank", rank).filter(F.col("rank") <= most)
+    top = top.filter("rank <= row_limit").withColumnRenamed("query_id", "leader")
+    return owners.join(top, "leader").select("query_id", "rank", "id", "slug", "start_year")

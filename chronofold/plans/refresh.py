@@ -35,14 +35,15 @@ def keyed_upsert(spark, sf):
     return I.upsert(e, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-CHUNKS = "(SELECT 'person' AS category, CAST(k*500-3000 AS INT) AS low, CAST(k*500-2501 AS INT) AS high, k FROM (SELECT unnest([0,1,2,3,4,5,6,7,8,9]) AS k))"
+CHUNKS = ("(SELECT DISTINCT category, CAST(k*500-3000 AS INT) AS low, CAST(k*500-2501 AS INT) AS high, k"
+          " FROM (SELECT category, CAST(floor((start_year+3000)/500) AS INT) AS k FROM v_entries))")
 
 
 def chunks(spark, sf):
-    d = v.entries(spark, sf).select(F.col("id").alias("item"), F.col("start_year").alias("year"))
-    k = F.floor((F.col("year") + 3000) / 500).cast("int")
-    return d.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("person").alias("category"), (F.col("k") * 500 - 3000).alias("low"), (F.col("k") * 500 - 2501).alias("high"), "n", "k")
+    """Spans of 500 years of each category; categories share their bounds."""
+    k = F.floor((F.col("start_year") + 3000) / 500).cast("int")
+    return v.entries(spark, sf).groupBy("category", k.alias("k")).agg(F.count(F.lit(1)).alias("n")).select(
+        "category", (F.col("k") * 500 - 3000).alias("low"), (F.col("k") * 500 - 2501).alias("high"), "n", "k")
 
 
 def recorded(spark, sf):
@@ -51,22 +52,22 @@ def recorded(spark, sf):
 
 
 @query("progress_record", f"""
-SELECT category, low, high, CAST(CASE WHEN k%2=0 THEN 5 ELSE 1 END AS BIGINT) AS n FROM {CHUNKS} WHERE k%3=0 OR k%2=0""")
+SELECT category, low, high, CAST(CASE WHEN k%2=0 THEN 5 ELSE 1 END AS BIGINT) AS n FROM {CHUNKS} WHERE k%3=0 OR k%2=0""", ("v_entries",))
 def progress_record(spark, sf):
     done = chunks(spark, sf).filter("k % 2 = 0").select("category", "low", "high", F.lit(5).cast("long").alias("n"), F.lit("2021-01-01").cast("timestamp").alias("completed_at"))
     return I.record_progress(recorded(spark, sf), done).drop("completed_at")
 
 
-@query("chunks_left", f"SELECT category, low, high FROM {CHUNKS} WHERE k%3<>0")
+@query("chunks_left", f"SELECT category, low, high FROM {CHUNKS} WHERE k%3<>0", ("v_entries",))
 def chunks_left(spark, sf):
     return I.chunks_left(chunks(spark, sf), recorded(spark, sf)).select("category", "low", "high")
 
 
 @query("chunk_load", f"""
-SELECT c.category, c.low, c.high, CASE WHEN k%3=0 THEN 1 ELSE (SELECT count(*) FROM v_entries e WHERE e.start_year BETWEEN c.low AND c.high) END AS n FROM {CHUNKS} c""", ("v_entries",))
+SELECT c.category, c.low, c.high, CASE WHEN k%3=0 THEN 1 ELSE (SELECT count(*) FROM v_entries e WHERE e.category=c.category AND e.start_year BETWEEN c.low AND c.high) END AS n FROM {CHUNKS} c""", ("v_entries",))
 def chunk_load(spark, sf):
     """Chunks not yet recorded are loaded in one job; then the progress is whole."""
-    records = v.entries(spark, sf).select("id", "title", F.col("start_year").alias("year"))
+    records = v.entries(spark, sf).select("id", "title", "category", F.col("start_year").alias("year"))
     return I.load_chunks(records, chunks(spark, sf), recorded(spark, sf), shared_path(spark, "chunks")).drop("completed_at")
 
 

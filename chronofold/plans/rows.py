@@ -62,7 +62,7 @@ SELECT query_id, rank, id, slug, start_year FROM (
  JOIN v_entries e ON e.start_year<=1900 AND e.end_year>=n_nationkey*20-3000 AND contains(lower(e.title)||' '||lower(e.description),'building') AND NOT (category='historical_period' AND tag LIKE '%-history')
  JOIN v_locations p ON p.entry_id=e.id AND p.ordinal=0 AND p.lat BETWEEN greatest(-80,n_nationkey-90) AND 60 AND p.lng BETWEEN -150 AND 150
  JOIN v_hit h ON h.entry_id=e.id AND h.slug=concat('lane-',CAST(n_nationkey AS STRING))
- WHERE NOT EXISTS (SELECT 1 FROM v_hit o WHERE o.entry_id=e.id AND o.slug=concat('lane-',CAST(n_nationkey+1 AS STRING)))) WHERE rank<=500""",
+ WHERE NOT EXISTS (SELECT 1 FROM v_hit o WHERE o.entry_id=e.id AND o.slug=concat('lane-',CAST(n_nationkey+1 AS STRING)))) WHERE rank<=5000""",
        ("v_entries", "v_locations", "v_hit"))
 def saved_searches_all_kinds(spark, sf):
     b = Q.resolve(full_spec(spark, sf), box=(-90.0, 90.0, -150.0, 150.0))

@@ -14,8 +14,7 @@ ENTRY_COLUMNS = ["id", "title", "locations", "start_year", "start_month", "start
 # Location kinds.
 KINDS = ["point", "polygon", "multipolygon", "path", "circle"]
 
-YEAR_FLOOR, YEAR_CEILING = -10_000_000, 10_000_000
-DEFAULT_LIMIT, MAX_LIMIT = 100, 500
+DEFAULT_LIMIT = 100
 
 LNG_LAT = T.ArrayType(T.DoubleType())
 RINGS = T.ArrayType(T.ArrayType(LNG_LAT))

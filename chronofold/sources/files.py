@@ -263,7 +263,7 @@ def read_rules(spark: SparkSession, path: str) -> tuple[IngestRules, dict[str, s
     line = trim_all(F.col("value"))
     lines = spark.read.text(path).select(line.alias("l")).filter(~F.startswith("l", F.lit("#")) & F.contains("l", F.lit("\t")))
     at = F.locate("\t", F.col("l"))
-    rows = lines.select(trim_all(F.substring("l", F.lit(1), at - 1)), trim_all(F.substring("l", at + 1, F.length("l")))).limit(10_000).collect()
+    rows = lines.select(trim_all(F.substring("l", F.lit(1), at - 1)), trim_all(F.substring("l", at + 1, F.length("l")))).collect()
     rules, caps, excluded, other = {}, {}, [], {}
     for key, value in rows:
         if key == "exclude_category":
