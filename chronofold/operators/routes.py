@@ -188,65 +188,60 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-# Lines of one connected network that are walked in one task; only their ids and
-# end places go there, about 50 bytes each.
-WALK_LINES = 500_000
-
-
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy chains of one network: from the first unused line on, the tail takes
-    the first unused line at its place, then the head does."""
-    pdf = pdf.sort_values("line", ignore_index=True)
-    ends = list(zip(zip(pdf.sy, pdf.sx), zip(pdf.ey, pdf.ex)))
-    at: dict[tuple, list[int]] = {}
-    for i, (s, e) in enumerate(ends):
-        for place in (s, e):
-            at.setdefault(place, []).append(i)
-    cursor = dict.fromkeys(at, 0)
-    used = [False] * len(ends)
-
-    def take(place: tuple) -> int:
-        here, i = at[place], cursor[place]
-        while i < len(here) and used[here[i]]:
-            i += 1
-        cursor[place] = i
-        return here[i] if i < len(here) else -1
-
-    rows, line = [], pdf.line.to_numpy()
-    for first in range(len(ends)):
+    """Greedy chains of one network's strands: from the first unused line on, the tail
+    takes the unused strand whose line is first at its place, then the head does.
+
+    A strand is (strand, line0, p0, line1, p1): its two ends with the line that
+    touches each and the number of its place.  A walk starts with the strand whose
+    number is its own first line.
+    """
+    pdf = pdf.sort_values("strand", ignore_index=True)
+    places = list(zip(pdf.p0, pdf.p1))
+    at: dict[int, list[tuple[int, int, int]]] = {}
+    for i, row in enumerate(zip(pdf.line0, pdf.line1)):
+        for side in (0, 1):
+            at.setdefault(places[i][side], []).append((row[side], i, side))
+    for here in at.values():
+        here.sort()
+    cursor, used = dict.fromkeys(at, 0), [False] * len(places)
+
+    def take(place: int) -> tuple[int, int]:
+        here, n = at[place], cursor[place]
+        while n < len(here) and used[here[n][1]]:
+            n += 1
+        cursor[place] = n
+        return here[n][1:] if n < len(here) else (-1, 0)
+
+    rows, name, size = [], pdf.strand.to_numpy(), pdf.size_.to_numpy()
+    for first in pdf.index[pdf.starts]:
         if used[first]:
             continue
         used[first] = True
-        chain = [(first, False)]
-        tail, head, front = ends[first][1], ends[first][0], []
-        while (i := take(tail)) >= 0:
+        chain, front = [(first, False)], []
+        head, tail = places[first]
+        while (found := take(tail))[0] >= 0:
+            i, side = found
             used[i] = True
-            turned = ends[i][0] != tail
-            chain.append((i, turned))
-            tail = ends[i][0 if turned else 1]
-        while (i := take(head)) >= 0:
+            chain.append((i, side == 1))
+            tail = places[i][1 - side]
+        while (found := take(head))[0] >= 0:
+            i, side = found
             used[i] = True
-            turned = ends[i][0] == head
-            front.append((i, turned))
-            head = ends[i][1 if turned else 0]
-        for seq, (i, turned) in enumerate(front[::-1] + chain):
-            rows.append((line[i], line[first], seq, turned))
-    return pd.DataFrame(rows, columns=["line", "chain", "seq", "turned"])
+            front.append((i, side == 0))
+            head = places[i][1 - side]
+        seq = 0
+        for i, turned in front[::-1] + chain:
+            rows.append((name[i], name[first], seq, turned))
+            seq += int(size[i])
+    return pd.DataFrame(rows, columns=["strand", "chain", "base", "against"])
 
 
-def _pair_ends(lines: DataFrame) -> DataFrame:
-    """(end, partner): ends at one place joined two by two in line order.
-
-    An end is 2 * line for a start and 2 * line + 1 for a finish.
-    """
-    side = F.explode(F.array(F.struct((F.col("line") * 2).alias("end"), F.col("sy").alias("y"), F.col("sx").alias("x")),
-                             F.struct((F.col("line") * 2 + 1).alias("end"), F.col("ey").alias("y"), F.col("ex").alias("x"))))
-    ends = lines.select(side.alias("e")).select("e.*")
-    ends = ordinals(ends, ["y", "x"], F.floor(F.col("end") / BLOCK), ["end"], "n")
-    two = ends.groupBy("y", "x", F.floor(F.col("n") / 2).alias("pair")).agg(F.min("end").alias("a"), F.max("end").alias("b"))
-    two = two.filter("a <> b").select("a", "b")
-    return two.select(F.col("a").alias("end"), F.col("b").alias("partner")).unionAll(
-        two.select(F.col("b").alias("end"), F.col("a").alias("partner")))
+def _ends(lines: DataFrame) -> DataFrame:
+    """(end, line, y, x): an end is 2 * line for a start and 2 * line + 1 for a finish."""
+    side = F.explode(F.array(F.struct((F.col("line") * 2).alias("end"), "line", F.col("sy").alias("y"), F.col("sx").alias("x")),
+                             F.struct((F.col("line") * 2 + 1).alias("end"), "line", F.col("ey").alias("y"), F.col("ex").alias("x"))))
+    return lines.select(side.alias("e")).select("e.*")
 
 
 def _other(end: Column) -> Column:
@@ -277,58 +272,87 @@ def _rank(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return state
 
 
-def _pair_chains(lines: DataFrame) -> DataFrame:
-    """Chains of networks too large for one task: ends are paired place by place, and
-    the order along each chain comes from doubling jumps."""
-    pairs = cut(_pair_ends(lines), "pairs")
+def _strands(lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """(line, first, seq, turned): lines joined where exactly two ends meet.
+
+    A strand is named by its first line and runs the way that line does; a ring opens
+    where its first line starts.  The order comes from doubling jumps.
+    """
+    two = ends.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("a"), F.max("end").alias("b")).filter("n = 2")
+    pairs = cut(two.select(F.col("a").alias("end"), F.col("b").alias("partner")).unionAll(two.select("b", "a")), "pairs")
     state = _rank(lines, pairs)
     rings = state.filter("NOT headed AND low = entry AND entry % 2 = 0").select(F.col("entry").alias("end"))
     if not rings.isEmpty():
-        # A ring is opened where its first line starts.
         opened = pairs.join(rings, "end", "left_anti").join(rings.select(F.col("end").alias("partner")), "partner", "left_anti")
         state = _rank(lines, opened)
-    # Every chain is seen from both sides; the side on which its first line runs forward wins.
+    # Every strand is seen from both sides; the side on which its first line runs forward wins.
     seen = state.withColumn("line", F.floor(F.col("entry") / 2))
-    first = seen.groupBy("at").agg(F.min("line").alias("chain"), F.min_by(F.col("entry") % 2, "line").alias("side"))
+    first = seen.groupBy("at").agg(F.min("line").alias("first"), F.min_by(F.col("entry") % 2, "line").alias("side"))
     return seen.join(first.filter("side = 0"), "at").select(
-        "line", "chain", F.col("steps").cast("int").alias("seq"), (F.col("entry") % 2 == 1).alias("turned"))
+        "line", "first", F.col("steps").alias("seq"), (F.col("entry") % 2 == 1).alias("turned"))
 
 
-def merge_lines(lines: DataFrame, walk_lines: int = WALK_LINES) -> DataFrame:
+def merge_lines(lines: DataFrame) -> DataFrame:
     """(line, chain, seq, turned): polylines that meet end to end, as chains.
 
     lines: (line, points), line giving the order.  A chain is named by its first
-    line and runs the way that line does.  Where exactly two ends meet they are
-    always joined.  Where more meet, the walk decides: lines in order, tail before
-    head, first unused line.  That walk is one by one inside a network, so it is
-    done on networks of at most `walk_lines` lines, many to a task; in a larger
-    network ends at one place are joined two by two in line order instead.
+    line and runs the way that line does.  From the first unused line on, the tail takes the
+    first unused line at its place, then the head does.
+
+    Where exactly two ends meet, that rule leaves no choice, so such lines are
+    joined to strands by doubling jumps.  A strand that ends at a junction is parted where its
+    first line starts, as a walk that begins there sees it, and only those parts are walked,
+    network by network.  This holds at every size; the walk's task holds one row
+    for each strand of a network, whatever the number of lines in it.
     """
     first, last = place_key(F.get("points", F.lit(0))), place_key(F.get("points", F.size("points") - 1))
-    ends = lines.select("line", first.alias("s"), last.alias("e")).select(
+    placed = lines.select("line", first.alias("s"), last.alias("e")).select(
         "line", F.col("s.y").alias("sy"), F.col("s.x").alias("sx"), F.col("e.y").alias("ey"), F.col("e.x").alias("ex"))
-    ends = cut(ends, "line-ends")
-    at = ends.select("line", F.explode(F.array(F.struct(F.col("sy").alias("y"), F.col("sx").alias("x")),
-                                               F.struct(F.col("ey").alias("y"), F.col("ex").alias("x")))).alias("p"))
-    at = at.select("line", "p.*")
-    least = at.groupBy("y", "x").agg(F.min("line").alias("first_here"))
-    links = at.join(least, ["y", "x"]).select(F.col("line").alias("a"), F.col("first_here").alias("b"))
-    roots = components(links)
-    placed = ends.join(roots.select(F.col("node").alias("line"), "root"), "line", "left")
-    # A root is not listed under itself, so it is told from a line on its own by its followers.
-    placed = placed.join(roots.select(F.col("root").alias("line"), F.lit(True).alias("leads")).distinct(), "line", "left")
-    placed = cut(placed.withColumn("leads", F.coalesce("leads", F.lit(False))), "networks")
-    single = placed.filter("root IS NULL AND NOT leads").select(
-        "line", F.col("line").alias("chain"), F.lit(0).alias("seq"), F.lit(False).alias("turned"))
-    joined = placed.filter("root IS NOT NULL OR leads").select("line", "sy", "sx", "ey", "ex", F.coalesce("root", "line").alias("root"))
-    big = joined.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > walk_lines).select("root")
-    buckets = int(ends.count() / 100_000) + 8
-    walked = joined.join(big, "root", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)))
-    out = single.unionAll(walked.groupBy("bucket").applyInPandas(
-        lambda pdf: _walk(pdf), "line long, chain long, seq int, turned boolean"))
-    if big.isEmpty():
-        return out
-    return out.unionAll(_pair_chains(cut(joined.join(big, "root", "left_semi").drop("root"), "large-network")))
+    placed = cut(placed, "line-ends")
+    ends = _ends(placed)
+    strands = cut(_strands(placed, ends), "strands")
+    junctions = ends.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("place")).filter("n > 2").select("y", "x", "place")
+    # Each end at a junction, by the number of its least end.
+    meeting = cut(ends.join(junctions, ["y", "x"]).select("end", "line", "place"), "meeting")
+    crossed = cut(strands.join(meeting.select("line").distinct(), "line").select("first").distinct(), "crossed")
+    plain = strands.join(crossed, "first", "left_anti").select("line", F.col("first").alias("chain"), F.col("seq").cast("int").alias("seq"), "turned")
+    if crossed.isEmpty():
+        return plain
+    held = strands.join(crossed, "first")
+    cutting = held.filter("line = first").select("first", F.col("seq").alias("at"))
+    # Part 0 runs from the first line on, part 1 is what lies before it; both keep the strand's direction.
+    parts = held.join(cutting, "first").withColumn("part", F.when(F.col("seq") >= F.col("at"), 0).otherwise(1))
+    parts = parts.withColumn("pos", F.when(F.col("part") == 0, F.col("seq") - F.col("at")).otherwise(F.col("seq")))
+    parts = cut(parts.withColumn("strand", F.col("first") * 2 + F.col("part")), "parts")
+    bounds = parts.groupBy("strand", "first", "part").agg(
+        F.count(F.lit(1)).alias("size_"), F.min_by(F.struct("line", "turned"), "pos").alias("a"), F.max_by(F.struct("line", "turned"), "pos").alias("b"))
+    # The outer end of the line at either end of a part; the place of an end that is at no junction is its own.
+    outer = bounds.select("strand", "first", "part", "size_", F.col("a.line").alias("line0"), F.col("b.line").alias("line1"),
+                          (F.col("a.line") * 2 + F.col("a.turned").cast("int")).alias("end0"), (F.col("b.line") * 2 + 1 - F.col("b.turned").cast("int")).alias("end1"))
+    place = meeting.select("end", "place")
+    outer = (outer.join(place.select(F.col("end").alias("end0"), F.col("place").alias("p0")), "end0", "left")
+             .join(place.select(F.col("end").alias("end1"), F.col("place").alias("p1")), "end1", "left"))
+    # Where the two parts of a strand meet is the start of its first line; other free ends meet nothing.
+    joint = -1 - F.col("first") * 2
+    parted = bounds.filter("part = 1").select("first", F.lit(True).alias("parted"))
+    outer = outer.join(parted, "first", "left").select(
+        "strand", "first", "part", "size_", "line0", "line1",
+        F.when((F.col("part") == 0) & F.col("parted"), joint).otherwise(F.coalesce("p0", -2 - F.col("end0") * 2)).alias("p0"),
+        F.when(F.col("part") == 1, joint).otherwise(F.coalesce("p1", -2 - F.col("end1") * 2)).alias("p1"))
+    outer = cut(outer, "outer")
+    links = (outer.select("first", F.explode(F.array("p0", "p1")).alias("p")).filter("p >= 0").distinct())
+    low = links.groupBy("p").agg(F.min("first").alias("b"))
+    roots = components(links.join(low, "p").select(F.col("first").alias("a"), "b"))
+    net = outer.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").withColumn("root", F.coalesce("root", "first"))
+    net = net.withColumn("starts", F.col("part") == 0)
+    tasks = int(outer.count() / 100_000) + 8
+    walked = (net.select("strand", "size_", "line0", "line1", "p0", "p1", "starts", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"))
+              .groupBy("task").applyInPandas(lambda pdf: _walk(pdf), "strand long, chain long, base long, against boolean"))
+    size = bounds.select("strand", "size_")
+    placed = parts.join(walked, "strand").join(size, "strand")
+    seq = F.col("base") + F.when(F.col("against"), F.col("size_") - 1 - F.col("pos")).otherwise(F.col("pos"))
+    return plain.unionAll(placed.select("line", F.floor(F.col("chain") / 2).alias("chain"), seq.cast("int").alias("seq"),
+                                        (F.col("turned") != F.col("against")).alias("turned")))
 
 
 def chain_lengths(lines: DataFrame, chains: DataFrame) -> DataFrame:

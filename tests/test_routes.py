@@ -41,31 +41,31 @@ def got(df):
 
 
 def test_merge_with_junctions(spark):
-    r = random.Random(5)
-    ends = [(r.randrange(25), r.randrange(25)) for _ in range(60)] + [(100, 101), (200, 200)]
+    for seed, places, n in ((5, 25, 60), (6, 40, 60), (7, 70, 60), (8, 6, 20)):
+        r = random.Random(seed)
+        ends = [(r.randrange(places), r.randrange(places)) for _ in range(n)] + [(100, 101), (200, 200)]
+        assert got(routes.merge_lines(lines(spark, ends))) == walk(ends), seed
+
+
+def test_long_strands_between_junctions(spark):
+    # Rings and paths of many lines hung on a few junctions, in any order and direction.
+    r = random.Random(4)
+    ends, free = [], 1000
+    for _ in range(9):
+        stops = [r.randrange(4), *range(free, free + r.randrange(6)), r.randrange(4)]
+        free += 10
+        ends += [(a, b) if r.random() < 0.5 else (b, a) for a, b in zip(stops, stops[1:])]
+    r.shuffle(ends)
     assert got(routes.merge_lines(lines(spark, ends))) == walk(ends)
 
 
-def test_large_network_rule_equals_the_walk_without_junctions(spark):
+def test_merge_without_junctions(spark):
     # Strips, some lines turned, a ring of seven, a ring of one, a single line.
     ends = [(i, i + 1) if i % 3 else (i + 1, i) for i in range(30) if i != 12]
     ends += [(100 + i, 100 + (i + 1) % 7) if i % 2 else (100 + (i + 1) % 7, 100 + i) for i in range(7)]
     ends += [(300, 300), (400, 401)]
     random.Random(3).shuffle(ends)
-    df = lines(spark, ends)
-    assert got(routes.merge_lines(df, walk_lines=2)) == walk(ends) == got(routes.merge_lines(df))
-
-
-def test_large_network_keeps_every_line_once(spark):
-    r = random.Random(9)
-    ends = [(r.randrange(12), r.randrange(12)) for _ in range(50)]
-    out = routes.merge_lines(lines(spark, ends), walk_lines=2).collect()
-    assert sorted(x.line for x in out) == list(range(50))
-    chains = {}
-    for x in sorted(out, key=lambda x: (x.chain, x.seq)):
-        a, b = ends[x.line][::-1] if x.turned else ends[x.line]
-        assert chains.get(x.chain, a) == a
-        chains[x.chain] = b
+    assert got(routes.merge_lines(lines(spark, ends))) == walk(ends)
 
 
 def test_chain_points_and_lengths(spark):
