@@ -19,6 +19,12 @@ MAX_ROWS = 8
 TRACKS = 2
 
 
+def _whole(df: DataFrame, start: str) -> None:
+    """Starts are whole numbers, so that a lane has few of them however many its intervals are."""
+    if dict(df.dtypes)[start] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{start} must be whole years")
+
+
 def pack_rows(df: DataFrame, lane: str, key: str, start: str, end: str, pad: float, gap: float,
               max_rows: int = MAX_ROWS) -> DataFrame:
     """(lane, key, row): first row that is free at start - pad; an interval keeps its
@@ -27,6 +33,7 @@ def pack_rows(df: DataFrame, lane: str, key: str, start: str, end: str, pad: flo
     """
     if pad + gap <= 0:
         raise ValueError("pad + gap must be positive")
+    _whole(df, start)
     df = df.select(lane, key, start, end)
     nth = F.row_number().over(W.partitionBy(lane, start).orderBy(key))
     heads = df.withColumn("nth", nth).filter(F.col("nth") <= max_rows)
@@ -60,6 +67,7 @@ def pack_tracks(df: DataFrame, lane: str, key: str, start: str, end: str) -> Dat
     track is free when its turn comes.  Of the others only those that end later
     than the second latest end before them, at the same start, can matter.
     """
+    _whole(df, start)
     df = df.select(lane, F.col(key).cast("long").alias("key"), F.col(start).alias("start"), F.col(end).alias("end"))
     long, brief = df.filter("end > start"), df.filter("end <= start")
     same_end = F.row_number().over(W.partitionBy(lane, "start", "end").orderBy("key"))

@@ -125,7 +125,7 @@ def claims(spark, sf):
             .unionAll(e.filter("id % 7 = 0").select(*row("P641", q(i), q(F.lit(1)))))
             .unionAll(e.select(*row("P106", q(i), q(i % 500))))
             .unionAll(e.filter("id % 17 = 0").select(*row("P1074", q(i), q(F.lit(1)))))
-            .unionAll(v.locations(spark, sf).filter("ordinal < 2").select(*row("P625", q(F.col("entry_id")), value_point=F.concat(
+            .unionAll(v.locations(spark, sf).select(*row("P625", q(F.col("entry_id")), value_point=F.concat(
                 F.lit("POINT("), two("lng"), F.lit(" "), two("lat"), F.lit(")"))))))
 
 
@@ -140,7 +140,7 @@ b AS (SELECT item, 'person' AS category FROM t WHERE type_id=7 AND item%7<>0 AND
  UNION SELECT item, 'event' FROM t JOIN c ON c.root=3 AND c.type=t.type_id WHERE item NOT IN (SELECT item FROM t WHERE type_id IN (12,24,25))),
 d AS (SELECT b.item, b.category, e.* FROM b JOIN v_entries e ON e.id=b.item WHERE ((category_='person' AND id%2=0) OR (category_='event' AND id%3<>0)) AND start_year BETWEEN -1500 AND 1800
  AND item NOT IN (SELECT item FROM t JOIN c ON c.root=13 AND c.type=t.type_id) AND item%17<>0 AND item%5<>0),
-p AS (SELECT d.*, l.lat, l.lng FROM d LEFT JOIN v_locations l ON l.ordinal<2 AND CASE WHEN category_='person' THEN (CASE WHEN id%4<>1 THEN id+1 END) ELSE id END=l.entry_id)
+p AS (SELECT d.*, l.lat, l.lng FROM d LEFT JOIN v_locations l ON CASE WHEN category_='person' THEN (CASE WHEN id%4<>1 THEN id+1 END) ELSE id END=l.entry_id)
 SELECT concat('Q',CAST(id AS STRING)) AS id, min(CASE WHEN id%4<>0 THEN title ELSE concat('Q',CAST(id AS STRING)) END) AS title, min(category_) AS category, min(start_year) AS start_year,
  min(CASE WHEN id%5+7>=10 THEN 5 ELSE 0 END) AS start_month, min(CASE WHEN id%5+7>=11 THEN 17 ELSE 0 END) AS start_day, min(CASE id%5+7 WHEN 7 THEN 50 WHEN 8 THEN 5 ELSE 0 END) AS uncertainty_years,
  count(DISTINCT (round(lat,2),round(lng,2))) FILTER (lat IS NOT NULL) AS n_points, min(concat('page ',CAST(id AS STRING))) AS wikipedia_title,
@@ -173,8 +173,8 @@ def category_union(spark, sf):
 
 
 @query("optional_places", """
-SELECT e.id, 'event' AS category, round(l.lat,2) AS lat, round(l.lng,2) AS lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id AND l.ordinal<2
-UNION ALL SELECT e.id, 'person', round(l.lat,2), round(l.lng,2) FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id+1 AND l.ordinal<2 AND e.id%4<>1
+SELECT e.id, 'event' AS category, round(l.lat,2) AS lat, round(l.lng,2) AS lng FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id
+UNION ALL SELECT e.id, 'person', round(l.lat,2), round(l.lng,2) FROM v_entries e LEFT JOIN v_locations l ON l.entry_id=e.id+1 AND e.id%4<>1
 UNION ALL SELECT e.id, 'concepts', NULL, NULL FROM v_entries e""", ("v_entries", "v_locations"))
 def optional_places(spark, sf):
     """A place on the item, on a linked item, or none; n places give n rows."""

@@ -54,8 +54,10 @@ def entries_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 13 <> 0").select(
-        F.col("l_orderkey").alias("entry_id"), "l_linenumber", "l_partkey", "l_suppkey",
+    """Lines as points; those of every thirteenth order belong to no entry, so some entries have none."""
+    k = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(k % 13 != 0, k).otherwise(-k - 1).alias("entry_id"), "l_linenumber", "l_partkey", "l_suppkey",
         (((F.col("l_partkey") * 104729 + F.col("l_orderkey") * 31) % 36001).cast("int")
          / F.lit(100.0) - 180).alias("lng"),
         (((F.col("l_suppkey") * 7907 + F.col("l_orderkey") * 17) % 18001).cast("int")
@@ -188,9 +190,9 @@ SELECT o_orderkey AS id, concat('o-',CAST(o_orderkey AS STRING)) AS slug, concat
  CASE CAST(o_orderkey%18 AS INT) WHEN 6 THEN 'rome-history' WHEN 15 THEN 'no-coords-found' ELSE '' END AS tag,
  o_orderdate AS last_updated FROM orders JOIN customer ON o_custkey=c_custkey""",
     "v_locations": """
-SELECT l_orderkey AS entry_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey)-1 AS INT) AS ordinal, 'point' AS kind,
+SELECT CASE WHEN l_orderkey%13<>0 THEN l_orderkey ELSE -l_orderkey-1 END AS entry_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey)-1 AS INT) AS ordinal, 'point' AS kind,
  CAST((l_partkey*104729+l_orderkey*31)%36001 AS INT)/100.0-180 AS lng, CAST((l_suppkey*7907+l_orderkey*17)%18001 AS INT)/100.0-90 AS lat
- FROM lineitem WHERE l_orderkey%13<>0""",
+ FROM lineitem""",
     "v_ring": """
 SELECT n_nationkey AS lane_id, concat('lane-',CAST(n_nationkey AS STRING)) AS slug, n_regionkey AS laneset_id, n_nationkey AS ordinal, k AS vtx,
  n_nationkey%5*72-180+CASE k WHEN 0 THEN 0 WHEN 1 THEN 80 WHEN 2 THEN 40 WHEN 3 THEN 80 WHEN 4 THEN 0 ELSE 0 END AS lng,

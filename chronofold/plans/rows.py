@@ -9,18 +9,37 @@ from chronofold.plans.places import polygons
 from chronofold.plans.registry import query
 
 
+LANED = """laned AS (SELECT h.lane, e.id, e.start_year AS s, e.end_year AS e FROM (SELECT entry_id, laneset_id, min_by(slug, ordinal) AS lane FROM v_hit GROUP BY ALL) h
+ JOIN v_entries e ON e.id=h.entry_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY s, id) AS n FROM laned)"""
+
+
 def laned(spark, sf):
-    lane = assign_lanes(v.primary_points(spark, sf), polygons(spark, sf).filter("laneset_id = 2"), ["entry_id"])
+    """Entries by their lane in each of the lanesets."""
+    lane = assign_lanes(v.primary_points(spark, sf), polygons(spark, sf), ["entry_id"])
     return v.entries(spark, sf).join(lane.select(F.col("entry_id").alias("id"), "lane"), "id")
 
 
-@query("pack_rows")
+@query("pack_rows", f"""
+WITH RECURSIVE {LANED},
+f AS (SELECT DISTINCT lane, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS INT) AS r, [CAST('-infinity' AS DOUBLE) FOR i IN range(8)] AS ends FROM o
+ UNION ALL SELECT lane, n, id, r, [CASE WHEN i=r THEN CAST(greatest(e,s+5)+40 AS DOUBLE) ELSE ends[i+1] END FOR i IN range(8)] FROM (
+  SELECT o.lane, o.n, o.id, o.s, o.e, f.ends, CAST(coalesce(list_position([x<=o.s-5 FOR x IN f.ends], true), 8)-1 AS INT) AS r FROM f JOIN o ON o.lane=f.lane AND o.n=f.n+1))
+SELECT lane, id, r AS "row" FROM f WHERE n>0""", ("v_entries", "v_hit"))
 def pack_rows(spark, sf):
     """Entries of each lane in up to eight rows."""
     return L.pack_rows(laned(spark, sf), "lane", "id", "start_year", "end_year", 5, 40)
 
 
-@query("pack_tracks")
+@query("pack_tracks", f"""
+WITH RECURSIVE {LANED},
+f AS (SELECT DISTINCT lane, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS INT) AS t, CAST(NULL AS BIGINT) AS gone,
+  CAST('-infinity' AS DOUBLE) AS e0, CAST(NULL AS BIGINT) AS k0, CAST('-infinity' AS DOUBLE) AS e1, CAST(NULL AS BIGINT) AS k1 FROM o
+ UNION ALL SELECT lane, n, id, t, CASE WHEN e0<=s OR e1<=s THEN NULL WHEN t=0 THEN k0 WHEN t=1 THEN k1 END,
+  CASE WHEN t=0 THEN e ELSE e0 END, CASE WHEN t=0 THEN id ELSE k0 END, CASE WHEN t=1 THEN e ELSE e1 END, CASE WHEN t=1 THEN id ELSE k1 END FROM (
+  SELECT o.lane, o.n, o.id, o.s, CAST(o.e AS DOUBLE) AS e, f.e0, f.k0, f.e1, f.k1,
+   CAST(CASE WHEN e0<=o.s THEN 0 WHEN e1<=o.s THEN 1 WHEN e0<=e1 AND o.e>e0 THEN 0 WHEN e1<e0 AND o.e>e1 THEN 1 END AS INT) AS t FROM f JOIN o ON o.lane=f.lane AND o.n=f.n+1))
+SELECT f.lane, f.id, f.t AS track FROM f WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f g WHERE g.lane=f.lane AND g.gone=f.id)""", ("v_entries", "v_hit"))
 def pack_tracks(spark, sf):
     """Intervals of each lane on two tracks, early-ending ones put out."""
     return L.pack_tracks(laned(spark, sf), "lane", "id", "start_year", "end_year")
@@ -108,18 +127,18 @@ def sample_with_restarts(spark, sf):
 
 
 @query("stop_after_considering", """
-WITH s AS (SELECT stream, sum(n) OVER (ORDER BY stream)-n AS seen FROM (SELECT floor(doc_id/10) AS stream, count(*) AS n FROM documents WHERE lang='en' GROUP BY 1))
-SELECT doc_id FROM documents WHERE lang='en' AND floor(doc_id/10) IN (SELECT stream FROM s WHERE seen<(SELECT count(*)/3 FROM documents WHERE lang='en'))""")
+WITH s AS (SELECT stream, sum(n) OVER (ORDER BY stream)-n AS seen FROM (SELECT floor(doc_id/10) AS stream, count(*) AS n FROM documents GROUP BY 1))
+SELECT doc_id FROM documents WHERE floor(doc_id/10) IN (SELECT stream FROM s WHERE seen<(SELECT count(*)/3 FROM documents))""")
 def stop_after_considering(spark, sf):
     """A third of the pages, to the end of the stream that reaches it."""
-    d = v.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.floor(F.col("doc_id") / 10).alias("stream"))
+    d = v.table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("stream"))
     return S.stop_after_considering(d, "stream", d.count() / 3).select("doc_id")
 
 
-@query("stop_after_collecting", "SELECT doc_id FROM documents WHERE lang='en' ORDER BY doc_id LIMIT 150")
+@query("stop_after_collecting", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 150")
 def stop_after_collecting(spark, sf):
     """The first 150 in order: the stop rule itself."""
-    return S.stop_after_collecting(v.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id"), ["doc_id"], 150)
+    return S.stop_after_collecting(v.table(spark, sf, "documents").select("doc_id"), ["doc_id"], 150)
 
 
 @query("spread_sample", """
