@@ -19,7 +19,7 @@ LEAF = 1024
 #: Tokens on each side of a join that are encoded anew at first.
 WINDOW = 8
 #: Words whose tokens a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # Fixed values of byte-level BPE: the characters that stand for bytes.
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -250,21 +250,21 @@ def decode(encoded: DataFrame, tokenizer: str | bytes) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas), decoded_sha256, from doc_id, ids, text."""
+def digests(encoded: DataFrame, tokenizer: str | bytes) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas), decoded_sha256 (of what decode() gives), from doc_id, ids."""
     def run(batches):
         from hashlib import sha256
-        numbers = Strings([])
+        table = token_bytes(tokenizer)
+        numbers = Strings([b"%d," % i for i in range(len(table.lengths))])
         for batch in batches:
             column = batch.column("ids")
             flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            if len(flat) and flat.max() >= len(numbers.lengths):
-                numbers = Strings([b"%d," % i for i in range(int(flat.max()) + 1)])
-            marks = [sha256(numbers.of(flat[a:b])[:-1]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+            ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            marks = [sha256(numbers.of(x)[:-1]).hexdigest() for x in ids]
+            texts = [sha256(table.of(x).decode("utf-8", "replace").encode("utf-8")).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(marks, pa.string()),
-                                              batch.column("text")], ["doc_id", "n_tokens", "ids_sha256", "text"])
+                                              pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = T.StructType([decoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-                           T.StructField("text", T.StringType())])
-    out = decoded.select("doc_id", "ids", "text").mapInArrow(run, schema)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    schema = T.StructType([encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("decoded_sha256", T.StringType())])
+    return encoded.select("doc_id", "ids").mapInArrow(run, schema)

@@ -76,7 +76,7 @@ def op4_bpe(spark, sf_dir):
 
     from chronofold.llm import bpe
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
 def fold(parts: int):
