@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronofold.functions import years
@@ -24,15 +26,18 @@ def with_locations(entries: DataFrame, locations: DataFrame, *fields: str) -> Da
     return out.withColumn("locations", F.coalesce("locations", F.array().cast(kind)))
 
 
-def page_with_locations(top: DataFrame, locations: DataFrame, *fields: str) -> DataFrame:
+def page_with_locations(top: DataFrame, locations: DataFrame | Callable[[DataFrame], DataFrame], *fields: str) -> DataFrame:
     """The same for a search's rows, all that it is given.
 
     They are written out, so the search runs once, and their ids, if few, are broadcast
-    into the location scan, so only their locations are gathered.
+    into the location scan, so only their locations are gathered.  locations may be a
+    function from the ids (entry_id) to their locations, for tables that are numbered or
+    nested first: the ids then reach the scan below that.
     """
     top = cut(top, "page")
     ids = broadcast_if_small(top.select(F.col("id").alias("entry_id")))
-    return with_locations(top, locations.join(ids, "entry_id", "left_semi"), *fields)
+    own = locations(ids) if callable(locations) else locations.join(ids, "entry_id", "left_semi")
+    return with_locations(top, own, *fields)
 
 
 def location_json(kind: Column) -> Column:

@@ -215,25 +215,31 @@ def item_marks(claims: DataFrame, rules: list[CategoryRule], closure: DataFrame,
     return m.filter("mark IS NOT NULL").groupBy("item").agg(*[F.max(F.col("mark") == k).alias(f"is_{k}") for k in marks])
 
 
+def of_items(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the wanted items; the ids are sent to the scan when they are few."""
+    return df.join(broadcast_if_small(wanted.select("item").distinct()), "item", "left_semi")
+
+
 def search(claims: DataFrame, edges: DataFrame, labels: DataFrame, descriptions: DataFrame, articles: DataFrame,
            year_min: int, year_max: int, categories: list[str] | None = None, text: str | None = None,
            box: dict[str, float] | None = None, limit: int | None = None,
            rules: list[CategoryRule] = CATEGORY_RULES, out: Exclusions = Exclusions()) -> DataFrame:
     """Entries of the categories with a date in the years; an item may match in two.
 
-    The closure of all roots is worked out once.  Every join is on the item alone,
-    so the rows are shuffled by item once and stay where they are.
+    The closure of all roots is worked out once.  Dates come first; statements, labels and
+    descriptions are read for the items that have one.  Every join is on the item alone.
     """
     spark = claims.sparkSession
     rules = rules_for(categories, rules)
     roots = sorted({r.root for r in rules if r.transitive} | {out.fictional_root, out.athlete_root})
     closure = descendants(edges, spark.createDataFrame([(r,) for r in roots], "root string"))
-    marks = item_marks(claims, rules, closure, out)
-
     year = fact_time(F.col("value_time"), F.lit(9))["year"]
     props = spark.createDataFrame([(r.date_prop, r.category) for r in rules], "prop string, category string")
     dates = claims.filter(F.col("prop").isin(*{r.date_prop for r in rules}) & year.between(year_min, year_max)) \
         .join(F.broadcast(props), "prop").select("item", "category", "value_time", "precision")
+    # The dates cut the items down most: what else is read is read for those alone.
+    dated = cut(dates, "dated")
+    marks = item_marks(of_items(claims, dated), rules, closure, out)
     fits = F.lit(False)
     for r in rules:
         keep = F.col(f"is_{r.category}")
@@ -242,10 +248,10 @@ def search(claims: DataFrame, edges: DataFrame, labels: DataFrame, descriptions:
         if r.category == "event":
             keep = keep & ~F.col(f"is_{NOISE}")
         fits = fits | ((F.col("category") == r.category) & keep)
-    rows = dates.join(marks, "item").filter(fits & ~F.col(f"is_{FICTIONAL}")).select(*dates.columns)
-    rows = rows.join(articles.withColumnRenamed("title", "article"), "item")
-    rows = rows.join(in_language(labels).withColumnRenamed("text", "label"), "item", "left")
-    rows = rows.join(in_language(descriptions).withColumnRenamed("text", "description"), "item", "left")
+    rows = dated.join(marks, "item").filter(fits & ~F.col(f"is_{FICTIONAL}")).select(*dates.columns)
+    rows = cut(rows.join(articles.withColumnRenamed("title", "article"), "item"), "kept")
+    rows = (rows.join(in_language(of_items(labels, rows)).withColumnRenamed("text", "label"), "item", "left")
+            .join(in_language(of_items(descriptions, rows)).withColumnRenamed("text", "description"), "item", "left"))
     if text:
         rows = label_contains(rows, text)
     rows = with_places(rows, claims, rules)

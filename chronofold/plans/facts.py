@@ -133,7 +133,7 @@ RULES = [K.CategoryRule("person", "Q7", "P569", place="P19"), K.CategoryRule("ev
 OUT = K.Exclusions(fictional_root="Q13", athlete_root="Q11", event_noise=("Q12", "Q24", "Q25"))
 
 
-@query("fact_search", """
+FACTS_SQL = """
 WITH RECURSIVE c AS (SELECT CAST(r AS BIGINT) AS root, CAST(r AS BIGINT) AS type FROM (SELECT unnest([3,11,13]) AS r) UNION SELECT c.root, e.child FROM c JOIN v_type_edges e ON e.parent=c.type),
 t AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS type_id FROM lineitem),
 b AS (SELECT item, 'person' AS category FROM t WHERE type_id=7 AND item%7<>0 AND item%500 NOT IN (SELECT type FROM c WHERE root=11)
@@ -145,10 +145,10 @@ SELECT concat('Q',CAST(id AS STRING)) AS id, min(CASE WHEN id%4<>0 THEN title EL
  min(CASE WHEN id%5+7>=10 THEN 5 ELSE 0 END) AS start_month, min(CASE WHEN id%5+7>=11 THEN 17 ELSE 0 END) AS start_day, min(CASE id%5+7 WHEN 7 THEN 50 WHEN 8 THEN 5 ELSE 0 END) AS uncertainty_years,
  count(DISTINCT (round(lat,2),round(lng,2))) FILTER (lat IS NOT NULL) AS n_points, min(concat('page ',CAST(id AS STRING))) AS wikipedia_title,
  min(concat('https://www.wikidata.org/wiki/Q',CAST(id AS STRING))) AS citation_url, CASE WHEN min(category_)='event' THEN 'wikidata:Q3' ELSE 'wikidata:Q7' END AS infobox_type
-FROM p GROUP BY id""".replace("b.item, b.category, e.*", "b.item, b.category AS category_, e.*"), ("v_entries", "v_type_edges", "v_locations"))
-def fact_search(spark, sf):
-    """The whole fact search: two category branches, dates, exclusions, articles,
-    languages, places, merge."""
+FROM p WHERE {where} GROUP BY id {tail}""".replace("b.item, b.category, e.*", "b.item, b.category AS category_, e.*")
+
+
+def searched(spark, sf, **asked):
     e = v.entries(spark, sf)
     i = F.col("id")
     item = q(i).alias("item")
@@ -156,11 +156,26 @@ def fact_search(spark, sf):
     descs = e.select(item, F.lit("en").alias("lang"), F.col("description").alias("text"))
     articles = e.filter("id % 5 <> 0").select(item, F.concat(F.lit("page "), i.cast("string")).alias("title"))
     edges = v.type_edges(spark, sf).select(q(F.col("child")).alias("child"), q(F.col("parent")).alias("parent"))
-    got = K.search(claims(spark, sf), edges, labels, descs, articles, -1500, 1800, rules=RULES, out=OUT)
+    got = K.search(claims(spark, sf), edges, labels, descs, articles, -1500, 1800, rules=RULES, out=OUT, **asked)
     return got.select("id", "title", "category", "start_year", "start_month", "start_day", "uncertainty_years",
                       F.size("locations").cast("long").alias("n_points"), "wikipedia_title", "citation_url", "infobox_type")
 
 
+@query("fact_search", FACTS_SQL.format(where="true", tail=""), ("v_entries", "v_type_edges", "v_locations"))
+def fact_search(spark, sf):
+    """The whole fact search: two category branches, dates, exclusions, articles,
+    languages, places, merge."""
+    return searched(spark, sf)
+
+
+@query("fact_search_filtered", FACTS_SQL.format(
+    where="(contains(lower(CASE WHEN id%4<>0 THEN title ELSE '' END),'ing') OR contains(lower(description),'ing')) AND round(lat,2) BETWEEN -70 AND 80 AND round(lng,2) BETWEEN -150 AND 120",
+    tail="ORDER BY min(start_year), concat('Q',CAST(id AS STRING)) LIMIT 200"), ("v_entries", "v_type_edges", "v_locations"))
+def fact_search_filtered(spark, sf):
+    """The same with a text, a box and a limit: the earliest 200."""
+    return searched(spark, sf, text="ING", box={"lat_min": -70.0, "lat_max": 80.0, "lng_min": -150.0, "lng_max": 120.0}, limit=200)
+
+
 @query("category_union", """
 WITH RECURSIVE c AS (SELECT CAST(3 AS BIGINT) AS type UNION SELECT e.child FROM c JOIN v_type_edges e ON e.parent=c.type)
 SELECT DISTINCT item, 'person' AS category FROM v_claims_type WHERE type_id=7 UNION ALL SELECT DISTINCT item, 'event' FROM v_claims_type t JOIN c ON c.type=t.type_id""", ("v_type_edges", "v_claims_type"))

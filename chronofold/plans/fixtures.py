@@ -65,10 +65,12 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point locations with their place in the entry's list."""
+def locations(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Point locations with their place in the entry's list, of the given entries only if asked for."""
+    points = _points(spark, sf_dir)
+    points = points if ids is None else points.join(ids, "entry_id", "left_semi")
     chunk = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.floor(F.col("l_partkey") / 4096)
-    out = ordinals(_points(spark, sf_dir), ["entry_id"], chunk,
+    out = ordinals(points, ["entry_id"], chunk,
                    ["l_linenumber", "l_partkey", "l_suppkey"])
     return out.select("entry_id", F.col("ordinal").cast("int").alias("ordinal"),
                       F.lit("point").alias("kind"), "lng", "lat")

@@ -24,7 +24,7 @@ def entry_search(spark, sf):
     df = f.text_contains(df, "Building")
     df = f.in_box_entries(df, v.primary_points(spark, sf), lat_min=-60.0, lat_max=75.0, lng_min=-120.0, lng_max=140.0)
     top = f.first_entries(df, 100)
-    full = E.page_with_locations(top, v.locations(spark, sf), "kind", "lng", "lat")
+    full = E.page_with_locations(top, lambda ids: v.locations(spark, sf, ids), "kind", "lng", "lat")
     return full.select("id", "slug", "title", "start_year", "end_year", "category",
                        F.size("locations").cast("long").alias("n_locations"),
                        F.round(F.array_min("locations.lat"), 6).alias("min_lat"),
