@@ -174,18 +174,20 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest path.
     """
     e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    seen = None
-    while True:
+    while not _settled(e):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = cut(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "components")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _settled(e: DataFrame) -> bool:
+    """True when each node hangs on one root and no root hangs on another."""
+    roles = e.select(F.col("a").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(e.select("b", F.lit(0), F.lit(1)))
+    return roles.groupBy("x").agg(F.sum("hangs").alias("n"), F.max("holds").alias("h")).filter("n > 1 OR (n > 0 AND h > 0)").isEmpty()
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:

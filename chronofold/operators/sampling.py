@@ -24,11 +24,11 @@ def sample_until(df: DataFrame, stream: str, collect: Callable[[DataFrame], Data
     """Collect from every stride-th stream; while under target, halve the stride,
     start one stream later and go again.  Adds `pass`; passes may share streams.
 
-    Each pass is one Spark job, and only its row count comes back.
+    Each pass runs once: it is written out, and what was written is counted.
     """
     out, got, first = None, 0, 0
     for n in range(max_restarts + 1):
-        part = collect(every_nth(df, stream, stride, first)).withColumn("pass", F.lit(n))
+        part = cut(collect(every_nth(df, stream, stride, first)).withColumn("pass", F.lit(n)), "pass")
         out = part if out is None else out.unionByName(part)
         got += part.count()
         if got >= target:

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronofold.functions.text import let
 from chronofold.operators.scans import Running, running
-from chronofold.runtime import keep_if, small_enough
+from chronofold.runtime import cut, keep_if
 
 CELL_DEGREES = 4.0
-PIECE_ROWS = 50_000
+# Bytes of edges in the pieces that may be broadcast; an edge is four doubles.
+PIECE_BYTES = 64 << 20
 VERTEX = "struct<lng:double,lat:double>"
 EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.0
@@ -97,14 +98,22 @@ def on_grid(points: DataFrame, size: float = CELL_DEGREES) -> DataFrame:
     return points.withColumns({"cx": cell(F.col("lng"), size), "cy": cell(F.col("lat"), size)})
 
 
+def measured(p: DataFrame) -> tuple[DataFrame, bool]:
+    """The pieces, cut once and written out, and whether their edges are few enough to broadcast."""
+    p = cut(p, "pieces")
+    edges = F.aggregate("edge_rings", F.lit(0), lambda n, r: n + F.size(r))
+    size = p.agg(F.sum(edges * 32 + 64)).first()[0] or 0
+    return p, size <= PIECE_BYTES
+
+
 def points_inside(points: DataFrame, polygons: DataFrame, size: float = CELL_DEGREES) -> DataFrame:
     """Points in at least one of the polygons, each once, by a semi join.
 
-    The pieces are broadcast when counted small; otherwise both sides shuffle
+    The pieces are broadcast when their bytes are few; otherwise both sides shuffle
     by cell and adaptive execution splits a crowded cell.
     """
-    p = pieces(polygons, [], size)
-    p = F.broadcast(p) if small_enough(p, PIECE_ROWS) else p
+    p, small = measured(pieces(polygons, [], size))
+    p = F.broadcast(p) if small else p
     a, b = on_grid(points, size).alias("a"), p.alias("b")
     cond = ((F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
             & inside_rings(F.col("b.edge_rings"), F.col("a.lng"), F.col("a.lat")))
@@ -113,8 +122,8 @@ def points_inside(points: DataFrame, polygons: DataFrame, size: float = CELL_DEG
 
 def containing(points: DataFrame, polygons: DataFrame, keys: list[str], size: float = CELL_DEGREES) -> DataFrame:
     """Every (point, polygon) where the polygon holds the point; parts count once each."""
-    p = pieces(polygons, keys, size)
-    p = F.broadcast(p) if small_enough(p, PIECE_ROWS) else p
+    p, small = measured(pieces(polygons, keys, size))
+    p = F.broadcast(p) if small else p
     hit = on_grid(points, size).join(p, ["cx", "cy"])
     return hit.filter(inside_rings(F.col("edge_rings"), F.col("lng"), F.col("lat"))).drop("cx", "cy", "edge_rings")
 
@@ -140,9 +149,9 @@ def first_containing(points: DataFrame, polygons: DataFrame, point_keys: list[st
     its one cell row: no shuffle.  Otherwise the matches are cut down by a
     partial minimum per point.
     """
-    p = pieces(polygons, [*group, order, name], size)
+    p, small = measured(pieces(polygons, [*group, order, name], size))
     grid = on_grid(points, size)
-    if small_enough(p, PIECE_ROWS):
+    if small:
         cells = p.groupBy("cx", "cy", *group).agg(
             F.sort_array(F.collect_list(F.struct(order, name, "edge_rings"))).alias("c"))
         hit = grid.join(F.broadcast(cells), ["cx", "cy"]).select(*point_keys, *group, F.get(F.filter(

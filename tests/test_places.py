@@ -61,7 +61,7 @@ def test_first_containing_both_ways(spark, monkeypatch):
             want[i] = hit[0]
     run = lambda: {r.entry_id: r.slug for r in sp.first_containing(df, polygons, ["entry_id"], ["all"], "k", "slug").collect()}
     assert run() == want
-    monkeypatch.setattr(sp, "PIECE_ROWS", 0)
+    monkeypatch.setattr(sp, "PIECE_BYTES", 0)
     assert run() == want
 
 
