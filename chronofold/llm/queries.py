@@ -128,7 +128,40 @@ def op1_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _normal(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '\\s+', ' ', 'g'))"
+
+
+QUOTES_SQL = f"""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER () AS rid FROM conversations),
+l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM m WHERE text IS NOT NULL),
+d AS (SELECT *, regexp_extract(line, '^(?:\\s*>)+') AS pre FROM l),
+q AS (SELECT *, length(pre)-length(replace(pre,'>','')) AS depth, CASE WHEN pre='' THEN line ELSE ltrim(substr(line, length(pre)+1)) END AS body FROM d),
+g AS (SELECT *, i-row_number() OVER (PARTITION BY rid, depth ORDER BY i) AS island FROM q),
+p AS (SELECT rid, conv_id, turn, depth, min(i) AS no, {_normal("string_agg(body, chr(10) ORDER BY i)")} AS whole, list({_normal("body")}) AS parts
+ FROM g WHERE depth>0 GROUP BY rid, conv_id, turn, depth, island),
+u AS (SELECT *, row_number() OVER () AS uid FROM (SELECT conv_id, turn, no, depth, whole AS h, 2*length(whole) AS w FROM p WHERE whole<>''
+ UNION ALL SELECT conv_id, turn, no, depth, x, length(x) FROM (SELECT *, unnest(parts) AS x FROM p) WHERE x<>'' AND x<>whole)),
+own AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (depth=0), '') AS own, max(depth) AS max_depth FROM q GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_quotes FROM p GROUP BY rid),
+c AS (SELECT m.rid, m.conv_id, m.turn, m.role, CASE WHEN n.n_quotes>0 THEN trim(own.own, chr(10)) ELSE m.text END AS text, coalesce(n.n_quotes, 0) AS n_quotes,
+ coalesce(own.max_depth, 0) AS max_depth FROM m LEFT JOIN own USING (rid) LEFT JOIN n USING (rid)),
+a AS (SELECT DISTINCT conv_id, turn, h FROM (SELECT conv_id, turn, {_normal("text")} AS h FROM c UNION ALL SELECT conv_id, turn, {_normal("x")} FROM (
+  SELECT conv_id, turn, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n(?:[ \\t\\r\\f\\x0b]*\\n)+'))) AS x FROM c)) WHERE h<>''),
+f AS (SELECT u.uid, u.conv_id, u.turn, u.no, u.depth, u.w, max(a.turn) AS source FROM u JOIN a ON a.conv_id=u.conv_id AND a.h=u.h AND a.turn<u.turn GROUP BY ALL),
+v AS (SELECT conv_id, turn, no, depth, source, sum(w) AS w FROM f GROUP BY ALL),
+b AS (SELECT conv_id, turn, no, depth, max({{'w': w, 's': source}}) AS best FROM v GROUP BY ALL),
+o AS (SELECT conv_id, turn, depth, best.s AS source, sum(best.w) AS w, count(*) AS n FROM b GROUP BY ALL),
+parents AS (SELECT conv_id, turn, max({{'d': -depth, 'w': w, 's': source}}).s AS parent, sum(n) AS n_linked FROM o GROUP BY ALL),
+anc AS (SELECT conv_id, turn, parent AS up FROM parents UNION ALL SELECT anc.conv_id, anc.turn, p2.parent FROM anc JOIN parents p2 ON p2.conv_id=anc.conv_id AND p2.turn=anc.up),
+roots AS (SELECT conv_id, turn, min(up) AS root FROM anc GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, c.text, CAST(c.n_quotes AS BIGINT) AS n_quotes, CAST(c.max_depth AS INT) AS max_depth, CAST(coalesce(pa.n_linked, 0) AS BIGINT) AS n_linked,
+ pa.parent AS parent_turn, coalesce(r.root, c.turn) AS root_turn, CASE WHEN c.conv_id IS NOT NULL AND c.turn IS NOT NULL THEN
+ row_number() OVER (PARTITION BY c.conv_id, c.turn IS NULL ORDER BY coalesce(r.root, c.turn), c.turn, md5(concat_ws('|', c.role, c.text)))-1 END AS reply_order
+FROM c LEFT JOIN parents pa ON pa.conv_id=c.conv_id AND pa.turn=c.turn LEFT JOIN roots r ON r.conv_id=c.conv_id AND r.turn=c.turn"""
+
+
+@query(QUOTES_SQL)
 def op9_quotations(spark, sf_dir):
     from chronofold.llm.quotations import link_quotations
     return link_quotations(table(spark, sf_dir, "conversations"))

@@ -139,7 +139,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
             break
 
     tied = (real.join(parents, ["conv_id", "turn"], "left").join(roots.select("conv_id", "turn", "up"), ["conv_id", "turn"], "left")
-            .withColumn("root", F.coalesce("up", "turn")).withColumn("tie", F.xxhash64("role", "text")))
+            .withColumn("root", F.coalesce("up", "turn")).withColumn("tie", F.md5(F.concat_ws("|", "role", "text"))))
     tied = work.cut(tied.drop("own", "up"), "tied")
     threads = tied.groupBy("conv_id", "root").agg(F.count("*").alias("n")).withColumn("chunk", F.floor(F.col("root") / TURNS))
     threads = running(threads, ["conv_id"], "chunk", ["root"], {"before": Running("sum", F.col("n"), False)}).select("conv_id", "root", "before")

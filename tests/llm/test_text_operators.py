@@ -181,3 +181,34 @@ def test_long_chain_of_replies(spark):
     out = link_quotations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     assert all(r.root_turn == 0 and r.reply_order == r.turn for r in out)
     assert np.all([r.parent_turn == (r.turn - 1 if r.turn else None) for r in out])
+
+
+def test_quotations_match_sql(spark):
+    import duckdb
+    from chronofold.llm.queries import ORACLES
+    rnd = random.Random(11)
+    said = ["Good morning all", "I agree\nwith   this", "One\n\ntwo\nthree", "no", "The plan is fine", ""]
+    rows = []
+    for conv in range(6):
+        texts = []
+        for turn in range(14):
+            parts = []
+            for _ in range(rnd.randrange(3)):
+                if texts:
+                    mark = rnd.choice([">", "> ", ">> ", "> > "])
+                    parts.append("\n".join(mark + x for x in rnd.choice(texts).split("\n")))
+                parts.append(rnd.choice(said))
+            parts.append(f"message {turn % 9} " + rnd.choice(said))
+            texts.append("\n".join(parts))
+            rows.append((conv, turn, rnd.choice("ab"), texts[-1]))
+    rows += [(None, 1, "a", "> x"), (9, None, "a", "y"), (9, 0, None, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cur = con.execute(ORACLES["op9_quotations"])
+    names = [x[0] for x in cur.description]
+    want = sorted(map(repr, (dict(zip(names, r)) for r in cur.fetchall())))
+    df = link_quotations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = sorted(map(repr, ({n: r[n] for n in names} for r in df.collect())))
+    assert got == want
+    assert sum("'parent_turn': None" not in x for x in got) > 20
