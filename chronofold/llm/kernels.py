@@ -147,18 +147,45 @@ class Circulant:
         self.bands, self.rows = bands, rows
         k = bands * rows
         numbers = np.random.default_rng(seed).permutation(1 << self.BITS).astype(np.uint32)
-        self.runs = np.lib.stride_tricks.sliding_window_view(np.concatenate([numbers, numbers[:k]]), k)
-        self.step = max(64, (1 << 19) // k)
+        # Overlapping records of k numbers: one is copied at a time, and a block of them stays in the cache.
+        self.runs = np.ndarray(1 << self.BITS, dtype=f"V{4 * k}", buffer=np.concatenate([numbers, numbers[:k]]), strides=(4,))
+        self.step = max(64, (1 << 17) // k)
 
-    def minima(self, places: np.ndarray) -> np.ndarray:
-        best = self.runs[places[:self.step]].min(axis=0)
-        for lo in range(self.step, len(places), self.step):
-            np.minimum(best, self.runs[places[lo:lo + self.step]].min(axis=0), out=best)
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        return self.runs[(hashes >> U64(64 - self.BITS)).astype(np.int64)].view(np.uint32).reshape(len(hashes), -1)
+
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
+        best = self._numbers(hashes[:self.step]).min(axis=0)
+        for lo in range(self.step, len(hashes), self.step):
+            np.minimum(best, self._numbers(hashes[lo:lo + self.step]).min(axis=0), out=best)
         return best
 
+    def _blocks(self, sets: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+        """Minima of each set; small sets are taken together, a block of places at a time."""
+        block: list[np.ndarray] = []
+        size = 0
+        for s in sets:
+            if len(s) >= self.step:
+                yield from self._together(block)
+                block, size = [], 0
+                yield self.minima(s)
+                continue
+            if size + len(s) > self.step:
+                yield from self._together(block)
+                block, size = [], 0
+            block.append(s)
+            size += len(s)
+        yield from self._together(block)
+
+    def _together(self, block: list[np.ndarray]) -> np.ndarray | tuple[()]:
+        if not block:
+            return ()
+        ends = np.cumsum([len(s) for s in block])
+        return np.minimum.reduceat(self._numbers(np.concatenate(block)), np.concatenate([[0], ends[:-1]]), axis=0)
+
     def keys(self, sets: Iterable[np.ndarray]) -> np.ndarray:
         """One row of band keys for each (non-empty) set of shingle hashes."""
-        sig = np.stack([self.minima((s >> U64(64 - self.BITS)).astype(np.int64)) for s in sets]).astype(U64)
+        sig = np.stack(list(self._blocks(sets))).astype(U64)
         sig = sig.reshape(-1, self.bands, self.rows)
         out = np.zeros(sig.shape[:2], U64) + np.arange(1, self.bands + 1, dtype=U64) * ODD[40]
         for j in range(self.rows):

@@ -20,6 +20,9 @@ BANDS, ROWS = 12, 3
 #: Characters whose shingles are hashed at one time.
 BLOCK = 1 << 20
 
+#: One random number for each character of the first plane.
+LETTER = K.mix(np.arange(1, (1 << 16) + 1, dtype=K.U64) * K.ODD[9])
+
 
 def normal(line: str) -> str:
     """What lines are compared by: small letters, one space between words."""
@@ -27,11 +30,11 @@ def normal(line: str) -> str:
 
 
 def _shingle_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE characters, in order."""
-    h = K.mix(codes.astype(K.U64) + K.ODD[10])
+    """Hashes of all runs of SHINGLE characters, in order: a polynomial of the characters' numbers, mixed."""
+    h = LETTER[codes & 0xFFFF] + (codes >> 16) * K.ODD[10]
     step = 1
     while step < SHINGLE:
-        h = h[:-step] * K.ODD[10 + step] + K.mix(h[step:])
+        h = h[:-step] * K.ODD[10 + step] + h[step:]
         step *= 2
     return K.mix(h)
 
@@ -100,7 +103,9 @@ def _line_keys(bands: int, rows: int):
 
 
 def _line_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    return (np.unique(s) for s in _sets(column.to_pylist()))
+    for s in _sets(column.to_pylist()):
+        s = np.sort(s)
+        yield s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def _pick_lines(batches):
@@ -167,7 +172,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
                  .mapInArrow(_pick_lines, "id long, text string"))
         return texts.join(broadcast_if_small(needs, NARROW_ROWS), "id")
 
-    labels, _ = linked(members, with_texts, _line_sets, percent, work)
+    labels, _ = linked(members, with_texts, _line_sets, percent, work, several=64)
     groups = (lines.select("id", "h2", "doc_id", "line_no").join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
               .groupBy(F.coalesce("component", "id").alias("g"), F.when(F.col("component").isNull(), F.col("h2")).alias("h"))
               .agg(F.min(F.struct("doc_id", "line_no")).alias("p")))

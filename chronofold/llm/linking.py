@@ -42,6 +42,9 @@ class HubIndex:
 
     def __init__(self, ids: list[int], parts: list[int], sets: list[np.ndarray]) -> None:
         self.ids, self.parts = np.array(ids), np.array(parts)
+        if len(sets) == 1:
+            self.values = sets[0]
+            return
         self.sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
@@ -51,6 +54,11 @@ class HubIndex:
 
     def linked(self, part: int, s: np.ndarray, percent: int) -> list[int]:
         """Hubs of other components that are near enough, one for each component."""
+        if len(self.ids) == 1:
+            at = np.searchsorted(self.values, s)
+            both = np.count_nonzero(self.values[np.minimum(at, len(self.values) - 1)] == s)
+            near = both and part != self.parts[0] and 100 * both >= percent * (len(self.values) + len(s) - both)
+            return self.ids.tolist() if near else []
         at = np.searchsorted(self.values, s)
         at = at[at < len(self.values)] if len(at) and at[-1] >= len(self.values) else at
         at = at[self.values[at] == s[:len(at)]]
@@ -78,7 +86,7 @@ def verified(needs: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
             for (g, salt, side, id_, part), s in zip(rows, sets_of(batch.column("text"))):
                 if group != (g, salt):
                     group, hubs, index = (g, salt), [], None
-                if side == 0:
+                if side == 0 and len(s):
                     hubs.append((id_, part, s))
                 elif hubs and len(s):
                     index = index or HubIndex(*map(list, zip(*hubs)))
@@ -101,7 +109,7 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int,
-           work: Work) -> tuple[DataFrame, DataFrame]:
+           work: Work, several: int = HUBS) -> tuple[DataFrame, DataFrame]:
     """(id, component) of all linked ids and the edges (u, v) that tie them, over the pairs that share a bucket.
 
     members: (key, id, hub).  with_texts adds the text to a table with the column id.
@@ -109,7 +117,7 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
     First each bucket's smallest id is compared with the others.  A bucket whose ids are
     then in one component is done.  In the others, the ids outside the bucket's
     largest component are compared with all its ids: any pair of two components has such an
-    id.  Where these are more than HUBS, so many ids of the bucket are taken instead, twice as many
+    id.  Where these are more than `several`, about so many of them are taken, twice as many
     in each round, which as a rule joins most of the rest.  Ids that were
     compared with the whole bucket leave it.  So no pair of different
     components stays uncompared, the rounds grow with the logarithm of the largest bucket, and
@@ -118,7 +126,7 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
     needs = work.cut(_stars(members), "needs")
     edges = work.cut(verified(needs, with_texts, sets_of, percent), "links")  # later: what ties the components so far
     work.drop(needs)
-    rest, several = members.where("hub != id").select("key", "id"), HUBS
+    rest = members.where("hub != id").select("key", "id")
     while True:
         labels = work.cut(components(edges, work), "labels")
         rows = work.cut(rest.join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
@@ -132,8 +140,8 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
             work.drop(rows, open_)
             return labels, edges
         live = rows.join(broadcast_if_small(open_, NARROW_ROWS), "key")
-        share = F.pmod(F.xxhash64("key", "id", F.lit(several)), F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * several * (1 << 30)
-        hub = F.when(F.col("outside") <= several, F.col("component") != F.col("top")).otherwise(share)
+        share = F.pmod(F.xxhash64("key", "id", F.lit(several)), F.lit(1 << 30)) * F.col("outside") < F.lit(several << 30)
+        hub = (F.col("component") != F.col("top")) & ((F.col("outside") <= several) | share)
         live = live.select("key", "id", "component", "n", hub.alias("hub"), F.when(F.col("outside") <= several, F.col("outside")).otherwise(F.lit(several)).alias("hubs"))
         salts, blocks = F.ceil(F.col("n") / MEMBERS).cast("int"), F.ceil(F.col("hubs") / HUBS).cast("int")
         block = lambda b: F.xxhash64("key", b)

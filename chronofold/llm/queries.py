@@ -80,8 +80,8 @@ def op4_bpe(spark, sf_dir):
 
 
 def fold(parts: int):
-    """crc32 of the decimal doc_id, modulo parts."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+    """crc32 of the decimal doc_id, modulo parts; -1 for a null doc_id, which is learned from and not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 @query()
