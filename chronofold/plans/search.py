@@ -178,7 +178,7 @@ RING = "concat('[[',x,',',y,'],[',x1,',',y,'],[',x1,',',y1,'],[',x,',',y,']]')"
 
 
 @query("location_json", f"""
-WITH p AS (SELECT md5(concat('l-',CAST(entry_id AS VARCHAR),'-',CAST(ordinal AS VARCHAR))) AS h, (entry_id+ordinal)%5 AS k, floor(lng*2)/2 AS lng, floor(lat*2)/2 AS lat FROM v_locations),
+WITH p AS (SELECT md5(concat('l-',CAST(entry_id AS VARCHAR),'-',CAST(ordinal AS VARCHAR))) AS h, ((entry_id+ordinal)%5+5)%5 AS k, floor(lng*2)/2 AS lng, floor(lat*2)/2 AS lat FROM v_locations),
 t AS (SELECT *, CAST(lng AS VARCHAR) AS x, CAST(lat AS VARCHAR) AS y, CAST(lng+1 AS VARCHAR) AS x1, CAST(lat+1 AS VARCHAR) AS y1 FROM p)
 SELECT concat_ws('-',substr(h,1,8),substr(h,9,4),substr(h,13,4),substr(h,17,4),substr(h,21,12)) AS entry_id, 0 AS ordinal, CASE k
  WHEN 0 THEN concat('{{"type":"point","lat":',y,',"lng":',x,',"uncertain":false,"label":null}}')
@@ -191,7 +191,7 @@ def location_json(spark, sf):
     """Locations of all five kinds, loaded into the stored table and written out as JSON objects."""
     from chronofold.schema import LOCATION
     from chronofold.sources.sinks import location_table
-    x, y, k = F.floor(F.col("lng") * 2) / 2, F.floor(F.col("lat") * 2) / 2, (F.col("entry_id") + F.col("ordinal")) % 5
+    x, y, k = F.floor(F.col("lng") * 2) / 2, F.floor(F.col("lat") * 2) / 2, F.pmod(F.col("entry_id") + F.col("ordinal"), F.lit(5))
     ring = F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 1, y + 1), F.array(x, y))
     stop = lambda lat, lng, t, label: F.struct(lat.alias("lat"), lng.alias("lng"), F.lit(t).cast("double").alias("t"), F.lit(label).cast("string").alias("label"))
     members = {"type": F.element_at(F.array(*map(F.lit, ["point", "circle", "polygon", "multipolygon", "path"])), (k + 1).cast("int")),
