@@ -30,13 +30,13 @@ def normal(line: str) -> str:
 
 
 def _shingle_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE characters, in order: a polynomial of the characters' numbers, mixed."""
+    """Hashes of all runs of SHINGLE characters, in order: a polynomial of the characters' random numbers."""
     h = LETTER[codes & 0xFFFF] + (codes >> 16) * K.ODD[10]
     step = 1
     while step < SHINGLE:
         h = h[:-step] * K.ODD[10 + step] + h[step:]
         step *= 2
-    return K.mix(h)
+    return h
 
 
 def _line_hashes(line: str) -> np.ndarray:
@@ -160,16 +160,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = work.cut(narrow.mapInArrow(_line_keys(bands, rows), "id long, h2 long, doc_id long, line_no int, keys array<long>"), "lines")
     members = buckets(lines.select("id", "keys"), work, repeats=True)
-    places = lines.select("id", "doc_id", "line_no")
+    # The texts of all lines that share a bucket are picked from the documents once.
+    ids = members.select("id").distinct()
+    first = (lines.select("id", "doc_id", "line_no").join(broadcast_if_small(ids, NARROW_ROWS), "id", "left_semi").groupBy("id")
+             .agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("id", "p.doc_id", "p.line_no"))
+    wanted = work.cut(first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
+    texts = work.cut(narrow.where("text is not null").join(broadcast_if_small(wanted, NARROW_ROWS // 4), "doc_id")
+                     .mapInArrow(_pick_lines, "id long, text string"), "texts")
+    work.drop(wanted)
 
     def with_texts(needs: DataFrame) -> DataFrame:
-        ids = needs.select("id").distinct()
-        first = (places.join(broadcast_if_small(ids, NARROW_ROWS), "id", "left_semi").groupBy("id")
-                 .agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("id", "p.doc_id", "p.line_no"))
-        wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
-        wanted = work.cut(wanted, "wanted")
-        texts = (narrow.where("text is not null").join(broadcast_if_small(wanted, NARROW_ROWS // 4), "doc_id")
-                 .mapInArrow(_pick_lines, "id long, text string"))
         return texts.join(broadcast_if_small(needs, NARROW_ROWS), "id")
 
     labels, _ = linked(members, with_texts, _line_sets, percent, work, several=64)
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
               .groupBy(F.coalesce("component", "id").alias("g"), F.when(F.col("component").isNull(), F.col("h2")).alias("h"))
               .agg(F.min(F.struct("doc_id", "line_no")).alias("p")))
     kept = work.cut(groups.groupBy(F.col("p.doc_id").alias("__llm_id")).agg(F.collect_list("p.line_no").alias("__llm_keep")), "kept")
-    work.drop(lines)
+    work.drop(lines, texts)
     out = docs.join(kept, F.col("doc_id").cast("long") == F.col("__llm_id"), "left").drop("__llm_id")
     # A document with lines of which none is kept has no row in kept.
     out = out.withColumn("__llm_keep", F.when(F.col("doc_id").isNotNull(), F.coalesce("__llm_keep", F.array().cast("array<int>"))))
