@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,10 @@ def byte_string(text: str) -> str:
     return "".join(map(BYTE_CHARS.__getitem__, text.encode("utf-8")))
 
 
+#: What is made of encoded batches: its schema and the function.
+Step = tuple[T.StructType, Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]]
+
+
 class Codec:
     """One tokenizer in one task."""
 
@@ -147,7 +151,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return K.lists(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], np.int64))
 
 
-def encode(docs: DataFrame, tokenizer: str | bytes) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | bytes, then: Step | None = None) -> DataFrame:
     """(doc_id, ids array<int>): the ids of each whole text, as the tokenizers library gives them.
 
     docs: doc_id (any type, null too), text; null is empty.  tokenizer: path of a byte-level BPE
@@ -159,6 +163,9 @@ def encode(docs: DataFrame, tokenizer: str | bytes) -> DataFrame:
     same ids: their unsplit pieces are halved to leaves, the leaves of all
     texts are dealt out and encoded in parallel, and the leaves of a text are
     joined pair by pair.
+
+    then: (schema, function) of Arrow batches of doc_id and ids; its batches are returned
+    instead, made in the same Python worker.
     """
     key = docs.schema["doc_id"]
     docs = docs.select("doc_id", "text")
@@ -170,7 +177,8 @@ def encode(docs: DataFrame, tokenizer: str | bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], _lists(codec.encode(texts))], ["doc_id", "ids"])
 
     schema = T.StructType([key, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    plain = docs.where(~_is_long("text")).mapInArrow(whole, schema)
+    last, step = (schema, None) if then is None else then
+    plain = docs.where(~_is_long("text")).mapInArrow(whole if step is None else lambda batches: step(whole(batches)), last)
 
     long = docs.where(_is_long("text")).withColumn("h", F.sha2("text", 256))
 
@@ -204,7 +212,8 @@ def encode(docs: DataFrame, tokenizer: str | bytes) -> DataFrame:
     encoded = (parts.repartition("h", "piece", "leaf")
                .mapInArrow(leaf_ids, "h string, piece long, leaf long, unsplit boolean, ids array<int>")
                .groupBy("h").applyInPandas(joined, "h string, ids array<int>"))
-    return plain.unionAll(long.select("doc_id", "h").join(encoded, "h").select("doc_id", "ids"))
+    rest = long.select("doc_id", "h").join(encoded, "h").select("doc_id", "ids")
+    return plain.unionAll(rest if step is None else rest.mapInArrow(step, last))
 
 
 class Strings:
@@ -250,8 +259,8 @@ def decode(encoded: DataFrame, tokenizer: str | bytes) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, tokenizer: str | bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas), decoded_sha256 (of what decode() gives), from doc_id, ids."""
+def digests(docs: DataFrame, tokenizer: str | bytes) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas), decoded_sha256 of encode() and decode() of the texts."""
     def run(batches):
         from hashlib import sha256
         table = token_bytes(tokenizer)
@@ -265,6 +274,6 @@ def digests(encoded: DataFrame, tokenizer: str | bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(marks, pa.string()),
                                               pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = T.StructType([encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                            T.StructField("decoded_sha256", T.StringType())])
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return encode(docs, tokenizer, (schema, run))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chronofold.llm.session import bound_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,6 +16,7 @@ def query(sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            bound_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[fn.__name__] = run
@@ -76,7 +79,7 @@ def op4_bpe(spark, sf_dir):
 
     from chronofold.llm import bpe
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(table(spark, sf_dir, "documents"), path)
 
 
 def fold(parts: int):
