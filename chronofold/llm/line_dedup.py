@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -10,13 +11,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chronofold.llm import kernels as K
+from chronofold.llm.components import components
 from chronofold.llm.linking import NARROW_ROWS, buckets, linked
 from chronofold.runtime import Work, broadcast_if_small
 
-#: Characters in a shingle: a power of two, so that hashes double up.
+#: Characters in a shingle where one width serves lines of every length.
 SHINGLE = 8
 #: 12 bands of 3: a pair at similarity 0.8 shares no band with probability 1.8e-4.
 BANDS, ROWS = 12, 3
+
+
+@dataclass(frozen=True)
+class Width:
+    """Lines of least to below-most characters, compared by shingles of some characters in bands of rows."""
+
+    shingle: int
+    least: int
+    most: int
+    bands: int
+    rows: int
+
+
+#: Widths by length.  One changed character spoils `shingle` shingles, so that a copy stays at 0.8 from 10 * shingle - 1 characters
+#: on: 19, 29, 49 and 79, each below what its width begins to serve alone.  Neighbours overlap by a quarter, the most that
+#: lengths of lines at 0.8 differ by.  Short shingles are common, so they have more rows a band; a pair at 0.8 shares no band with
+#: probability 1.5e-4, 1.5e-4, 1.6e-4 and 1.8e-4.  A line has two widths at most.
+BY_LENGTH = (Width(2, 16, 36, 29, 6), Width(3, 0, 100, 29, 6), Width(5, 80, 240, 22, 5), Width(8, 192, 1 << 62, BANDS, ROWS))
+#: What turns the id of a line into the id of the same line under its second width.
+TWIN = -0x61C8864680B583EB
 #: Characters whose shingles are hashed at one time.
 BLOCK = 1 << 20
 
@@ -29,59 +51,76 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _shingle_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE characters, in order: a polynomial of the characters' random numbers."""
-    h = LETTER[codes & 0xFFFF] + (codes >> 16) * K.ODD[10]
+def _shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width characters, in order: a polynomial of the characters' random numbers."""
+    h = letters = LETTER[codes & 0xFFFF] + (codes >> 16) * K.ODD[10]
     step = 1
-    while step < SHINGLE:
+    while 2 * step <= width:
         h = h[:-step] * K.ODD[10 + step] + h[step:]
         step *= 2
+    while step < width:
+        h = h[:-1] * K.ODD[20 + step] + letters[step:]
+        step += 1
     return h
 
 
-def _line_hashes(line: str) -> np.ndarray:
+def _line_hashes(line: str, width: int) -> np.ndarray:
     """Shingle hashes of one normalised line; a shorter line is one shingle."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) < SHINGLE:
-        codes = np.concatenate([codes, np.full(SHINGLE - len(codes), 0x110000, np.uint32)])
-    parts = [_shingle_hashes(codes[lo:lo + BLOCK + SHINGLE - 1]) for lo in range(0, len(codes) - SHINGLE + 1, BLOCK)]
+    if len(codes) < width:
+        codes = np.concatenate([codes, np.full(width - len(codes), 0x110000, np.uint32)])
+    parts = [_shingle_hashes(codes[lo:lo + BLOCK + width - 1], width) for lo in range(0, len(codes) - width + 1, BLOCK)]
     return np.concatenate(parts)
 
 
-def _sets(lines: list[str]) -> Iterator[np.ndarray]:
+def _sets(lines: list[str], width: int) -> Iterator[np.ndarray]:
     """Shingle hashes of each line, a block of lines at a time; hashes may repeat."""
     at = 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) < BLOCK):
-            size += len(lines[end]) + SHINGLE
+            size += len(lines[end]) + width
             end += 1
         if end == at + 1:
-            yield _line_hashes(lines[at])
+            yield _line_hashes(lines[at], width)
         else:
-            padded = [x if len(x) >= SHINGLE else x + "\ud800" * (SHINGLE - len(x)) for x in lines[at:end]]
+            padded = [x if len(x) >= width else x + "\ud800" * (width - len(x)) for x in lines[at:end]]
             codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
             codes = np.where(codes == 0xD800, np.uint32(0x110000), codes)
-            hashes = _shingle_hashes(codes)
+            hashes = _shingle_hashes(codes, width)
             lo = 0
             for x in padded:
-                yield hashes[lo:lo + len(x) - SHINGLE + 1]
+                yield hashes[lo:lo + len(x) - width + 1]
                 lo += len(x)
         at = end
 
 
-def _line_keys(bands: int, rows: int):
-    """Each different line of a block of documents: two hashes, where it is first, band keys."""
-    def keyed(seen: dict[str, tuple[int, int]], hashing: K.Circulant) -> pa.RecordBatch:
+def _serving(widths: tuple[Width, ...], line: str) -> list[int]:
+    """Which widths a line is compared by, one or two."""
+    return [i for i, w in enumerate(widths) if w.least <= len(line) < w.most]
+
+
+def _line_keys(widths: tuple[Width, ...]):
+    """Each different line of a block of documents: two hashes, where it is first, band keys by its first and its second width."""
+    def keyed(seen: dict[str, tuple[int, int]], hashing: list[K.Circulant]) -> pa.RecordBatch:
         marks = np.frombuffer(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in seen), np.int64)
         docs, nos = zip(*seen.values())
-        keys = hashing.keys(_sets(list(seen)))
+        lines = list(seen)
+        none = np.zeros(0, np.int64)
+        keys = [[none] * len(lines), [none] * len(lines)]
+        serving = [_serving(widths, x) for x in lines]
+        for w, width in enumerate(widths):
+            at = [i for i, ws in enumerate(serving) if w in ws]
+            if at:
+                found = hashing[w].keys(_sets([lines[i] for i in at], width.shingle)) ^ K.ODD[50 + w].view(np.int64)
+                for i, k in zip(at, found):
+                    keys[serving[i].index(w)][i] = k
         return pa.RecordBatch.from_arrays(
             [pa.array(marks[::2]), pa.array(marks[1::2]), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()),
-             K.lists(keys.ravel(), np.full(len(seen), bands))], ["id", "h2", "doc_id", "line_no", "keys"])
+             *(K.lists(np.concatenate(k), np.array([len(x) for x in k])) for k in keys)], ["id", "h2", "doc_id", "line_no", "keys", "twin_keys"])
 
     def run(batches):
-        hashing = K.Circulant(bands, rows)
+        hashing = [K.Circulant(w.bands, w.rows) for w in widths]
         for batch in batches:
             seen: dict[str, tuple[int, int]] = {}
             size = 0
@@ -103,22 +142,40 @@ def _line_keys(bands: int, rows: int):
 
 
 def _line_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    for s in _sets(column.to_pylist()):
-        s = np.sort(s)
-        yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+    """Sorted distinct shingle hashes of lines, each behind a character that tells the width; a block of lines at a time."""
+    lines = column.to_pylist()
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) < BLOCK):
+            size += len(lines[end])
+            end += 1
+        by_width: dict[str, list[str]] = {}
+        for x in lines[at:end]:
+            by_width.setdefault(x[0], []).append(x[1:])
+        sets = {mark: _sets(xs, ord(mark)) for mark, xs in by_width.items()}
+        for x in lines[at:end]:
+            s = np.sort(next(sets[x[0]]))
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+        at = end
 
 
-def _pick_lines(batches):
-    """The normalised text of the lines that a document is asked for."""
-    for batch in batches:
-        ids, texts = [], []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted")):
-            lines = text.as_py().split("\n")
-            for x in wanted.as_py():
-                if x["line_no"] < len(lines):
-                    ids.append(x["id"])
-                    texts.append(normal(lines[x["line_no"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+def _pick_lines(widths: tuple[Width, ...]):
+    """The normalised text of the lines that a document is asked for, behind the character of its width."""
+    def run(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                lines = text.as_py().split("\n")
+                for x in wanted.as_py():
+                    if x["line_no"] < len(lines):
+                        line = normal(lines[x["line_no"]])
+                        serving = _serving(widths, line)
+                        if x["twin"] < len(serving):
+                            ids.append(x["id"])
+                            texts.append(chr(widths[serving[x["twin"]]].shingle) + line)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    return run
 
 
 def _keep_lines(text_column: str, keep: str, dropped: str | None):
@@ -141,14 +198,17 @@ def _keep_lines(text_column: str, keep: str, dropped: str | None):
     return run
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS, dropped: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS, dropped: str | None = None,
+                widths: tuple[Width, ...] | None = None) -> DataFrame:
     """docs with one line kept of each class of near-equal lines, the others taken out of the texts.
 
     docs: doc_id (integer), text, and any other columns, which stay as they are.
     Lines end at a line feed and are compared in small letters with white space
-    collapsed.  A line's set is its distinct 8-character shingles, or the whole
+    collapsed.  A line's set is its distinct shingles, or the whole
     line if shorter; two lines are linked when 100 * intersection >= percent *
-    union, and a class is what links reach.  The line that is first by
+    union, and a class is what links reach.  Shingles have 8 characters, in bands and rows as given; with
+    widths (BY_LENGTH) they have those of the line's length, and lines are linked that are near enough
+    by a width that serves both: so a copy with one changed character is linked from 19 characters on.  The line that is first by
     (doc_id, line number) stays.  Lines of white space alone belong to no class
     and stay.  No row is removed: a text whose lines all go becomes
     empty, a null text stays null, a row with a null doc_id is left as it is.  Rows that repeat
@@ -157,22 +217,29 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     An empty table gives an empty table.
     """
     work = Work(docs.sparkSession, "lines")
+    widths = widths or (Width(SHINGLE, 0, 1 << 62, bands, rows),)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = work.cut(narrow.mapInArrow(_line_keys(bands, rows), "id long, h2 long, doc_id long, line_no int, keys array<long>"), "lines")
-    members = buckets(lines.select("id", "keys"), work, repeats=True)
+    lines = work.cut(narrow.mapInArrow(_line_keys(widths), "id long, h2 long, doc_id long, line_no int, keys array<long>, twin_keys array<long>"), "lines")
+    twins = lines.where(F.size("twin_keys") > 0).withColumn("line", F.col("id")).withColumn("id", F.col("id").bitwiseXOR(F.lit(TWIN)))
+    members = buckets(lines.select("id", "keys").unionAll(twins.select("id", F.col("twin_keys").alias("keys"))), work, repeats=True)
     # The texts of all lines that share a bucket are picked from the documents once.
     ids = members.select("id").distinct()
-    first = (lines.select("id", "doc_id", "line_no").join(broadcast_if_small(ids, NARROW_ROWS), "id", "left_semi").groupBy("id")
-             .agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("id", "p.doc_id", "p.line_no"))
-    wanted = work.cut(first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
+    nodes = lines.select("id", "doc_id", "line_no", F.lit(0).alias("twin")).unionAll(twins.select("id", "doc_id", "line_no", F.lit(1)))
+    first = (nodes.join(broadcast_if_small(ids, NARROW_ROWS), "id", "left_semi").groupBy("id")
+             .agg(F.min(F.struct("doc_id", "line_no", "twin")).alias("p")).select("id", "p.*"))
+    wanted = work.cut(first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", "twin")).alias("wanted")), "wanted")
     texts = work.cut(narrow.where("text is not null").join(broadcast_if_small(wanted, NARROW_ROWS // 4), "doc_id")
-                     .mapInArrow(_pick_lines, "id long, text string"), "texts")
+                     .mapInArrow(_pick_lines(widths), "id long, text string"), "texts")
     work.drop(wanted)
 
     def with_texts(needs: DataFrame) -> DataFrame:
         return texts.join(broadcast_if_small(needs, NARROW_ROWS), "id")
 
-    labels, _ = linked(members, with_texts, _line_sets, percent, work, several=64)
+    labels, edges = linked(members, with_texts, _line_sets, percent, work, several=64)
+    if len(widths) > 1:
+        # A line and its twin are one, so what either is linked to is one class.
+        pairs = twins.join(broadcast_if_small(labels.select("id"), NARROW_ROWS), "id", "left_semi").select(F.col("line").alias("u"), F.col("id").alias("v"))
+        labels = work.cut(components(edges.unionAll(pairs), work), "labels")
     groups = (lines.select("id", "h2", "doc_id", "line_no").join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
               .groupBy(F.coalesce("component", "id").alias("g"), F.when(F.col("component").isNull(), F.col("h2")).alias("h"))
               .agg(F.min(F.struct("doc_id", "line_no")).alias("p")))

@@ -60,8 +60,8 @@ def op7_near_duplicates(spark, sf_dir):
 @query()
 def op6_line_dedup(spark, sf_dir):
     """Per document: its lines left, the numbers of the lines that went, a digest of the text left."""
-    from chronofold.llm.line_dedup import dedup_lines
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="dropped_lines")
+    from chronofold.llm.line_dedup import BY_LENGTH, dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="dropped_lines", widths=BY_LENGTH)
     return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "dropped_lines",
                       F.sha2("text", 256).alias("text_sha256"))
 

@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that near-equal earlier lines hold; n_chars follows."""
     bound_batches(spark)
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, widths=line_dedup.BY_LENGTH)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
