@@ -32,6 +32,22 @@ TEMPLATES = [
                    " WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing"
                    " permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+                 " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"
+                 " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD", "Released under the BSD License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
                 " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as"
@@ -133,12 +149,51 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+#: Words in a short notice: where so few are said, each word that is not one of COMMON tells licenses apart.
+SHORT = 14
+#: Words of notices that tell no license (fixed values).
+COMMON = ("a an all and any are available distributed free in is licensed license made materials accompanying of or program released rights"
+          " reserved software source terms the this to under unencumbered v version work").split()
+#: Words that name a license or its version: one of them inside a match, beyond those of the template, makes it another license (fixed values).
+NAMING = "affero lesser library attribution sharealike noncommercial noderivatives by sa nc nd mit bsd isc apache gnu mozilla boost eclipse creative commons".split()
+
+
+def hashes_of(text: str) -> list[int]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return word_codes(data, np.array([0, len(data)]))[0].tolist()
+
+
+_COMMON, _NAMING = frozenset(hashes_of(" ".join(COMMON))), frozenset(hashes_of(" ".join(NAMING)))
+
+
 @dataclass
 class Notice:
     license: str
     words: list[int]
     counts: Counter
 
+    def __post_init__(self) -> None:
+        """own: template positions that must be aligned; foreign: words that may not stand between aligned ones."""
+        short = len(self.words) <= SHORT
+        self.own = frozenset(j for j, w in enumerate(self.words) if (short and w not in _COMMON) or w in _NAMING)
+        # Where all words are common, as in "All rights reserved", none is left out.
+        if short and not self.own:
+            self.own = frozenset(range(len(self.words)))
+        self.foreign = _NAMING - set(self.words)
+
+    def states(self, window: list[int], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the aligned words name this license and no other."""
+        if not self.own <= {j for _, j in pairs}:
+            return False
+        aligned = {i for i, _ in pairs}
+        inserted = [w for i, w in enumerate(window[pairs[0][0]:pairs[-1][0] + 1], pairs[0][0]) if i not in aligned]
+        return not (len(self.words) <= SHORT and self.foreign.intersection(inserted)) and not _between(self, window, pairs)
+
+
+def _between(notice: Notice, window: list[int], pairs: list[tuple[int, int]]) -> bool:
+    """Whether a naming word of another license stands between two words that the template has side by side."""
+    return any(m == j + 1 and notice.foreign.intersection(window[i + 1:k]) for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
 
 class Scanner:
     """All templates, looked for in the words of a text."""
@@ -176,25 +231,43 @@ class Scanner:
         return out
 
     def find(self, words: list[int], which: list[int]) -> Iterator[tuple[int, float, int, int]]:
-        """(template, coverage, first word, last word) of the best window for each template."""
+        """(template, coverage, first word, last word) of every window that states a template, each span once.
+
+        The words before and behind a window's match are searched again, so that a notice repeated in one window is seen.
+        """
         for t in which:
             notice, size = self.notices[t], len(self.notices[t].words)
-            span, best = 2 * size, None
-            inside = [w in notice.counts for w in words]
-            for lo in range(0, max(1, len(words) - span + size // 2 + 1), max(1, size // 2)):
-                if sum(inside[lo:lo + span]) < self.need[t]:
-                    continue
-                window = words[lo:lo + span]
-                held = Counter(w for w in window if w in notice.counts)
-                if sum(min(c, notice.counts[w]) for w, c in held.items()) < self.need[t]:
-                    continue
-                pairs = align(window, notice.words)
-                if len(pairs) >= self.need[t]:
-                    hit = (len(pairs) / size, -(pairs[-1][0] - pairs[0][0]), -(lo + pairs[0][0]))
-                    if best is None or hit > best[0]:
-                        best = (hit, lo + pairs[0][0], lo + pairs[-1][0])
-            if best:
-                yield t, best[0][0], best[1], best[2]
+            span, seen, tried = 2 * size, set(), set()
+            sums = np.concatenate([[0], np.cumsum([w in notice.counts for w in words])])
+            for start in range(0, max(1, len(words) - span + size // 2 + 1), max(1, size // 2)):
+                end = min(len(words), start + span)
+                # What a match leaves before and behind it is looked at in its turn.
+                rest = [(start, end)]
+                while rest:
+                    lo, hi = rest.pop()
+                    if (lo, hi) in tried:
+                        continue
+                    tried.add((lo, hi))
+                    if sums[hi] - sums[lo] < self.need[t]:
+                        continue
+                    window = words[lo:hi]
+                    held = Counter(w for w in window if w in notice.counts)
+                    if sum(min(c, notice.counts[w]) for w, c in held.items()) < self.need[t]:
+                        continue
+                    pairs = align(window, notice.words)
+                    if len(pairs) < self.need[t]:
+                        continue
+                    first, last = lo + pairs[0][0], lo + pairs[-1][0]
+                    # Inserted words count against a match.
+                    if notice.states(window, pairs) and (
+                            last - first + 1 - len(pairs) <= (size if size > SHORT else size // 2)) and (first, last) not in seen:
+                        seen.add((first, last))
+                        yield t, len(pairs) / size, first, last
+                    if last < hi - 1 or first > lo:
+                        rest += [(lo, first), (last + 1, hi)]
+                        # A stretched alignment may hide a whole notice: its two ends apart.
+                        if last - first + 1 > size and (first, last) not in seen:
+                            rest += [(first + 1, hi), (lo, last)]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -203,9 +276,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
     Words are runs of ASCII letters, digits and bytes beyond ASCII, in small letters.  A template
     is stated when some window of twice its length holds `coverage` of its words in
     order, by patience alignment; windows overlap, so that no notice spread over one and a half
-    lengths is cut.  Of a template's windows the best counts: coverage, then the shortest span, then the
-    first.  Of templates whose spans overlap the one with the larger coverage, then the longer
-    one, counts; a license has one row.  first_word and last_word number the document's words from 0.
+    lengths is cut.  A short notice (SHORT words) must have its own words, name and version, aligned, and no
+    word that names another license may stand inside; inserted words may be half as many as a short notice has, as
+    many as a longer one has.  All windows that state a template compete: of those whose spans overlap the one with the
+    larger coverage, then the longer template, then the shorter span, then the first counts; a license has one row.  first_word and last_word number the document's words from 0.
     A document without a notice has one row with a null license; so have null and
     empty texts, with n_words 0.  Null doc_ids and repeated rows are rows like others.
     templates: (license, text) pairs, a few hundred at most, as every task holds them.
@@ -221,12 +295,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
                 rows: list[tuple] = []
                 stated = set()
                 for i, which in scanner.candidates(words, firsts):
-                    hits = [(c, len(scanner.notices[t].words), -a, scanner.notices[t].license, b)
+                    hits = [(c, len(scanner.notices[t].words), a - b, -a, scanner.notices[t].license, b)
                             for t, c, a, b in scanner.find(words[firsts[i]:firsts[i + 1]].tolist(), which)]
                     taken: list[tuple[int, int, str]] = []
-                    for c, _, a, name, b in sorted(hits, reverse=True):
-                        if all(b < lo_ or hi_ < -a for lo_, hi_, _ in taken) and all(name != n for *_, n in taken):
+                    for c, _, _, a, name, b in sorted(hits, reverse=True):
+                        if all(b < lo_ or hi_ < -a for lo_, hi_, _ in taken):
                             taken.append((-a, b, name))
+                            if any(name == n for *_, n in taken[:-1]):
+                                continue  # a license stated again: its span is taken, its row is there
                             rows.append((i, name, c, -a, b))
                             stated.add(i)
                 rows += [(i, None, None, None, None) for i in range(hi - lo) if i not in stated]
