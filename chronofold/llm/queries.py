@@ -168,3 +168,9 @@ FROM c LEFT JOIN parents pa ON pa.conv_id=c.conv_id AND pa.turn=c.turn LEFT JOIN
 def op9_quotations(spark, sf_dir):
     from chronofold.llm.quotations import link_quotations
     return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_simhash(spark, sf_dir):
+    from chronofold.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
