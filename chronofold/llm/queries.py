@@ -174,3 +174,51 @@ def op9_quotations(spark, sf_dir):
 def op13_simhash(spark, sf_dir):
     from chronofold.llm.simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH_SQL = f"""
+WITH q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+n AS (SELECT rid, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM n) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+sc AS (SELECT item_id, rid, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM tf JOIN n USING (rid) JOIN w USING (term) JOIN q USING (term), s GROUP BY item_id, rid, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+@query(SEARCH_SQL)
+def op11_lexical_search(spark, sf_dir):
+    from chronofold.llm.lexical_search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# crc32 of the decimal number, unsigned: eight steps a byte.
+_CRC = """(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+ lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295))"""
+TRIE_SQL = f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS no FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT *, conv_id - conv_id % 100 AS opener, {_CRC} % 6 AS h FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id)),
+m AS (SELECT a.conv_id, a.opener, a.h, least(a.h, coalesce(b.n, 0)) AS shared FROM c a LEFT JOIN c b ON b.conv_id = a.opener),
+r AS (SELECT m.conv_id, o.no + 1 AS pos, role, text FROM m JOIN o ON o.conv_id = m.opener AND o.no < m.h
+  UNION ALL SELECT m.conv_id, m.shared + o.no - m.h + 1, role, text FROM m JOIN o USING (conv_id) WHERE o.no >= m.h),
+k AS (SELECT conv_id, pos, length(text) AS points, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS key FROM r),
+p AS (SELECT conv_id, pos, points, key, left(key, length(key) - 64) AS up FROM k UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT key, any_value(pos) AS depth, any_value(up) AS up, any_value(points) AS points, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY key),
+ch AS (SELECT up AS key, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+lv AS (SELECT p.key, count(*) AS n_leaves FROM n ANTI JOIN ch USING (key) JOIN p USING (conv_id) GROUP BY p.key),
+sv AS (SELECT p.key, sum((n.n_convs - 1) * n.points) AS saved FROM n JOIN p ON p.conv_id = n.conv_id AND p.pos <= n.depth GROUP BY p.key),
+en AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(key, pos) AS key FROM p GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n u ON u.key = n.up LEFT JOIN ch ON ch.key = n.key JOIN lv ON lv.key = n.key JOIN sv ON sv.key = n.key LEFT JOIN en ON en.key = n.key"""
+
+
+@query(TRIE_SQL)
+def op12_prefix_trie(spark, sf_dir):
+    from chronofold.llm.prefix_trie import conversation_trie
+    return conversation_trie(table(spark, sf_dir, "conversations"))
