@@ -15,7 +15,7 @@ from chronofold.functions.coords import wkt_point
 from chronofold.functions.dates import fact_time
 from chronofold.functions.text import group
 from chronofold.operators.filters import in_box, label_contains
-from chronofold.runtime import broadcast_if_small, cut, small_enough
+from chronofold.runtime import broadcast_if_small, cut, keep_if, small_enough
 
 # Subclass edges that may be broadcast: two short columns.
 EDGE_ROWS = 300_000
@@ -133,27 +133,26 @@ def category_items(types: DataFrame, rules: list[CategoryRule], closure: DataFra
     return types.join(broadcast_if_small(lookup), "type_id").select("item", "category").distinct()
 
 
-def place_points(claims: DataFrame, rules: list[CategoryRule]) -> DataFrame:
-    """(item, categories, point): an item's places, with the categories that look
-    there: on the item itself or on the item a property leads to."""
+def place_points(items: DataFrame, claims: DataFrame, rules: list[CategoryRule]) -> DataFrame:
+    """(item, category, point): the places of the items (item, category), on the item itself or on the item a
+    property leads to.  Points are read for these items alone, and each is parsed once."""
     spark = claims.sparkSession
-    points = claims.filter("prop = 'P625'").select("item", wkt_point(F.col("value_point")).alias("point"))
-    direct = [r.category for r in rules if r.place == "direct"]
+    looks = spark.createDataFrame([(r.category, r.place) for r in rules if r.place != "none"], "category string, place string")
+    at = items.select("item", "category").distinct().join(F.broadcast(looks), "category")
     via = sorted({r.place for r in rules} - {"direct", "none"})
-    own = points.filter(F.lit(bool(direct))).select("item", F.array(*[F.lit(c) for c in direct]).cast("array<string>").alias("categories"), "point")
-    if not via:
-        return own
-    by_prop = spark.createDataFrame([(p, [r.category for r in rules if r.place == p]) for p in via], "prop string, categories array<string>")
-    links = claims.filter(F.col("prop").isin(*via)).join(F.broadcast(by_prop), "prop")
-    there = links.select(F.col("item").alias("from"), "categories", F.col("value_item").alias("item")).join(points, "item")
-    return own.unionByName(there.select(F.col("from").alias("item"), "categories", "point"))
+    where = at.filter("place = 'direct'").select("item", "category", F.col("item").alias("holder"))
+    if via:
+        links = of_items(claims.filter(F.col("prop").isin(*via)), at).select("item", F.col("prop").alias("place"), F.col("value_item").alias("holder"))
+        where = where.unionByName(at.join(links, ["item", "place"]).select("item", "category", "holder"))
+    where = cut(where, "holders")
+    held = of_items(claims.filter("prop = 'P625'"), where.select(F.col("holder").alias("item")))
+    points = cut(held.select(F.col("item").alias("holder"), wkt_point(F.col("value_point")).alias("point")), "points")
+    return where.join(points, "holder").select("item", "category", "point")
 
 
 def with_places(items: DataFrame, claims: DataFrame, rules: list[CategoryRule]) -> DataFrame:
     """Add point (struct(lat, lng) or null): one row per place, one without when there is none."""
-    a, b = items.alias("a"), place_points(claims, rules).alias("b")
-    here = (F.col("a.item") == F.col("b.item")) & F.array_contains(F.col("b.categories"), F.col("a.category"))
-    return a.join(b, here, "left").select("a.*", "b.point")
+    return items.join(place_points(items, claims, rules), ["item", "category"], "left").select(*items.columns, "point")
 
 
 def item_id(iri: Column) -> Column:
@@ -162,10 +161,9 @@ def item_id(iri: Column) -> Column:
 
 def as_entries(rows: DataFrame, rules: list[CategoryRule] = CATEGORY_RULES) -> DataFrame:
     """Fact rows (item, label, description, category, value_time, precision, point,
-    article) in the shape of entries."""
+    article) in the shape of entries; t, if there, is the time as read."""
     types = F.create_map(*[x for r in rules for x in (F.lit(r.category), F.lit(r.root))])
-    t = fact_time(F.col("value_time"), F.col("precision"))
-    df = rows.withColumn("t", t)
+    df = rows if "t" in rows.columns else rows.withColumn("t", fact_time(F.col("value_time"), F.col("precision")))
     year, month, day = (F.col(f"t.{p}") for p in ("year", "month", "day"))
     return df.select(
         F.col("item").alias("id"), F.coalesce("label", "item").alias("title"), "category", "point",
@@ -233,13 +231,14 @@ def search(claims: DataFrame, edges: DataFrame, labels: DataFrame, descriptions:
     rules = rules_for(categories, rules)
     roots = sorted({r.root for r in rules if r.transitive} | {out.fictional_root, out.athlete_root})
     closure = descendants(edges, spark.createDataFrame([(r,) for r in roots], "root string"))
-    year = fact_time(F.col("value_time"), F.lit(9))["year"]
     props = spark.createDataFrame([(r.date_prop, r.category) for r in rules], "prop string, category string")
-    dates = claims.filter(F.col("prop").isin(*{r.date_prop for r in rules}) & year.between(year_min, year_max)) \
-        .join(F.broadcast(props), "prop").select("item", "category", "value_time", "precision")
+    dates = (claims.filter(F.col("prop").isin(*sorted({r.date_prop for r in rules})))
+             .select("item", "prop", "value_time", fact_time(F.col("value_time"), F.col("precision")).alias("t")))
+    dates = keep_if(dates, F.col("t.year").between(year_min, year_max)).join(F.broadcast(props), "prop").drop("prop")
     # The dates cut the items down most: what else is read is read for those alone.
     dated = cut(dates, "dated")
-    marks = item_marks(of_items(claims, dated), rules, closure, out)
+    kinds = claims.filter(F.col("prop").isin("P31", out.occupation_prop, out.sport_prop, out.fictional_prop))
+    marks = item_marks(of_items(kinds, dated), rules, closure, out)
     fits = F.lit(False)
     for r in rules:
         keep = F.col(f"is_{r.category}")
@@ -248,13 +247,13 @@ def search(claims: DataFrame, edges: DataFrame, labels: DataFrame, descriptions:
         if r.category == "event":
             keep = keep & ~F.col(f"is_{NOISE}")
         fits = fits | ((F.col("category") == r.category) & keep)
-    rows = dated.join(marks, "item").filter(fits & ~F.col(f"is_{FICTIONAL}")).select(*dates.columns)
+    rows = dated.join(marks, "item").filter(fits & ~F.col(f"is_{FICTIONAL}")).select(*dated.columns)
     rows = cut(rows.join(articles.withColumnRenamed("title", "article"), "item"), "kept")
     rows = (rows.join(in_language(of_items(labels, rows)).withColumnRenamed("text", "label"), "item", "left")
             .join(in_language(of_items(descriptions, rows)).withColumnRenamed("text", "description"), "item", "left"))
     if text:
         rows = label_contains(rows, text)
-    rows = with_places(rows, claims, rules)
+    rows = with_places(cut(rows, "texts"), claims, rules)
     if box:
         rows = rows.filter(in_box(F.col("point.lat"), F.col("point.lng"), **box))
     merged = merge_by_id(as_entries(rows, rules), ["start_year", "category", "start_expr", "point"])

@@ -79,7 +79,9 @@ def test_search_lines(spark):
     b = {r.query_id: r for r in searches.resolve(df, (-200, 400), (0.0, 9.0, -20.0, 20.0)).collect()}
     assert (b[1].categories, b[1].year_min, b[1].year_max, b[1].row_limit, b[1].text) == (["person"], 0.0, 400.0, 1, "rome")
     assert (b[1].lat_min, b[1].lat_max, b[1].lng_min) == (0.0, 5.0, -20.0)
-    assert (b[2].row_limit, b[2].year_min, b[2].categories, b[3].inside) == (500, -200.0, None, "b")
+    assert (b[2].row_limit, b[2].year_min, b[2].categories, b[3].inside) == (9999, -200.0, None, "b")
+    cut = {r.query_id: r.row_limit for r in searches.resolve(df, most=500).collect()}
+    assert (cut[1], cut[2]) == (1, 500)
 
 
 def dump_part(path, name, ids):
