@@ -96,6 +96,22 @@ def normalised_load(spark, sf):
     return loc.join(e.select(F.col("id").alias("entry_id"), "slug"), "entry_id").select("slug", "ordinal", "kind", "lng", "lat", "radius_km", n.alias("n_vertices"))
 
 
+def long_documents(spark, rows, head, tail, label, between=","):
+    """A JSON document over many lines for each value of doc: head, the records (value) in the order of seq, tail.
+
+    opening: what begins a group of records, before its first one; between stands between groups.
+    """
+    first = rows.groupBy("doc").agg(F.min("seq").alias("first"))
+    opening = F.col("opening") if "opening" in rows.columns else F.lit(None).cast("string")
+    head = F.lit(head) if isinstance(head, str) else head
+    begins = F.concat(F.when(F.col("seq") == F.col("first"), head).when(opening.isNotNull(), between).otherwise(","), F.coalesce(opening, F.lit("")))
+    lines = rows.join(F.broadcast(first), "doc").select("doc", F.lit(0).alias("end"), "seq", F.concat(begins, "value").alias("value"))
+    ends = first.select("doc", F.lit(1), "first", F.lit(tail))
+    path = shared_path(spark, label)
+    lines.unionAll(ends).repartition("doc").sortWithinPartitions("doc", "end", "seq").select("value").write.text(path)
+    return path
+
+
 def feature_line(ring):
     return F.concat(F.lit("[["), F.array_join(F.transform(ring, lambda p: F.concat(
         F.lit("["), p["lng"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]"))), ","), F.lit("]]"))
@@ -125,13 +141,16 @@ def boundary_features(spark, sf):
 @query("laneset_file", """
 SELECT CAST(c_nationkey AS STRING) AS laneset_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1 AS INT) AS ordinal, concat('shape-',CAST(c_custkey AS STRING)) AS slug, 1 AS n_sources, 6 AS n_vertices FROM customer""")
 def laneset_file(spark, sf):
-    """One document per laneset, lanes in document order."""
+    """Long documents of several lanesets each; lanes in document order."""
     lane = F.concat(F.lit('{"id":"'), F.col("slug"), F.lit('","name":"n","description":"d","geometry":['), feature_line(F.get("rings", F.lit(0))),
                     F.lit('],"bbox":[0,0,1,1],"eraSources":["rome-history"]}'))
-    doc = shapes(spark, sf).groupBy("laneset_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", lane.alias("l")))).alias("ls"))
-    text = F.concat(F.lit('{"lanesets":[{"id":"'), F.col("laneset_id").cast("string"), F.lit('","name":"x","description":"y","lanes":['), F.array_join(F.col("ls.l"), ","), F.lit("]}]}"))
-    path = written(spark, doc.select(text.alias("value")), "lanesets")
-    sets, lanes = files.parse_lanesets(spark.read.schema(files.LANESETS).json(path))
+    rows = shapes(spark, sf).select((F.col("laneset_id") % 3).alias("doc"), "laneset_id", F.struct("laneset_id", "ordinal").alias("seq"), lane.alias("value"))
+    opening = rows.groupBy("laneset_id").agg(F.min("seq").alias("seq")).withColumn("opens", F.lit(True))
+    begun = F.concat(F.lit('{"id":"'), F.col("laneset_id").cast("string"), F.lit('","name":"x","description":"y","lanes":['))
+    rows = rows.join(F.broadcast(opening), ["laneset_id", "seq"], "left")
+    path = long_documents(spark, rows.select("doc", "seq", "value", F.when(F.col("opens"), begun).alias("opening")), '{"lanesets":[', "]}]}", "lanesets", between="]},")
+    sets, lanes = files.read_lanesets(spark, path)
+    lanes = lanes.join(F.broadcast(sets.select("laneset_id", "name")), "laneset_id")
     return lanes.select("laneset_id", "ordinal", "slug", F.size("era_sources").alias("n_sources"),
                         F.size(F.get(F.get("polygons", F.lit(0)), F.lit(0))).alias("n_vertices"))
 
@@ -145,23 +164,22 @@ def country_file(spark, sf):
     f = F.concat(F.lit('{"type":"Feature","properties":{"CONTINENT":"'), F.when(k % 7 == 3, files.OPEN_OCEAN).when(k % 2 == 0, "Asia").otherwise("Africa"),
                  F.lit('","SUBREGION":"sub '), k.cast("string"), F.lit('"},"geometry":{"type":'), F.when(k % 5 == 1, F.concat(
                      F.lit('"MultiPolygon","coordinates":['), ring, F.lit(","), ring, F.lit("]"))).otherwise(F.concat(F.lit('"Polygon","coordinates":'), ring)), F.lit("}}"))
-    doc = shapes(spark, sf).groupBy("laneset_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(f), ","), F.lit("]}")).alias("value"))
-    path = written(spark, doc.select("value"), "countries")
-    c = files.parse_countries(spark.read.schema(files.COUNTRIES).json(path))
+    rows = shapes(spark, sf).select((k % 2).alias("doc"), k.alias("seq"), f.alias("value"))
+    c = files.read_countries(spark, long_documents(spark, rows, '{"type":"FeatureCollection","bbox":[0,1],"features":[', "]}", "countries"))
     return c.select("continent", "subregion", F.size("polygons").alias("n_polygons"))
 
 
 @query("map_elements", """
 SELECT 'node' AS kind, p_partkey AS id, CAST(p_partkey%180-90 AS DOUBLE) AS lat, CAST(NULL AS BIGINT) AS n FROM part UNION ALL SELECT 'way', s_suppkey, NULL, 3 FROM supplier UNION ALL SELECT 'member', n_nationkey+1, NULL, n_regionkey FROM nation""")
 def map_elements(spark, sf):
-    """Every element is listed twice and counts once."""
+    """Two documents with every element; each counts once."""
     s = lambda c: F.col(c).cast("string")
     n = v.table(spark, sf, "part").select(F.concat(F.lit('{"type":"node","id":'), s("p_partkey"), F.lit(',"lat":'), (F.col("p_partkey") % 180 - 90).cast("string"), F.lit(',"lon":1}')).alias("e"))
     w = v.table(spark, sf, "supplier").select(F.concat(F.lit('{"type":"way","id":'), s("s_suppkey"), F.lit(',"nodes":[1,2,3]}')).alias("e"))
     r = v.table(spark, sf, "nation").select(F.concat(F.lit('{"type":"relation","id":'), (F.col("n_nationkey") + 1).cast("string"), F.lit(',"members":[{"type":"relation","ref":'), s("n_regionkey"), F.lit("}]}")).alias("e"))
     e = n.unionAll(w).unionAll(r)
-    path = written(spark, e.unionAll(e).select(F.concat(F.lit('{"elements":['), "e", F.lit("]}")).alias("value")), "elements")
-    nodes, ways, members = files.parse_map_elements(spark.read.schema(files.ELEMENTS).json(path))
+    rows = e.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("doc"), F.col("e").alias("seq"), F.col("e").alias("value"))
+    nodes, ways, members = files.read_map_elements(spark, long_documents(spark, rows, '{"version":0.6,"elements":[', "]}", "elements"))
     null = F.lit(None)
     return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "lat", null.cast("long").alias("n")).unionAll(
         ways.select(F.lit("way"), "way_id", null.cast("double"), F.size("nodes").cast("long"))).unionAll(
@@ -176,11 +194,12 @@ def query_results(spark, sf):
     i = F.col("id")
     time = F.concat(F.when(F.col("start_year") < 0, "-").otherwise(""), F.lpad(F.abs("start_year").cast("string"), 4, "0"), F.lit("-05-17T00:00:00Z"))
     pair = lambda n, c: F.concat(F.lit(f'"{n}":{{"value":"'), c, F.lit('"}'))
-    b = F.concat(F.lit('{"results":{"bindings":[{'), F.concat_ws(",", pair("item", F.concat(F.lit("http://www.wikidata.org/entity/"), F.when(i % 11 == 0, "L").otherwise("Q"), i.cast("string"))),
+    b = F.concat(F.lit("{"), F.concat_ws(",", pair("item", F.concat(F.lit("http://www.wikidata.org/entity/"), F.when(i % 11 == 0, "L").otherwise("Q"), i.cast("string"))),
                  F.when(i % 3 != 0, pair("itemLabel", F.col("title"))), pair("matchedCategory", F.lit("person")), pair("date", time), pair("datePrecision", F.lit("10")),
-                 F.when(i % 2 == 0, pair("coord", F.lit("POINT(1.5 2.5)"))), pair("wikipediaTitle", F.lit("W"))), F.lit("}]}}"))
-    path = written(spark, v.entries(spark, sf).select(b.alias("value")), "bindings")
-    e = merge_by_id(as_entries(files.bindings_as_facts(files.parse_bindings(spark.read.schema(files.BINDINGS).json(path)))), ["start_year"])
+                 F.when(i % 2 == 0, pair("coord", F.lit("POINT(1.5 2.5)"))), pair("wikipediaTitle", F.lit("W"))), F.lit("}"))
+    rows = v.entries(spark, sf).select((i % 3).alias("doc"), i.alias("seq"), b.alias("value"))
+    path = long_documents(spark, rows, '{"head":{"vars":["item","date"]},"results":{"bindings":[', "]}}", "bindings")
+    e = merge_by_id(as_entries(files.bindings_as_facts(files.read_bindings(spark, path))), ["start_year"])
     return e.select("id", "title", "start_year", "start_month", "start_day", "infobox_type", F.size("locations").alias("n_points"))
 
 
@@ -189,9 +208,22 @@ SELECT CAST(event_id AS STRING) AS id, event_type AS category, CAST(json_extract
 def document_lists(spark, sf):
     """Records in JSON lists, each kept whole beside its key."""
     e = v.table(spark, sf, "events")
-    rec = F.to_json(F.array(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("category"), F.from_json("props", "k long").alias("p"))))
-    d = files.parse_documents(spark.read.text(written(spark, e.select(rec.alias("value")), "documents")))
-    return d.select("id", "category", F.get_json_object("data", "$.p.k").cast("long").alias("k"))
+    rec = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("category"), F.from_json("props", "k long").alias("p")))
+    rows = e.select((F.col("event_id") % 4).alias("doc"), F.col("event_id").alias("seq"), rec.alias("value"))
+    d = files.read_record_lists(spark, long_documents(spark, rows, "[", "]", "documents"))
+    return d.select("id", "category", F.variant_get("data", "$.p.k", "bigint").alias("k"))
+
+
+@query("document_members", """
+SELECT CAST(event_id AS STRING) AS id, CAST(i AS INT) AS pos, CASE i WHEN 0 THEN event_type WHEN 1 THEN 'a}b' ELSE 'u' || user_id END AS tag FROM events JOIN (SELECT unnest([0,1,2]) AS i) ON i < 1 + event_id % 3""")
+def document_members(spark, sf):
+    """The members of an array inside each record of a list, by the variant type."""
+    e = v.table(spark, sf, "events")
+    tags = F.slice(F.array("event_type", F.lit("a}b"), F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.lit(1), (1 + F.col("event_id") % 3).cast("int"))
+    rec = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), tags.alias("tags")))
+    rows = e.select((F.col("event_id") % 2).alias("doc"), F.col("event_id").alias("seq"), rec.alias("value"))
+    d = files.read_record_lists(spark, long_documents(spark, rows, "[", "]", "members"))
+    return files.record_members(d, "$.tags").select("id", "pos", F.variant_get("value", "$", "string").alias("tag"))
 
 
 @query("json_paths", """
@@ -236,7 +268,7 @@ def waypoint_file(spark, sf):
     k = F.col("c_custkey")
     f = F.concat(F.lit('{"properties":{"name":"'), F.when(k % 4 == 0, "Book ").otherwise(F.concat(F.lit("#"), (k % 20).cast("string"), F.lit(" = "))), F.col("c_name"),
                  F.lit('","description":"d"},"geometry":{"type":"Point","coordinates":['), (k % 60 * 3).cast("string"), F.lit(',1]}}'))
-    doc = v.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", f.alias("f")))).alias("fs")).select(
-        F.concat(F.lit('{"path_id":"'), F.col("c_nationkey").cast("string"), F.lit('","features":['), F.array_join(F.col("fs.f"), ","), F.lit("]}")).alias("value"))
-    docs = spark.read.schema("path_id string, " + files.WAYPOINTS).json(written(spark, doc, "waypoints"))
-    return J.numbered_waypoints(files.parse_waypoint_features(docs)).select("path_id", "number", "label", "seq", "lng")
+    rows = v.table(spark, sf, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("seq"), f.alias("value"),
+                                                 F.concat(F.lit('{"path_id":"'), F.col("c_nationkey").cast("string"), F.lit('","features":[')).alias("head"))
+    path = long_documents(spark, rows, F.col("head"), "]}", "waypoints")
+    return J.numbered_waypoints(files.read_waypoint_features(spark, path)).select("path_id", "number", "label", "seq", "lng")

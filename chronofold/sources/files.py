@@ -10,15 +10,7 @@ from chronofold.operators.catalog import DEFAULT_TYPES
 from chronofold.operators.extract import IngestRules
 from chronofold.operators.spatial import to_rings
 from chronofold.schema import CATEGORIES, LOCATIONS
-
-
-def whole_json(spark: SparkSession, path: str, shape: str) -> DataFrame:
-    """JSON documents that run over many lines, one file each.
-
-    Such a file is read by one task.  Files with one document to a line are read
-    with spark.read.schema(shape).json and go to the same parse functions.
-    """
-    return spark.read.schema(shape).option("multiLine", True).json(path)
+from chronofold.sources.json_records import read_documents
 
 
 # -- entries ----------------------------------------------------------------
@@ -126,21 +118,34 @@ def boundary_entries(features: DataFrame, prefix: str, citation_url: str, citati
         as_multipolygon(F.col("kind"), F.col("coordinates")).alias("polygons"))
 
 
-_LANE = ("struct<id:string,name:string,description:string,geometry:array<array<array<array<double>>>>,"
-         "bbox:array<double>,eraSources:array<string>>")
-LANESETS = f"lanesets array<struct<id:string,name:string,description:string,lanes:array<{_LANE}>>>"
-COUNTRIES = ("features array<struct<properties:struct<CONTINENT:string,SUBREGION:string>,"
-             "geometry:struct<type:string,coordinates:string>>>")
+def array_members(spark: SparkSession, path: str, array: str, shape: str, keep: str | None = None) -> DataFrame:
+    """(file, pos, m): the members of an array of JSON documents, read by many tasks however long a document is.
 
+    array: the way to it, as "results.bindings"; shape: schema of a member, which stays text where there is none.  keep: a field of
+    the document to carry along.
+    """
+    names = array.split(".") if array else []
+    kind = "array<string>"
+    for name in reversed(names[1:]):
+        kind = f"struct<{name}:{kind}>"
+    frame = (f"{names[0]} {kind}" + (f", {keep} string" if keep else "")) if names else kind
+    docs = read_documents(spark, path, len(names) + 1)
+    at = docs.arrays(frame, F.col(".".join(["d", *names])))
+    found = docs.members_of(at.select("file", "array", *([F.col(f"d.{keep}").alias(keep)] if keep else [])))
+    return found.select("file", *([keep] if keep else []), "pos", (F.from_json("text", shape) if shape else F.col("text")).alias("m"))
 
-def read_lanesets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_lanesets(whole_json(spark, path, LANESETS))
 
+LANE = ("id string, name string, description string, geometry array<array<array<array<double>>>>, bbox array<double>, eraSources array<string>")
+LANESETS = "lanesets array<struct<id:string,name:string,description:string,lanes:array<string>>>"
+COUNTRY = "properties struct<CONTINENT:string,SUBREGION:string>, geometry struct<type:string,coordinates:string>"
 
-def parse_lanesets(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def read_lanesets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(lanesets, lanes) of laneset documents; both keep their order in the document."""
-    sets = doc.select(F.posexplode("lanesets").alias("ordinal", "s"))
-    lanes = sets.select(F.col("s.id").alias("laneset_id"), F.posexplode("s.lanes").alias("ordinal", "l"))
+    docs = read_documents(spark, path, 4)
+    sets = docs.frames.select("file", F.posexplode(F.from_json("text", LANESETS)["lanesets"]).alias("ordinal", "s"))
+    lanes = docs.members_of(sets.select("file", F.get("s.lanes", F.lit(0)).alias("array"), F.col("s.id").alias("laneset_id")))
+    lanes = lanes.select("laneset_id", F.col("pos").alias("ordinal"), F.from_json("text", LANE).alias("l"))
     return (sets.select(F.col("s.id").alias("laneset_id"), F.col("s.id").alias("slug"), "ordinal", "s.name", "s.description"),
             lanes.select("laneset_id", "ordinal", F.col("l.id").alias("slug"), "l.name", "l.description",
                          F.transform("l.geometry", to_rings).alias("polygons"), "l.bbox",
@@ -152,50 +157,34 @@ OPEN_OCEAN = "Seven seas (open ocean)"
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
-    return parse_countries(whole_json(spark, path, COUNTRIES))
-
-
-def parse_countries(doc: DataFrame) -> DataFrame:
     """(source_order, continent, subregion, polygons) of country feature collections."""
-    f = doc.select(F.posexplode("features").alias("source_order", "f"))
-    f = f.select("source_order", F.col("f.properties.CONTINENT").alias("continent"), F.col("f.properties.SUBREGION").alias("subregion"),
-                 F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+    f = array_members(spark, path, "features", COUNTRY)
+    f = f.select(F.col("pos").alias("source_order"), F.col("m.properties.CONTINENT").alias("continent"), F.col("m.properties.SUBREGION").alias("subregion"),
+                 F.col("m.geometry.type").alias("kind"), F.col("m.geometry.coordinates").alias("coordinates"))
     return f.filter(F.coalesce("continent", F.lit("")) != OPEN_OCEAN).select(
         "source_order", "continent", "subregion", as_multipolygon(F.col("kind"), F.col("coordinates")).alias("polygons"))
 
 
-WAYPOINTS = ("features array<struct<properties:struct<name:string,description:string>,"
-             "geometry:struct<type:string,coordinates:array<double>>>>")
+WAYPOINT = "properties struct<name:string,description:string>, geometry struct<type:string,coordinates:array<double>>"
 
 
 def read_waypoint_features(spark: SparkSession, path: str) -> DataFrame:
-    """One path per file."""
-    doc = whole_json(spark, path, WAYPOINTS)
-    return parse_waypoint_features(doc.select(F.col("_metadata.file_name").alias("path_id"), "features"))
-
-
-def parse_waypoint_features(doc: DataFrame) -> DataFrame:
-    """(path_id, pos, name, description, lng, lat) of point features."""
-    f = doc.select("path_id", F.posexplode("features").alias("pos", "f"))
-    return f.select("path_id", "pos", "f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("lng"),
-                    F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))
+    """(path_id, pos, name, description, lng, lat) of point features: a path a document, known by its path_id or else by the file."""
+    f = array_members(spark, path, "features", WAYPOINT, keep="path_id")
+    at = lambda i: F.get("m.geometry.coordinates", F.lit(i))
+    return f.select(F.coalesce("path_id", F.element_at(F.split("file", "/"), -1)).alias("path_id"), "pos", "m.properties.*", at(0).alias("lng"), at(1).alias("lat"))
 
 
 # -- networks, facts, catalogs ----------------------------------------------
 
-ELEMENTS = ("elements array<struct<type:string,id:long,lat:double,lon:double,nodes:array<long>,"
-            "members:array<struct<type:string,ref:long>>>>")
+ELEMENT = "type string, id long, lat double, lon double, nodes array<long>, members array<struct<type:string,ref:long>>"
 BINDING_NAMES = ["item", "itemLabel", "description", "matchedCategory", "date", "datePrecision", "coord", "wikipediaTitle"]
-BINDINGS = "results struct<bindings:array<struct<" + ",".join(f"{n}:struct<value:string>" for n in BINDING_NAMES) + ">>>"
+BINDING = ", ".join(f"{n} struct<value:string>" for n in BINDING_NAMES)
 
 
 def read_map_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_map_elements(whole_json(spark, path, ELEMENTS))
-
-
-def parse_map_elements(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, ways, relation members) of map-element documents, each id once."""
-    e = doc.select(F.explode("elements").alias("e")).select("e.*")
+    e = array_members(spark, path, "elements", ELEMENT).select("m.*")
     nodes = e.filter("type = 'node'").select(F.col("id").alias("node_id"), "lat", F.col("lon").alias("lng")).dropDuplicates(["node_id"])
     ways = e.filter("type = 'way'").select(F.col("id").alias("way_id"), "nodes").dropDuplicates(["way_id"])
     members = e.filter("type = 'relation'").select("id", "members").dropDuplicates(["id"]).select(
@@ -204,13 +193,8 @@ def parse_map_elements(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
-    return parse_bindings(whole_json(spark, path, BINDINGS))
-
-
-def parse_bindings(doc: DataFrame) -> DataFrame:
     """Rows of query-result documents, one string column per variable."""
-    b = doc.select(F.explode("results.bindings").alias("b"))
-    return b.select(*[F.col(f"b.{n}.value").alias(n) for n in BINDING_NAMES])
+    return array_members(spark, path, "results.bindings", BINDING).select(*[F.col(f"m.{n}.value").alias(n) for n in BINDING_NAMES])
 
 
 def bindings_as_facts(bindings: DataFrame) -> DataFrame:
@@ -282,11 +266,14 @@ def read_rules(spark: SparkSession, path: str) -> tuple[IngestRules, dict[str, s
     return IngestRules(exclude_categories=excluded, max_start_year=caps, **rules), other
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(id, category, data) of JSON lists of records; data is the whole record."""
-    return parse_documents(spark.read.option("wholetext", True).text(path))
+def read_record_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(id, category, data) of JSON lists of records; data is the whole record as a variant."""
+    items = array_members(spark, path, "", "").select(F.try_parse_json("m").alias("data"))
+    return items.select(F.try_variant_get("data", "$.id", "string").alias("id"), F.try_variant_get("data", "$.category", "string").alias("category"), "data")
 
 
-def parse_documents(lists: DataFrame) -> DataFrame:
-    items = lists.select(F.explode(F.from_json("value", "array<string>")).alias("data"))
-    return items.select(F.get_json_object("data", "$.id").alias("id"), F.get_json_object("data", "$.category").alias("category"), "data")
+def record_members(records: DataFrame, path: str) -> DataFrame:
+    """Records with a row for each member (pos, value) of an array inside them; data is a variant."""
+    inner = records.withColumn("__at", F.try_variant_get("data", path, "variant"))
+    members = records.sparkSession.tvf.variant_explode(F.col("__at").outer())
+    return inner.lateralJoin(members).drop("__at", "key")
