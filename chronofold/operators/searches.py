@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronofold.operators.filters import without_eras
 from chronofold.operators.spatial import containing
+from chronofold.operators.text_index import TextIndex, matching
 from chronofold.runtime import broadcast_if_small, cut
 from chronofold.schema import CATEGORIES, DEFAULT_LIMIT
 
@@ -44,12 +45,17 @@ def resolve(spec: DataFrame, years: tuple[float, float] = (float("-inf"), float(
         F.least(F.coalesce(last(limit), F.lit(DEFAULT_LIMIT)), F.lit(most)).cast("int").alias("row_limit"))
 
 
+def words_of(title: Column, description: Column) -> Column:
+    """What a text line is looked for in."""
+    return F.concat(F.lower(title), F.lit(" "), F.lower(description))
+
+
 def _bucket(year):
     return F.floor(F.least(F.greatest(year, F.lit(BUCKET_FROM)), F.lit(BUCKET_TO)) / BUCKET_YEARS).cast("int")
 
 
 def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = None,
-            boundaries: DataFrame | None = None) -> DataFrame:
+            boundaries: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """(query_id, rank, id, slug, start_year) of every search over one pass of the entries.
 
     Searches and entries meet on category and time bucket, both sides listing the
@@ -58,7 +64,8 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
     each.  Ranks are cut to the largest limit before the shuffle, and only boundaries that
     a search names are looked into.
 
-    entries carry tags; primary: (entry_id, lat, lng); boundaries: (slug, part, rings).
+    entries carry tags; primary: (entry_id, lat, lng); boundaries: (slug, part, rings).  index: of all entries' titles and
+    descriptions (words_of); with it their texts are not read, but for those that hold the rarest trigrams of a search.
     """
     same = F.to_json(F.struct(*[c for c in bounds.columns if c != "query_id"]))
     asked = cut(bounds.withColumn("bounds", same), "bounds")
@@ -71,7 +78,7 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
         e = e.join(primary.select(F.col("entry_id").alias("id"), "lat", "lng"), "id", "left")
     else:
         e = e.withColumns({"lat": F.lit(None).cast("double"), "lng": F.lit(None).cast("double")})
-    words = F.concat(F.lower("title"), F.lit(" "), F.lower("description"))
+    words = F.lit(None).cast("string") if index else words_of(F.col("title"), F.col("description"))
     e = e.select("id", "slug", "start_year", "end_year", "category", "lat", "lng", words.alias("words"),
                  _bucket(F.col("start_year")).alias("from_bucket"), _bucket(F.col("end_year")).alias("to_bucket"))
     e = e.withColumn("bucket", F.explode(F.sequence("from_bucket", F.greatest("from_bucket", "to_bucket"))))
@@ -82,9 +89,12 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
     hit = e.join(broadcast_if_small(q), ["category", "bucket"]).filter(
         (F.col("bucket") == F.greatest("from_bucket", "query_bucket"))
         & (F.col("start_year") <= F.col("year_max")) & (F.col("end_year") >= F.col("year_min"))
-        & (F.col("text").isNull() | F.contains("words", F.col("text")))
+        & (F.lit(index is not None) | F.col("text").isNull() | F.contains("words", F.col("text")))
         & (F.col("lat_min").isNull() | F.coalesce(F.col("lat").between(F.col("lat_min"), F.col("lat_max")), F.lit(False)))
         & (F.col("lng_min").isNull() | F.coalesce(F.col("lng").between(F.col("lng_min"), F.col("lng_max")), F.lit(False))))
+    if index is not None:
+        held = matching(index, bounds.select("text")).withColumn("holds", F.lit(True))
+        hit = hit.join(broadcast_if_small(held), ["text", "id"], "left").filter("text IS NULL OR holds")
     hit = hit.select("query_id", "id", "slug", "start_year", "inside", "outside", "row_limit")
     if primary is not None and boundaries is not None:
         named = bounds.select(F.explode(F.array("inside", "outside")).alias("slug")).where("slug is not null").distinct()

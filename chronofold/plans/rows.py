@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import layout as L, sampling as S, searches as Q
+from chronofold.operators import layout as L, sampling as S, searches as Q, text_index as T
 from chronofold.operators.lanes import assign_lanes
 from chronofold.plans import fixtures as v
 from chronofold.plans.places import polygons
@@ -88,6 +88,24 @@ def saved_searches_all_kinds(spark, sf):
     return Q.run_all(b, v.entries_with_tags(spark, sf), v.primary_points(spark, sf), polygons(spark, sf))
 
 
+@query("saved_searches_indexed", """
+SELECT query_id, rank, id, slug, start_year FROM (SELECT s_suppkey AS query_id, e.id, e.slug, e.start_year, row_number() OVER (PARTITION BY s_suppkey ORDER BY e.start_year, e.slug) AS rank
+ FROM supplier JOIN v_entries e ON e.start_year<=1500-s_suppkey%1000 AND e.end_year>=-2000-s_suppkey%700
+ AND contains(lower(e.title)||' '||lower(e.description), lower(CASE WHEN s_suppkey%10=3 THEN 'zz no such' WHEN s_suppkey%10=7 THEN 'r1' ELSE right('00000'||CAST(s_suppkey%1500 AS STRING),5) END))
+ AND NOT (category='historical_period' AND tag LIKE '%-history')) WHERE rank<=5+query_id%90""", ("v_entries",))
+def saved_searches_indexed(spark, sf):
+    """A search for each supplier, each with its own text, years and limit, by an index of the entries' trigrams."""
+    k = F.col("s_suppkey")
+    line = lambda seq, kind, text=F.lit(None), lo=F.lit(None), hi=F.lit(None): F.struct(
+        F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("str_value"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    text = F.when(k % 10 == 3, "ZZ no such").when(k % 10 == 7, "R1").otherwise(F.lpad((k % 1500).cast("string"), 5, "0"))
+    lines = F.array(line(1, "text", text), line(2, "year", lo=-2000 - k % 700, hi=1500 - k % 1000), line(3, "limit", lo=5 + k % 90))
+    spec = v.table(spark, sf, "supplier").select(k.alias("query_id"), F.explode(lines).alias("f")).select("query_id", "f.*")
+    e = v.entries_with_tags(spark, sf)
+    index = T.build(e.select("id", Q.words_of(F.col("title"), F.col("description")).alias("words")))
+    return Q.run_all(Q.resolve(spec), e, index=index)
+
+
 INDEX = "(SELECT 'dump-1' AS file, CAST(floor(doc_id/100) AS BIGINT)*650+17 AS \"offset\", doc_id, concat('Doc: ',CAST(doc_id AS STRING)) AS title FROM documents)"
 
 

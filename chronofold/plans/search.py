@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import years
 from chronofold.functions.text import citation_label, citation_url, percent_encode
-from chronofold.operators import entries as E, filters as f
+from chronofold.operators import entries as E, filters as f, searches as Q, text_index as T
 from chronofold.plans import fixtures as v
 from chronofold.plans.registry import query
 
@@ -49,6 +49,16 @@ def filter_text(spark, sf):
     return f.text_contains(v.entries(spark, sf), "Machinery 1-URGENT").select("id", "title", "description")
 
 
+@query("filter_text_indexed", """
+SELECT id, title, description FROM v_entries
+WHERE position(lower('Machinery 1-URGENT') IN lower(title)||' '||lower(description))>0""", ("v_entries",))
+def filter_text_indexed(spark, sf):
+    """The same by the trigrams of all entries: the rarest ones lead to the texts that are tested."""
+    e = v.entries(spark, sf).select("id", "title", "description")
+    index = T.build(e.select("id", Q.words_of(F.col("title"), F.col("description")).alias("words")))
+    return e.join(T.holding(index, "machinery 1-urgent"), "id", "left_semi")
+
+
 @query("filter_label_text", """
 SELECT id, label FROM (SELECT id, CASE WHEN id%7<>0 THEN title END AS label, CASE WHEN id%5<>0 THEN description END AS description FROM v_entries)
 WHERE contains(lower(coalesce(label,'')),'low') OR contains(lower(coalesce(description,'')),'low')""", ("v_entries",))
