@@ -166,20 +166,21 @@ def _split(nodes: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
                        F.slice("path", (F.col("from") - F.col("above") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")).alias("path"))
 
 
-def compacted_nodes(pieces: DataFrame, work: Work, few: int = HANDLES) -> DataFrame:
-    """The nodes of the trie over pieces (conv_id, base, end, start, path); see NODE.  The root has no row."""
+def compacted_nodes(pieces: DataFrame, work: Work, few: int = HANDLES) -> tuple[DataFrame, int]:
+    """The nodes of the trie over pieces (conv_id, base, end, start, path), see NODE, and a bound of their number.  The root has no row."""
     last = F.try_element_at("path", F.lit(-1))
     # Equal pieces are one from here on.
     waiting = (pieces.groupBy("end", last["h1"].alias("e1"), last["h2"].alias("e2")).agg(F.min(F.struct("conv_id", "base", "start", "path")).alias("p"))
                .select("p.conv_id", "p.base", "end", "p.start", "p.path", F.col("p.base").alias("low")))
     waiting = work.cut(waiting, "waiting")
-    nodes = work.cut(work.spark.createDataFrame([], NODE), "nodes")
+    nodes, most = work.cut(work.spark.createDataFrame([], NODE), "nodes"), 0
     while True:
-        steps = waiting.agg(F.max(F.col("end") - F.col("low"))).first()[0]
-        if steps is None:
+        steps, n = waiting.agg(F.max(F.col("end") - F.col("low")), F.count("*")).first()
+        if not n:
             work.drop(waiting)
-            return nodes
-        small = nodes.count() <= few
+            return nodes, most
+        small, all_few = most <= few, n <= few
+        most += 2 * n  # a piece adds one leaf and cuts one edge at most
         located = work.cut(_located(waiting, nodes, small, int(steps).bit_length() + 1), "located")
         out = F.col("exit") < F.col("end")
         following = _at(F.col("path"), F.col("base"), F.col("exit") + 1)
@@ -187,13 +188,13 @@ def compacted_nodes(pieces: DataFrame, work: Work, few: int = HANDLES) -> DataFr
         drawn = (located.where(out).groupBy("exit", following["h1"].alias("f1"), following["h2"].alias("f2")).agg(F.min(draw).alias("d"))
                  .select("d.conv_id", "d.base"))
         drawn = work.cut(drawn, "drawn")
-        inside = broadcast_if_small(drawn)
+        inside = F.broadcast(drawn) if all_few else drawn
         from_ = F.when(F.col("exit") == F.col("base"), F.col("start")).otherwise(_at(F.col("path"), F.col("base"), F.col("exit")))
         tail = F.slice("path", (F.col("exit") - F.col("base") + 1).cast("int"), (F.col("end") - F.col("exit")).cast("int"))
         leaves = located.join(inside, ["conv_id", "base"], "left_semi").select(F.col("exit").alias("above"), F.col("end").alias("depth"), from_.alias("top"), tail.alias("path"))
         cuts = (located.where("edge is not null and exit > edge.above")
-                .select(F.col("edge.above").alias("above"), F.col("edge.h1").alias("c1"), F.col("edge.h2").alias("c2"), F.col("exit").alias("at")).distinct())
-        more = work.cut(_split(nodes, cuts, False).unionAll(leaves), "nodes")
+                .select(F.col("edge.above").alias("above"), F.col("edge.h1").alias("c1"), F.col("edge.h2").alias("c2"), F.col("exit").alias("at")))
+        more = work.cut(_split(nodes, cuts, all_few).unionAll(leaves), "nodes")
         rest = work.cut(located.where(out).join(inside, ["conv_id", "base"], "left_anti").select(*waiting.columns), "waiting")
         work.drop(waiting, nodes, located, drawn)
         waiting, nodes = rest, more
@@ -201,26 +202,30 @@ def compacted_nodes(pieces: DataFrame, work: Work, few: int = HANDLES) -> DataFr
 
 # --- The tree
 
-def _up(nodes: DataFrame, jumps: list[DataFrame], values: dict[str, Column], work: Work) -> DataFrame:
+def _up(nodes: DataFrame, jumps: list[DataFrame], values: dict[str, Column], work: Work, small: bool) -> DataFrame:
     """nodes with sums (or least values) over subtrees, themselves included, by jumps of 1, 2, 4, ... levels."""
     at = [F.col(f"p_{k}").alias(k) for k in _KEY]
     for jump in jumps:
-        far = nodes.select(*_KEY, *values).join(jump, _KEY)
+        far = nodes.select(*_KEY, *values).join(_hint(jump, small), _KEY)
         sums = far.groupBy(*at).agg(*[v.alias(f"s_{n}") for n, v in values.items()])
         both = {n: (F.least(n, f"s_{n}") if n == "conv_id" else F.col(n) + F.coalesce(f"s_{n}", F.lit(0))) for n in values}
-        old, nodes = nodes, work.cut(nodes.join(sums, _KEY, "left").withColumns(both).drop(*[f"s_{n}" for n in values]), "sums")
+        old, nodes = nodes, work.cut(nodes.join(_hint(sums, small), _KEY, "left").withColumns(both).drop(*[f"s_{n}" for n in values]), "sums")
         work.drop(old)
     return nodes
 
 
-def _jumps(nodes: DataFrame, work: Work) -> list[DataFrame]:
+def _hint(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _jumps(nodes: DataFrame, work: Work, small: bool) -> list[DataFrame]:
     """(key, p_key): each node's ancestor 1, 2, 4, ... levels up, as far as there is one."""
     jump = work.cut(nodes.where("depth > 0").select(*_KEY, F.col("above").alias("p_depth"), F.col("top.h1").alias("p_h1"), F.col("top.h2").alias("p_h2")), "jump")
     out = []
     while not jump.isEmpty():
         out.append(jump)
         up = jump.select(*[F.col(k).alias(f"p_{k}") for k in _KEY], *[F.col(f"p_{k}").alias(f"q_{k}") for k in _KEY])
-        jump = work.cut(jump.join(up, [f"p_{k}" for k in _KEY]).select(*_KEY, *[F.col(f"q_{k}").alias(f"p_{k}") for k in _KEY]), "jump")
+        jump = work.cut(jump.join(_hint(up, small), [f"p_{k}" for k in _KEY]).select(*_KEY, *[F.col(f"q_{k}").alias(f"p_{k}") for k in _KEY]), "jump")
     return out
 
 
@@ -262,7 +267,8 @@ def prefix_tree(convs: DataFrame, turns: DataFrame, work: Work, few: int = HANDL
     n_children, n_leaves, saved_tokens, ends_sha256.  Work grows with the turns, times the logarithm of their number.
     """
     pieces = work.cut(_pieces(turns, work), "paths")
-    nodes = compacted_nodes(pieces, work, few)
+    nodes, most = compacted_nodes(pieces, work, few)
+    small = most <= few  # what has a row a node may be broadcast
     last = F.try_element_at("path", F.lit(-1))
     ending = pieces.groupBy("conv_id").agg(F.max(F.struct(F.col("end").alias("depth"), last["h1"].alias("h1"), last["h2"].alias("h2"))).alias("e"))
     ends = convs.join(ending, "conv_id", "left").select("conv_id", *[F.coalesce(f"e.{k}", F.lit(0)).alias(k) for k in _KEY])
@@ -275,18 +281,18 @@ def prefix_tree(convs: DataFrame, turns: DataFrame, work: Work, few: int = HANDL
     own = F.coalesce(last, none)
     all_ = nodes.unionAll(root).withColumns({"h1": own["h1"], "h2": own["h2"]})
     below = nodes.groupBy(F.col("above").alias("depth"), F.col("top.h1").alias("h1"), F.col("top.h2").alias("h2")).agg(F.count("*").alias("n_children"))
-    tree = (all_.join(here, _KEY, "left").join(below, _KEY, "left")
+    tree = (all_.join(_hint(here, small), _KEY, "left").join(_hint(below, small), _KEY, "left")
             .withColumns({"n_convs": F.coalesce("n_convs", F.lit(0)), "n_children": F.coalesce("n_children", F.lit(0))})
             .withColumn("n_leaves", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long")))
     tree = work.cut(tree, "tree")
-    jumps = _jumps(tree, work)
+    jumps = _jumps(tree, work, small)
     narrow = tree.select(*_KEY, "conv_id", "n_convs", "n_leaves", (own["points"] - F.coalesce("top.points", F.lit(0))).alias("points"))
-    counts = _up(narrow, jumps, {"conv_id": F.min("conv_id"), "n_convs": F.sum("n_convs"), "n_leaves": F.sum("n_leaves")}, work)
+    counts = _up(narrow, jumps, {"conv_id": F.min("conv_id"), "n_convs": F.sum("n_convs"), "n_leaves": F.sum("n_leaves")}, work, small)
     saving = counts.withColumn("saved", (F.col("n_convs") - 1) * F.col("points"))
-    saved = _up(saving, jumps, {"saved": F.sum("saved")}, work)
+    saved = _up(saving, jumps, {"saved": F.sum("saved")}, work, small)
     parents = saved.select(F.col("depth").alias("above"), F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("conv_id").alias("above_id"))
-    whole = (tree.select(*_KEY, "above", "top", "path", "n_children", F.col("top.h1").alias("t1"), F.col("top.h2").alias("t2")).join(saved, _KEY)
-             .join(parents, ["above", "t1", "t2"], "left").join(_digests(ends), _KEY, "left"))
+    whole = (tree.select(*_KEY, "above", "top", "path", "n_children", F.col("top.h1").alias("t1"), F.col("top.h2").alias("t2")).join(_hint(saved, small), _KEY)
+             .join(_hint(parents, small), ["above", "t1", "t2"], "left").join(_hint(_digests(ends), small), _KEY, "left"))
     at = F.when(F.col("depth") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col("above") + 1, F.col("depth")))
     rows = whole.withColumn("at", F.explode(at)).withColumn("lowest", F.col("at") == F.col("depth"))
     before = F.when(F.col("at") == F.col("above") + 1, F.col("top.points")).otherwise(_at(F.col("path"), F.col("above"), F.col("at") - 1)["points"])
