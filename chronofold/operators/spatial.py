@@ -4,9 +4,9 @@ Polygons are rows with `rings`: an array of rings, each an array of
 struct(lng, lat); ring 0 is the outside, the others are holes.  A feature with
 several polygons has one row per `part`.
 
-The join cuts every polygon into grid cells.  A cell row keeps only the edges
-a ray from that cell can meet, so a world-sized polygon is many small rows, and
-a point meets only the pieces of its own cell.
+The join cuts every polygon into cells, and crowded cells into quarters.  A cell row keeps only the edges that cross
+the cell, and for each ring whether a ray from the cell's south-east corner to the east crosses the rest of it an odd number of
+times.  So a world-sized polygon is many small rows, and a point meets only the pieces of its own cell.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from chronofold.runtime import cut, keep_if
 CELL_DEGREES = 4.0
 # Bytes of edges in the pieces that may be broadcast; an edge is four doubles.
 PIECE_BYTES = 64 << 20
+# Edges of a ring in a cell above which it is cut into quarters, and how often that is done at most.
+CROWDED, DEEPEST = 64, 10
+# What an edge may be off a cell's border, in degrees, to be stored in the cell.
+NEAR = 1e-9
 VERTEX = "struct<lng:double,lat:double>"
 EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.0
@@ -35,15 +39,19 @@ def to_rings(coordinates: Column) -> Column:
         ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("lng"), F.get(p, F.lit(1)).alias("lat"))))
 
 
-def ring_edges(ring: Column) -> Column:
-    """Edges from each vertex (x, y) to the one before it (px, py), level ones left out."""
+def all_edges(ring: Column) -> Column:
+    """Edges from each vertex (x, y) to the one before it (px, py)."""
     n = F.size(ring)
     edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(
         F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + n - 1) % n).alias("b")),
         lambda e: F.struct(e["a"]["lng"].cast("double").alias("x"), e["a"]["lat"].cast("double").alias("y"),
                            e["b"]["lng"].cast("double").alias("px"), e["b"]["lat"].cast("double").alias("py"))))
-    return F.when(n > 0, F.filter(edges, lambda e: e["y"] != e["py"])) \
-        .otherwise(F.array().cast("array<struct<x:double,y:double,px:double,py:double>>"))
+    return F.when(n > 0, edges).otherwise(F.array().cast("array<struct<x:double,y:double,px:double,py:double>>"))
+
+
+def ring_edges(ring: Column) -> Column:
+    """The same, level ones left out."""
+    return F.filter(all_edges(ring), lambda e: e["y"] != e["py"])
 
 
 def crossing_x(e: Column, lat: Column) -> Column:
@@ -56,12 +64,6 @@ def odd_crossings(edges: Column, lng: Column, lat: Column) -> Column:
     return F.size(hit) % 2 == 1
 
 
-def inside_rings(edge_rings: Column, lng: Column, lat: Column) -> Column:
-    """In the first ring and in none of the others."""
-    return odd_crossings(F.get(edge_rings, F.lit(0)), lng, lat) & ~F.exists(
-        F.slice(edge_rings, 2, F.size(edge_rings)), lambda r: odd_crossings(r, lng, lat))
-
-
 def rings_from_vertices(vertices: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Vertex rows of one-ring polygons to polygon rows."""
     v = F.struct(F.col(order), F.struct(F.col("lng").cast("double").alias("lng"),
@@ -76,34 +78,127 @@ def cell(c: Column, size: float = CELL_DEGREES) -> Column:
     return F.floor(c / F.lit(size)).cast("int")
 
 
-def pieces(polygons: DataFrame, keys: list[str], size: float = CELL_DEGREES) -> DataFrame:
-    """(keys, cx, cy, edge_rings): the polygons cut to grid cells, row by row."""
-    df = polygons.select(*keys, F.transform("rings", ring_edges).alias("edge_rings"))
-    ys = F.transform(F.get("edge_rings", F.lit(0)), lambda e: e["y"])
-    df = df.withColumn("ys", ys).filter(F.size("ys") > 0)
+def _straddles(e: Column, lat: Column) -> Column:
+    return (e["y"] > lat) != (e["py"] > lat)
+
+
+def _east_of(e: Column, lat: Column, east: Column) -> Column:
+    """Whether the edge is east of a meridian at a latitude, or at the end of it that is nearest to the latitude."""
+    up = e["y"] >= e["py"]
+    high, low = F.when(up, e["x"]).otherwise(e["px"]), F.when(up, e["px"]).otherwise(e["x"])
+    return F.when(_straddles(e, lat), crossing_x(e, lat) > east).when(F.greatest(e["y"], e["py"]) <= lat, high > east).otherwise(low > east)
+
+
+def ring_holds(ring: Column, lng: Column, lat: Column, east: Column, south: Column) -> Column:
+    """The even-odd rule for a point of a cell, by the ring's edges in the cell alone.
+
+    The ray from the point to the east crosses edges as far as the cell's border.  Beyond it, it crosses as many as the ray from
+    the corner (east, south) does, but for one each time an edge crosses the border between the two.
+    """
+    change = lambda e: _east_of(e, lat, east) != _east_of(e, south, east)
+    meets = lambda e: _straddles(e, lat) & (lng < crossing_x(e, lat)) & (crossing_x(e, lat) <= east)
+    n = F.size(F.filter(ring["edges"], lambda e: change(e) != meets(e)))
+    return ring["odd"] != (n % 2 == 1)
+
+
+def in_piece(rings: Column, lng: Column, lat: Column, level: Column, cx: Column, cy: Column, size: float) -> Column:
+    """In the first ring and in none of the others."""
+    width = _width(level, size)
+    east, south = (cx + 1) * width, cy * width
+    holds = lambda r: ring_holds(r, lng, lat, east, south)
+    return holds(F.get(rings, F.lit(0))) & ~F.exists(F.slice(rings, 2, F.size(rings)), holds)
+
+
+def _width(level: Column, size: float) -> Column:
+    return F.lit(size) / F.pow(F.lit(2.0), level)
+
+
+def _touches(e: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether an edge comes into a cell, borders included."""
+    low, high = south - NEAR, north + NEAR
+    bottom, top = F.greatest(F.least(e["y"], e["py"]), low), F.least(F.greatest(e["y"], e["py"]), high)
+    level = e["y"] == e["py"]
+    a = F.when(level, e["x"]).otherwise(crossing_x(e, bottom))
+    b = F.when(level, e["px"]).otherwise(crossing_x(e, top))
+    return (bottom <= top) & (F.least(a, b) <= east + NEAR) & (F.greatest(a, b) >= west - NEAR)
+
+
+def _worth_keeping(df: DataFrame) -> DataFrame:
+    """Cells that hold a part of the polygon, without the holes that do not reach them."""
+    first = F.get("rings", F.lit(0))
+    some = lambda r: r["odd"] | (F.size(r["edges"]) > 0)
+    return df.filter(some(first)).withColumn("rings", F.concat(F.array(first), F.filter(F.slice("rings", 2, F.size("rings")), some)))
+
+
+def _crowded() -> Column:
+    return F.exists("rings", lambda r: F.size(r["edges"]) > CROWDED)
+
+
+def _cells(polygons: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """(keys, level, cx, cy, rings): the polygons cut to the cells of the grid, row by row."""
+    df = polygons.select(*keys, F.transform("rings", lambda r: F.filter(all_edges(r), lambda e: (e["x"] != e["px"]) | (e["y"] != e["py"]))).alias("rings"))
+    df = df.withColumn("ys", F.transform(F.get("rings", F.lit(0)), lambda e: e["y"])).filter(F.size("ys") > 0)
     df = df.withColumn("cy", F.explode(F.sequence(cell(F.array_min("ys"), size), cell(F.array_max("ys"), size))))
-    low, high = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
-    df = df.withColumn("edge_rings", F.transform("edge_rings", lambda r: F.filter(
-        r, lambda e: (F.least(e["y"], e["py"]) <= high) & (F.greatest(e["y"], e["py"]) >= low))))
-    outer = F.get("edge_rings", F.lit(0))
-    xs = F.concat(F.transform(outer, lambda e: e["x"]), F.transform(outer, lambda e: e["px"]))
-    df = df.withColumn("xs", xs).filter(F.size("xs") > 0)
+    south, north = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
+    df = df.withColumn("rings", F.transform("rings", lambda r: F.filter(
+        r, lambda e: (F.least(e["y"], e["py"]) <= north + NEAR) & (F.greatest(e["y"], e["py"]) >= south - NEAR))))
+    crossed = lambda r: F.transform(F.filter(r, lambda e: _straddles(e, south)), lambda e: crossing_x(e, south))
+    df = df.withColumn("crossed", F.transform("rings", crossed))
+    outer = F.get("rings", F.lit(0))
+    df = df.withColumn("xs", F.concat(F.transform(outer, lambda e: e["x"]), F.transform(outer, lambda e: e["px"]))).filter(F.size("xs") > 0)
     df = df.withColumn("cx", F.explode(F.sequence(cell(F.array_min("xs"), size), cell(F.array_max("xs"), size))))
-    west = F.col("cx") * F.lit(size) - F.lit(1e-9)
-    return df.select(*keys, "cx", "cy", F.transform("edge_rings", lambda r: F.filter(
-        r, lambda e: (e["x"] >= west) | (e["px"] >= west))).alias("edge_rings"))
+    west, east = F.col("cx") * F.lit(size), (F.col("cx") + 1) * F.lit(size)
+    rings = F.transform("rings", lambda r, i: F.struct(
+        (F.size(F.filter(F.get("crossed", i), lambda x: x > east)) % 2 == 1).alias("odd"),
+        F.filter(r, lambda e: _touches(e, west, south, east, north)).alias("edges")))
+    return _worth_keeping(df.select(*keys, F.lit(0).alias("level"), "cx", "cy", rings.alias("rings")))
+
+
+def _quarters(df: DataFrame, keys: list[str], size: float) -> DataFrame:
+    width = _width(F.col("level"), size)
+    df = df.withColumns({"__east": (F.col("cx") + 1) * width, "__south": F.col("cy") * width})
+    side = lambda n: F.explode(F.array(F.lit(0), F.lit(1))).alias(n)
+    df = df.select("*", side("__dx")).select("*", side("__dy"))
+    x, y, half = F.col("cx") * 2 + F.col("__dx"), F.col("cy") * 2 + F.col("__dy"), width / 2
+    rings = F.transform("rings", lambda r: F.struct(
+        ring_holds(r, (x + 1) * half, y * half, F.col("__east"), F.col("__south")).alias("odd"),
+        F.filter(r["edges"], lambda e: _touches(e, x * half, y * half, (x + 1) * half, (y + 1) * half)).alias("edges")))
+    # New names first: within the lambdas an alias of the same list would stand before the column.
+    df = df.select(*keys, (F.col("level") + 1).alias("__level"), x.alias("__x"), y.alias("__y"), rings.alias("__rings"))
+    return _worth_keeping(df.select(*keys, F.col("__level").alias("level"), F.col("__x").alias("cx"), F.col("__y").alias("cy"), F.col("__rings").alias("rings")))
+
+
+def pieces(polygons: DataFrame, keys: list[str], size: float = CELL_DEGREES) -> tuple[DataFrame, list[int], bool]:
+    """(keys, level, cx, cy, rings), the levels there are, and whether the edges are few enough to broadcast.
+
+    A polygon's cells, those of many edges cut into quarters: a cell of a level is half as wide as one of the level above.  An edge is
+    stored in the cells it crosses.  Each level is cut once and written out.
+    """
+    out, levels, total, cells = None, [], 0, _cells(polygons, keys, size)
+    edges = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r["edges"]))
+    for level in range(DEEPEST + 1):
+        cells = cut(cells, "pieces")
+        crowded, plain = cells.filter(_crowded()), cells.filter(~_crowded())
+        n, size_ = cells.agg(F.count_if(_crowded()), F.coalesce(F.sum(F.when(~_crowded(), edges * 32 + 64)), F.lit(0))).first()
+        done = not n or level == DEEPEST
+        held = cells if done else plain
+        out = held if out is None else out.unionByName(held)
+        levels, total = [*levels, level], total + size_
+        if done:
+            break
+        cells = _quarters(crowded, keys, size)
+    return out, levels, total <= PIECE_BYTES
 
 
-def on_grid(points: DataFrame, size: float = CELL_DEGREES) -> DataFrame:
-    return points.withColumns({"cx": cell(F.col("lng"), size), "cy": cell(F.col("lat"), size)})
+def on_grid(points: DataFrame, size: float = CELL_DEGREES, levels: list[int] | None = None) -> DataFrame:
+    """Points with their cell, one row for each of the levels."""
+    if levels in (None, [0]):
+        return points.withColumns({"level": F.lit(0), "cx": cell(F.col("lng"), size), "cy": cell(F.col("lat"), size)})
+    at = F.array(*[F.struct(F.lit(n).alias("level"), cell(F.col("lng"), size / 2**n).alias("cx"), cell(F.col("lat"), size / 2**n).alias("cy")) for n in levels])
+    return points.withColumn("__at", F.explode(at)).select(*points.columns, "__at.*")
 
 
-def measured(p: DataFrame) -> tuple[DataFrame, bool]:
-    """The pieces, cut once and written out, and whether their edges are few enough to broadcast."""
-    p = cut(p, "pieces")
-    edges = F.aggregate("edge_rings", F.lit(0), lambda n, r: n + F.size(r))
-    size = p.agg(F.sum(edges * 32 + 64)).first()[0] or 0
-    return p, size <= PIECE_BYTES
+CELL = ["level", "cx", "cy"]
 
 
 def points_inside(points: DataFrame, polygons: DataFrame, size: float = CELL_DEGREES) -> DataFrame:
@@ -112,20 +207,27 @@ def points_inside(points: DataFrame, polygons: DataFrame, size: float = CELL_DEG
     The pieces are broadcast when their bytes are few; otherwise both sides shuffle
     by cell and adaptive execution splits a crowded cell.
     """
-    p, small = measured(pieces(polygons, [], size))
+    p, levels, small = pieces(polygons, [], size)
     p = F.broadcast(p) if small else p
-    a, b = on_grid(points, size).alias("a"), p.alias("b")
-    cond = ((F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-            & inside_rings(F.col("b.edge_rings"), F.col("a.lng"), F.col("a.lat")))
-    return a.join(b, cond, "left_semi").drop("cx", "cy")
+    b = p.alias("b")
+    here = in_piece(F.col("b.rings"), F.col("a.lng"), F.col("a.lat"), F.col("b.level"), F.col("b.cx"), F.col("b.cy"), size)
+    if levels == [0]:
+        a = on_grid(points, size).alias("a")
+        cond = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & here
+        return a.join(b, cond, "left_semi").drop(*CELL)
+    # A point has a row for each level; different polygons may hold it at different ones.
+    keyed = points.withColumn("__point", F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+    a = on_grid(keyed, size, levels).alias("a")
+    cond = (F.col("a.level") == F.col("b.level")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & here
+    hits = a.join(b, cond, "left_semi").select("__point").distinct()
+    return keyed.join(hits, "__point", "left_semi").drop("__point")
 
 
 def containing(points: DataFrame, polygons: DataFrame, keys: list[str], size: float = CELL_DEGREES) -> DataFrame:
     """Every (point, polygon) where the polygon holds the point; parts count once each."""
-    p, small = measured(pieces(polygons, keys, size))
-    p = F.broadcast(p) if small else p
-    hit = on_grid(points, size).join(p, ["cx", "cy"])
-    return hit.filter(inside_rings(F.col("edge_rings"), F.col("lng"), F.col("lat"))).drop("cx", "cy", "edge_rings")
+    p, levels, small = pieces(polygons, keys, size)
+    hit = on_grid(points, size, levels).join(F.broadcast(p) if small else p, CELL)
+    return hit.filter(in_piece(F.col("rings"), F.col("lng"), F.col("lat"), *map(F.col, CELL), size)).drop(*CELL, "rings")
 
 
 def inside_boundary(entries: DataFrame, primary: DataFrame, boundary: DataFrame) -> DataFrame:
@@ -145,19 +247,19 @@ def first_containing(points: DataFrame, polygons: DataFrame, point_keys: list[st
     """(point keys, group, name): for each point and group the first polygon, by
     `order`, that holds it.
 
-    With few pieces each cell carries its polygons in order, and a point reads
+    With few pieces, none of them crowded, each cell carries its polygons in order, and a point reads
     its one cell row: no shuffle.  Otherwise the matches are cut down by a
     partial minimum per point.
     """
-    p, small = measured(pieces(polygons, [*group, order, name], size))
-    grid = on_grid(points, size)
-    if small:
-        cells = p.groupBy("cx", "cy", *group).agg(
-            F.sort_array(F.collect_list(F.struct(order, name, "edge_rings"))).alias("c"))
-        hit = grid.join(F.broadcast(cells), ["cx", "cy"]).select(*point_keys, *group, F.get(F.filter(
-            "c", lambda c: inside_rings(c["edge_rings"], F.col("lng"), F.col("lat"))), F.lit(0))[name].alias(name))
+    p, levels, small = pieces(polygons, [*group, order, name], size)
+    grid = on_grid(points, size, levels)
+    at = [F.col(c) for c in CELL]
+    if small and levels == [0]:
+        cells = p.groupBy(*CELL, *group).agg(F.sort_array(F.collect_list(F.struct(order, name, "rings"))).alias("c"))
+        hit = grid.join(F.broadcast(cells), CELL).select(*point_keys, *group, F.get(F.filter(
+            "c", lambda c: in_piece(c["rings"], F.col("lng"), F.col("lat"), *at, size)), F.lit(0))[name].alias(name))
         return keep_if(hit, F.col(name).isNotNull())
-    hit = grid.join(p, ["cx", "cy"]).filter(inside_rings(F.col("edge_rings"), F.col("lng"), F.col("lat")))
+    hit = grid.join(F.broadcast(p) if small else p, CELL).filter(in_piece(F.col("rings"), F.col("lng"), F.col("lat"), *at, size))
     return (hit.groupBy(*point_keys, *group).agg(F.min(F.struct(order, name)).alias("m"))
             .select(*point_keys, *group, F.col(f"m.{name}").alias(name)))
 

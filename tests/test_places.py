@@ -90,3 +90,39 @@ def test_ring_clean_and_simplify(spark):
     assert c[2] is None
     s = {r.i: len(r.ring) for r in sp.simplify_rings(df, "ring", 0.4).collect()}
     assert s == {1: 4, 2: 3}
+
+
+def test_crowded_cells_are_cut(spark, monkeypatch):
+    """Small cells and large ones agree with the plain rule, on lattice points, level edges and holes too."""
+    data, df = points(spark)
+    r = random.Random(12)
+    lattice = [(r.randrange(-20, 31), r.randrange(-20, 31)) for _ in range(60)]
+    steps = [(-10, -10), (4, -10), (4, 0), (12, 0), (12, 4), (0, 4), (0, 8), (8, 8), (8, 12), (-10, 12)]  # level and upright edges on borders
+    shapes = [*POLYGONS, (4, "wild", 0, [ring(lattice), ring(HOLE), ring(BOW)]), (5, "steps", 0, [ring(steps)])]
+    polygons = spark.createDataFrame(shapes, SHAPE)
+    want = {(i, s) for i, x, y in data for _, s, _, rings in shapes if holds(x, y, rings)}
+    for crowded in (3,):
+        monkeypatch.setattr(sp, "CROWDED", crowded)
+        assert len(sp.pieces(polygons, ["slug"])[1]) > 2
+        assert {(r.entry_id, r.slug) for r in sp.containing(df, polygons, ["slug"]).collect()} == want
+    assert sorted(r.entry_id for r in sp.points_inside(df, polygons.filter("k in (4, 5)")).collect()) == sorted({i for i, s in want if s in ("wild", "steps")})
+    first = sp.first_containing(df, polygons.withColumn("all", F.lit(1)), ["entry_id"], ["all"], "k", "slug").collect()
+    order = {s: k for k, s, _, _ in shapes}
+    assert {r.entry_id: r.slug for r in first} == {i: min((s for j, s in want if j == i), key=order.get) for i in {i for i, _ in want}}
+
+
+def test_a_ring_of_100000_vertices(spark):
+    import math
+    n = 100_000
+    at = lambda i: (20 * math.cos(2 * math.pi * i / n) * (1 + 0.1 * math.sin(300 * math.pi * i / n)), 15 * math.sin(2 * math.pi * i / n))
+    coast = spark.range(1).select(F.lit("coast").alias("slug"), F.array(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        (20 * F.cos(2 * math.pi * i / n) * (1 + 0.1 * F.sin(300 * math.pi * i / n))).alias("lng"), (15 * F.sin(2 * math.pi * i / n)).alias("lat")))).alias("rings"))
+    cells, levels, _ = sp.pieces(coast, ["slug"])
+    stored, most = cells.select(F.size(F.get("rings", F.lit(0))["edges"]).alias("e")).agg(F.sum("e"), F.max("e")).first()
+    assert len(levels) > 3 and most <= sp.CROWDED
+    assert stored < 1.2 * n  # an edge is in the cells it crosses, of which there is mostly one
+    r = random.Random(3)
+    data = [(i, r.uniform(-23, 23), r.uniform(-16, 16)) for i in range(15)] + [(100 + i, at(i * 6311)[0] + d, at(i * 6311)[1]) for i in range(15) for d in [1e-4 * (-1) ** i]]
+    rings = [[{"lng": x, "lat": y} for x, y in map(at, range(n))]]
+    got = {x.entry_id for x in sp.containing(spark.createDataFrame(data, "entry_id int, lng double, lat double"), coast, ["slug"]).collect()}
+    assert got == {i for i, x, y in data if holds(x, y, rings)}
