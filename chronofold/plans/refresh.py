@@ -8,7 +8,7 @@ from chronofold.plans import fixtures as v
 from chronofold.plans.pages import NUMBERS
 from chronofold.plans.registry import query
 from chronofold.runtime import shared_path
-from chronofold.streaming import ingest, refresh
+from chronofold.streaming import ingest, metrics, refresh
 
 
 @query("cache_difference", """
@@ -85,6 +85,20 @@ def stream_refresh(spark, sf):
     return refresh.read_latest(spark, out, "user_id", "version").select("user_id", "event_id", "event_type", "value")
 
 
+@query("stream_newest", """
+SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r=1""")
+def stream_newest(spark, sf):
+    """The same by keyed state: the newest rows come out of the stream's state, not out of the history."""
+    e = v.table(spark, sf, "events")
+    parts = shared_path(spark, "event-parts")
+    e.repartitionByRange(4, F.hash("event_id")).write.parquet(parts)
+    changes = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(parts)
+    changes = changes.withColumn("version", F.struct("ts", "event_id"))
+    checkpoint = shared_path(spark, "event-checkpoint")
+    refresh.start_newest(changes, shared_path(spark, "event-table"), checkpoint, "user_id", "version").awaitTermination()
+    return refresh.read_newest(spark, checkpoint).select("user_id", "event_id", "event_type", "value")
+
+
 def write_dump(spark, sf, parts):
     """The pages as dump files of bz2 page text."""
     p = v.wiki_pages(spark, sf)
@@ -125,3 +139,19 @@ def stream_ingest_counts(spark, sf):
     rules = IngestRules(require_points=True, date_before=1850)
     ingest.start_ingest(spark, write_dump(spark, sf, 3), out, shared_path(spark, "ingest-checkpoint"), rules).awaitTermination()
     return ingest.progress_totals(spark, out).select("parts", "considered", "collected", "rejected", "person", "event", "percent_kept")
+
+
+@query("stream_metrics", f"""
+SELECT CAST(3 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS considered, CAST(count(*) FILTER (lat IS NOT NULL AND y0<=1850) AS BIGINT) AS collected, CAST(0 AS BIGINT) AS slow FROM ({STREAMED})""")
+def stream_metrics(spark, sf):
+    """An ingest run seen by a listener: one row a batch, with its counts and its rate."""
+    out, path = shared_path(spark, "ingest"), shared_path(spark, "metrics")
+    rules = IngestRules(require_points=True, date_before=1850)
+    with metrics.progress_table(spark, path) as table:
+        run = ingest.start_ingest(spark, write_dump(spark, sf, 3), out, shared_path(spark, "ingest-checkpoint"), rules)
+        run.awaitTermination()
+        table.ended(run.runId)
+    p = metrics.read_progress(spark, path)
+    n = lambda k: F.sum(F.col("counters")[f"ingest.{k}"])
+    return p.agg(F.count("*").alias("batches"), n("considered").alias("considered"), n("collected").alias("collected"),
+                 F.count_if(~(F.col("rows_per_second") > 0)).alias("slow"))

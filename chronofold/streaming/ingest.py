@@ -27,12 +27,14 @@ def start_ingest(spark: SparkSession, dump: str, out: str, checkpoint: str, rule
     under `out`/runs.
 
     Started again, it goes on after the last finished part.  A batch that was cut
-    short is written again over its own folder, so no row comes twice.
+    short is written again over its own folder, so no row comes twice.  The counts are also observed on the stream, as "ingest", for
+    listeners such as metrics.ProgressTable.
     """
+    judged = judge_pages(stream_pages(spark, dump, files_per_batch), rules)
+    judged = judged.observe("ingest", *_counts(judged))
 
-    def one_batch(pages: DataFrame, batch: int) -> None:
+    def one_batch(judged: DataFrame, batch: int) -> None:
         seen = Observation(f"ingest-{batch}")
-        judged = judge_pages(pages, rules)
         judged = judged.observe(seen, *_counts(judged))
         extract_entries(judged).write.mode("overwrite").parquet(f"{out}/entries/batch={batch}")
         n = seen.get
@@ -41,7 +43,7 @@ def start_ingest(spark: SparkSession, dump: str, out: str, checkpoint: str, rule
 
     run = spark.range(1).select(F.lit(json.dumps(asdict(rules))).alias("rules"), F.current_timestamp().alias("started_at"))
     run.write.mode("append").parquet(f"{out}/runs")
-    return (stream_pages(spark, dump, files_per_batch).writeStream.foreachBatch(one_batch)
+    return (judged.writeStream.foreachBatch(one_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
