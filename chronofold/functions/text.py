@@ -86,10 +86,6 @@ def citation_label(label: Column) -> Column:
     return F.when(F.coalesce(label, F.lit("")) != "", label).otherwise(F.lit("Wikipedia"))
 
 
-# Nesting depth up to which templates are removed from prose.
-TEMPLATE_PASSES = 8
-
-
 def _drop_refs(c: Column, by: str) -> Column:
     # A self-closing tag goes first: read as an opener it would eat the text
     # up to some later closing tag.
@@ -97,10 +93,25 @@ def _drop_refs(c: Column, by: str) -> Column:
     return sub(c, r"(?i)<ref(?![0-9A-Za-z_])[^>]*>[\s\S]*?</ref>", by)
 
 
+def template_depth(c: Column) -> Column:
+    """How deep double braces are nested; a closing pair too many counts for nothing."""
+    marks = F.regexp_extract_all(c, F.lit(r"\{\{|\}\}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, m: Column) -> Column:
+        now = F.when(m == "{{", s["now"] + 1).otherwise(F.greatest(s["now"] - 1, F.lit(0)))
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step)["most"]
+
+
 def _drop_templates(c: Column, by: str) -> Column:
-    for _ in range(TEMPLATE_PASSES):
-        c = sub(c, r"\{\{[^{}]*\}\}", by)
-    return c
+    """Without templates, however deep: each pass takes the innermost ones, as many passes as a text is deep."""
+    def strip(t: Column) -> Column:
+        passes = F.sequence(F.lit(1), template_depth(t))
+        return F.when(F.contains(t, F.lit("{{")), F.aggregate(passes, t, lambda s, _: sub(s, r"\{\{[^{}]*\}\}", by))).otherwise(t)
+
+    return let(c, strip)
 
 
 def strip_citations(c: Column) -> Column:
@@ -110,8 +121,9 @@ def strip_citations(c: Column) -> Column:
     return sub(c, rf"(?i)\[\[{WS}*(?:File|Image){WS}*:[^\]]*\]\]", " ")
 
 
-def description(wikitext: Column) -> Column:
-    """First sentence of the first real prose line."""
+def description(wikitext: Column, opening: int | None = None, most: int | None = None) -> Column:
+    """First sentence of the first real prose line, `most` characters of it if given.  A line without the end of a
+    sentence is taken whole, or its first `opening` characters."""
     c = _drop_refs(wikitext, "")
     c = sub(c, "<[^>]+>")
     c = _drop_templates(c, "")
@@ -127,8 +139,9 @@ def description(wikitext: Column) -> Column:
                         lambda x: sub(sub(x, rf"^[{SPACES},;()\[\]]+"), rf"{WS}+\z"))
     prose = F.filter(lines, lambda x: (F.length(x) > 40) & ~F.substring(x, 1, 1).isin("*", "|", "{"))
     first = F.get(prose, F.lit(0))
-    sentence = F.coalesce(group(first, r"^([^.!?]+[.!?])", 1), F.substring(first, 1, 150))
-    return F.coalesce(F.substring(trim_all(sentence), 1, 200), F.lit(""))
+    cut = lambda t, n: t if n is None else F.substring(t, 1, n)
+    sentence = F.coalesce(group(first, r"^([^.!?]+[.!?])", 1), cut(first, opening))
+    return F.coalesce(cut(trim_all(sentence), most), F.lit(""))
 
 
 def with_suffixes(slugs: Column) -> Column:

@@ -11,8 +11,6 @@ from chronofold.runtime import keep_if
 # Headings that never open a period.
 TRAILERS = ("see also|references?|notes?|explanatory notes|citations?|bibliography|external links|further reading|"
             "sources|footnotes|academic research|periodization")
-# Characters of a section's prose in which its own span is looked for.
-TOPIC_CHARS = 400
 # Fixed value: joins the titles of nested headings.
 CRUMB = " – "
 
@@ -88,9 +86,9 @@ def _or_other(a: Column, b: Column) -> Column:
     return F.when(a != "", a).otherwise(b)
 
 
-def explicit_range(text: Column) -> Column:
-    """struct(start_year, end_year, start_expr, end_expr) of the span stated in
-    the opening sentences, in order, or null."""
+def explicit_range(text: Column, opening: int | None = None) -> Column:
+    """struct(start_year, end_year, start_expr, end_expr) of the first span that a sentence
+    states, or null; `opening` characters are looked through if given, else all."""
 
     def read(s: Column, p: str) -> Column:
         return F.struct(*[F.regexp_extract(s, p, i).alias(n) for i, n in enumerate(("y1", "e1", "y2", "e2"), 1)])
@@ -111,8 +109,8 @@ def explicit_range(text: Column) -> Column:
                                            found(r["loose"])))
             .when((r["tight"]["y1"] != "") & marked(r["tight"]), found(r["tight"])))
 
-    opening = F.split(F.substring(text, 1, TOPIC_CHARS), rf"(?<=[.!?]){WS}+")
-    return F.get(F.filter(F.transform(opening, sentence), lambda x: x.isNotNull()), F.lit(0))
+    sentences = F.split(text if opening is None else F.substring(text, 1, opening), rf"(?<=[.!?]){WS}+")
+    return F.get(F.filter(F.transform(sentences, sentence), lambda x: x.isNotNull()), F.lit(0))
 
 
 def _ago(n: Column, unit: Column) -> Column:
@@ -173,11 +171,14 @@ def mention_span(mentions: Column) -> Column:
                                                  low["raw"].alias("start_expr"), high["raw"].alias("end_expr")))
 
 
-def extract_eras(pages: DataFrame, page_key: str = "page_id") -> DataFrame:
-    """One row per dated section: (page key, pos, title, level, years, expressions, description)."""
+def extract_eras(pages: DataFrame, page_key: str = "page_id", opening: int | None = None) -> DataFrame:
+    """One row per dated section: (page key, pos, title, level, years, expressions, description).
+
+    opening: the characters of a section in which its own span is looked for; all of them if not given.
+    """
     df = pages.select(page_key, F.posexplode(sections(F.col("wikitext"))).alias("pos", "s"))
     df = df.select(page_key, "pos", "s.*").withColumn("clean", strip_citations(F.col("body")))
-    df = df.withColumn("stated", explicit_range(F.col("clean")))
+    df = df.withColumn("stated", explicit_range(F.col("clean"), opening))
     # A section that states its span has no need of the mention passes.
     df = df.withColumn("scan", F.when(F.col("stated").isNull(), F.col("clean")).otherwise(""))
     df = with_mentions(df, "scan").withColumn("span", F.coalesce("stated", mention_span(F.col("mentions"))))

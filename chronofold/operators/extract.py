@@ -165,8 +165,8 @@ def judge_pages(pages: DataFrame, rules: IngestRules = IngestRules()) -> DataFra
     return df.withColumn("reject_reason", reason).drop("live", "templates")
 
 
-def extract_entries(judged: DataFrame) -> DataFrame:
-    """Kept pages as entries."""
+def extract_entries(judged: DataFrame, opening: int | None = None, most: int | None = None) -> DataFrame:
+    """Kept pages as entries; opening and most cut the description, if given."""
     s, e = F.col("dates.start"), F.col("dates.end")
     point = lambda p: F.struct(F.lit("point").alias("type"), p["lat"].alias("lat"), p["lng"].alias("lng"))
     end = lambda part: F.when(e.isNotNull(), e[f"start_{part}"]).otherwise(s[f"end_{part}"]).alias(f"end_{part}")
@@ -176,6 +176,6 @@ def extract_entries(judged: DataFrame) -> DataFrame:
         end("year"), end("month"), end("day"),
         s["expression"].alias("start_expr"), F.coalesce(e["expression"], s["expression"]).alias("end_expr"),
         s["calendar"].alias("calendar"), s["uncertainty_years"].alias("uncertainty_years"),
-        "category", "infobox_type", description(F.col("wikitext")).alias("description"),
+        "category", "infobox_type", description(F.col("wikitext"), opening, most).alias("description"),
         F.when(F.size("points") == 0, F.array(F.lit("no-coords-found")))
         .otherwise(F.array().cast("array<string>")).alias("tags"))

@@ -136,7 +136,7 @@ def same_latitude_points(spark, sf):
 
 @query("descriptions", _with("SELECT page_id, coalesce(trim(sentence)[1:200],'') AS description FROM p", True), ("v_wikitext",))
 def descriptions(spark, sf):
-    return v.wiki_pages(spark, sf).select("page_id", description(F.col("wikitext")).alias("description"))
+    return v.wiki_pages(spark, sf).select("page_id", description(F.col("wikitext"), 150, 200).alias("description"))
 
 
 @query("slugs", """
@@ -163,7 +163,7 @@ SELECT concat('doc-',CAST(n.page_id AS STRING)) AS id, y0 AS start_year, m AS st
  category, infobox_type, coalesce(trim(sentence)[1:200],'') AS description, CASE WHEN lat IS NULL THEN 'no-coords-found' ELSE '' END AS tags, lat, lng FROM n JOIN p ON p.page_id=n.page_id WHERE t IN (0,1,2,4)""", True), ("v_wikitext",))
 def extract_entries(spark, sf):
     """The whole page job: types, category, points, dates, description."""
-    e = X.extract_entries(X.judge_pages(v.wiki_pages(spark, sf)))
+    e = X.extract_entries(X.judge_pages(v.wiki_pages(spark, sf)), 150, 200)
     p = F.get("locations", F.lit(0))
     return e.select("id", "start_year", "start_month", "start_day", "end_year", "end_month", "end_day", "start_expr", "calendar",
                     "uncertainty_years", "category", "infobox_type", "description", F.array_join("tags", ",").alias("tags"),

@@ -51,3 +51,26 @@ def test_first_load_without_records(spark, tmp_path):
     chunks = spark.createDataFrame([("person", 0, 9)], "category string, low int, high int")
     none = spark.createDataFrame([], "category string, low int, high int, n long, completed_at timestamp")
     assert [r.n for r in I.load_chunks(records, chunks, none, str(tmp_path / "stored")).collect()] == [0]
+
+
+def test_templates_of_any_depth(spark):
+    from chronofold.functions.text import description, strip_citations, template_depth
+    deep = lambda n: "{{a|" * n + "x" + "}}" * n
+    rows = [(0, "plain"), (50, f"one {deep(50)} two"), (2, "a {{b}} c {{d|{{e}}}} f"), (1, "lost }} {{x}} {{open"), (1, "{{{arg}}}"), (1, "{{ {single} }} stays")]
+    df = spark.createDataFrame(rows, "depth int, t string")
+    got = df.select("depth", template_depth(F.col("t")).alias("d"), strip_citations(F.col("t")).alias("s")).collect()
+    assert [r.d for r in got] == [0, 50, 2, 1, 1, 1]
+    assert got[1].s.split() == ["one", "two"] and got[2].s.split() == ["a", "c", "f"] and got[3].s.split() == ["lost", "}}", "{{open"]
+    assert got[4].s == "{ }" and got[5].s == "{{ {single} }} stays"
+    sentence = "A sentence of many words " + "and more words " * 40
+    page = spark.createDataFrame([(f"{deep(30)}\n{sentence}end.",), (sentence,)], "t string")
+    whole, line = [r[0] for r in page.select(description(F.col("t"))).collect()]
+    assert whole == f"{sentence}end." and line == sentence.strip()
+    assert [len(r[0]) for r in page.select(description(F.col("t"), 150, 200)).collect()] == [200, 150]
+
+
+def test_a_span_stated_late(spark):
+    from chronofold.operators.eras import explicit_range
+    df = spark.createDataFrame([("Words without a year. " * 60 + "It lasted from 300 BC until 200 BC.",)], "t string")
+    assert df.select(explicit_range(F.col("t")).alias("r")).first().r.start_year == -300
+    assert df.select(explicit_range(F.col("t"), 400).alias("r")).first().r is None
