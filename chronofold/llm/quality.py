@@ -16,8 +16,8 @@ PASSAGE = 1000
 PLACES = 96
 SHARES = 12
 WIDTH = PLACES + SHARES
-#: Labelled texts of each label that the classifier is fitted on, and passages of one text that it is fitted on.
-SAMPLE_A_LABEL, FIT_PASSAGES = 1500, 24
+#: Labelled texts of each label that the classifier is fitted on, and bytes of text of a label, in whole texts; every passage of them counts.
+SAMPLE_A_LABEL, FIT_BYTES = 1500, 32 << 20
 #: Width of the representation and of the attention.
 HIDDEN, GATE = 16, 8
 #: A text is called good from this score on.
@@ -123,32 +123,43 @@ class AttentionModel:
         return self._forward([(b - self.mean) / self.scale for b in bags])[-1]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_A_LABEL) -> AttentionModel | float:
+def fit(labelled: DataFrame, sample: int = SAMPLE_A_LABEL, fit_bytes: int = FIT_BYTES) -> AttentionModel | float:
     """A model from (doc_id, text, quality 0/1).
 
-    About `sample` texts of each label, chosen by the hash of doc_id, come to the driver as passage rows,
-    FIT_PASSAGES of each text at most, evenly spread over it; null labels and null texts
-    teach nothing.  With fewer than two different labels the result is the constant score.
+    About `sample` texts of each label, chosen by a hash of the row, come to the driver as passage rows, all passages of a
+    text: the first in the order of the hash whose texts make up `fit_bytes` at most, one of each label at least.  Null labels and
+    null texts teach nothing, repeated rows count once.  With fewer than two different labels the result is the constant score.
     """
     real = labelled.where("text is not null and quality in (0, 1)").withColumn("quality", F.col("quality").cast("int"))
+    real = real.withColumn("place", F.pmod(F.xxhash64("doc_id", "quality", "text"), F.lit(1 << 40)))
     counts = {r.quality: r.n for r in real.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0))
-    place, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(False)
+    place, chosen = F.col("place"), F.lit(False)
     for label, n in sorted(counts.items()):
         chosen = chosen | ((F.col("quality") == label) & (place < int((1 << 40) * min(1.0, sample / n))))
+    sizes = real.where(chosen).groupBy("quality", "place").agg(F.max(F.octet_length("text")).alias("size")).collect()  # one narrow row a text
+    if len({r.quality for r in sizes}) < 2:  # a rare label, missed by its share
+        sizes = real.groupBy("quality").agg(F.min(F.struct("place", F.octet_length("text").alias("size"))).alias("m")).select("quality", "m.*").collect() + sizes
+    taken = F.lit(False)
+    for label in sorted(counts):
+        total, last = 0, -1
+        for r in sorted((r for r in sizes if r.quality == label), key=lambda r: r.place):
+            total += r.size
+            if total > fit_bytes and last >= 0:
+                break
+            last = r.place
+        taken = taken | ((F.col("quality") == label) & (place <= last))
 
     def passages(batches):
         for batch in batches:
             for lo, hi, data, offsets in K.texts_of(batch.column("text")):
-                rows = []
-                for a, b in zip(offsets[:-1], offsets[1:]):
-                    x = encode_passages(data, a, b)
-                    rows.append(x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("quality")[lo:hi], pa.array(rows, pa.binary())], ["quality", "x"])
-
-    rows = real.where(chosen).select("text", "quality").mapInArrow(passages, "quality int, x binary").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r.quality, bytes(r.x)))
+                rows = [encode_passages(data, a, b).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("place")[lo:hi], batch.column("quality")[lo:hi], pa.array(rows, pa.large_binary()).cast(pa.binary())],
+                                                 ["place", "quality", "x"])
+
+    rows = real.where(taken).select("place", "text", "quality").mapInArrow(passages, "place long, quality int, x binary").dropDuplicates(["place", "quality"]).collect()
+    rows.sort(key=lambda r: (r.quality, r.place))
     return AttentionModel.fit([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH).astype(float) for r in rows],
                               np.array([r.quality for r in rows], float))
 
