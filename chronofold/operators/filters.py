@@ -16,6 +16,10 @@ from chronofold.schema import CATEGORIES
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 
 
+# Ids that go to a scan as values; more are joined.
+AS_VALUES = 1000
+
+
 def in_categories(df: DataFrame, names: list[str]) -> DataFrame:
     bad = [n for n in names if n not in CATEGORIES]
     if bad:
@@ -68,7 +72,13 @@ def without_eras(df: DataFrame) -> DataFrame:
 
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Entries named in a table of ids."""
+    """Entries named in a table of ids.
+
+    Few ids go to the scan as values, where bloom filters on id (sinks.load_tables) pass over row groups that hold none of them.
+    """
+    few = ids.select("id").where("id is not null").distinct().limit(AS_VALUES + 1).collect()
+    if len(few) <= AS_VALUES:
+        return df.filter(F.col("id").isin([r.id for r in few]))
     return df.join(broadcast_if_small(ids.select("id")), "id", "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, functions as F
 
 from chronofold.functions.text import escape_field
 from chronofold.schema import ENTRY_COLUMNS, KINDS
@@ -92,6 +92,14 @@ def location_table(entries: DataFrame) -> DataFrame:
 
 def load_tables(entries: DataFrame, path: str) -> None:
     """Replace the stored tables: entries by category and in order of start year, so
-    that category and year filters skip files and row groups; locations by entry."""
-    entry_table(entries).sortWithinPartitions("category", "start_year").write.mode("overwrite").partitionBy("category").parquet(f"{path}/entries")
-    location_table(entries).write.mode("overwrite").parquet(f"{path}/locations")
+    that category and year filters skip files and row groups; locations by entry.  Bloom filters on ids, slugs and titles let look-ups
+    skip the row groups that do not hold them."""
+    entries_out = entry_table(entries).sortWithinPartitions("category", "start_year").write.mode("overwrite")
+    with_blooms(entries_out, "id", "slug", "title").partitionBy("category").parquet(f"{path}/entries")
+    with_blooms(location_table(entries).write.mode("overwrite"), "entry_id").parquet(f"{path}/locations")
+
+
+def with_blooms(writer: DataFrameWriter, *columns: str) -> DataFrameWriter:
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
