@@ -287,3 +287,31 @@ def plan_chunks(dates: DataFrame, year_min: int, year_max: int, most: int) -> Da
             "year", "before", "c", F.when(split & ~left, mid + 1).otherwise(F.col("low")).alias("low"),
             F.when(split & left, mid).otherwise(F.col("high")).alias("high"))
     return df.withColumn("n", n).select("low", "high", "n").distinct().orderBy("low")
+
+
+def _halves(year: Column, year_min: int, year_max: int) -> Column:
+    """The ranges that hold a year, from all years down to itself: array<struct<low, high>>."""
+    def step(path: Column, _: Column) -> Column:
+        at = F.element_at(path, -1)
+        mid = F.floor((at["low"] + at["high"]) / 2)
+        down = F.when(year <= mid, F.struct(at["low"].alias("low"), mid.alias("high"))).otherwise(F.struct((mid + 1).alias("low"), at["high"].alias("high")))
+        return F.when(at["low"] < at["high"], F.concat(path, F.array(down))).otherwise(path)
+
+    top = F.array(F.struct(F.lit(year_min).cast("bigint").alias("low"), F.lit(year_max).cast("bigint").alias("high")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, (year_max - year_min).bit_length()))), top, step)
+
+
+def plan_chunks_sketched(dates: DataFrame, year_min: int, year_max: int, most: int, precision: int = 12) -> DataFrame:
+    """The plan of plan_chunks from mergeable sketches of the items of each year: (low, high, n), n estimated.
+
+    One sketch a year is merged into every range that halving can make of the years around it, so all counts come from one
+    aggregate however often the range is halved.  A year takes the widest of its ranges that holds `most` items or fewer.  The
+    standard error of a count is 1.04 / sqrt(2^precision), 1.6 % with 12.
+    """
+    years = dates.filter(F.col("year").between(year_min, year_max)).groupBy("year").agg(F.hll_sketch_agg("item", precision).alias("items"))
+    paths = years.select("year", "items", F.posexplode(_halves(F.col("year").cast("bigint"), year_min, year_max)).alias("level", "r")).select("year", "items", "level", "r.*")
+    counts = paths.groupBy("level", "low", "high").agg(F.hll_sketch_estimate(F.hll_union_agg("items")).alias("n"))
+    fits = counts.filter((F.col("n") <= most) | (F.col("low") == F.col("high")))
+    own = paths.select("year", "level", "low", "high").join(fits, ["level", "low", "high"])
+    taken = own.groupBy("year").agg(F.min(F.struct("level", "low", "high", "n")).alias("r"))
+    return taken.select("r.low", "r.high", "r.n").distinct().orderBy("low")

@@ -7,6 +7,7 @@ from chronofold.functions.years import whole_year
 from chronofold.operators import facts as K
 from chronofold.plans import fixtures as v
 from chronofold.plans.registry import query
+from chronofold.runtime import broadcast_if_small, cut
 
 
 def q(c):
@@ -227,3 +228,18 @@ def chunk_plan(spark, sf):
     """Year ranges of at most 700 different items."""
     d = v.entries(spark, sf).select((F.col("id") % 3001).alias("item"), F.col("start_year").alias("year"))
     return K.plan_chunks(d, -3000, 2100, 700)
+
+
+@query("chunk_plan_sketched", """
+SELECT count(DISTINCT year) AS years, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS far_off FROM (SELECT start_year AS year FROM v_entries WHERE start_year BETWEEN -3000 AND 2100)""", ("v_entries",))
+def chunk_plan_sketched(spark, sf):
+    """A plan by sketches, held against exact counts: every year in one chunk, no chunk much beyond 700 different items."""
+    d = v.entries(spark, sf).select((F.col("id") % 3001).alias("item"), F.col("start_year").alias("year"))
+    chunks = K.plan_chunks_sketched(d, -3000, 2100, 700)
+    years = d.filter("year BETWEEN -3000 AND 2100").select("year").distinct()
+    held = cut(years.join(F.broadcast(chunks), F.col("year").between(F.col("low"), F.col("high"))), "held")
+    exact = d.join(broadcast_if_small(held), "year").groupBy("low", "high").agg(F.countDistinct("item").alias("items"), F.first("n").alias("n"))
+    exact = exact.agg(F.count_if((F.col("items") > 770) & (F.col("low") < F.col("high"))).alias("too_large"),
+                      F.count_if(F.abs(F.col("n") - F.col("items")) > 0.1 * F.col("items")).alias("far_off"))
+    per_year = held.groupBy("year").agg(F.count("*").alias("c")).agg(F.count("*").alias("years"), F.count_if(F.col("c") > 1).alias("twice"))
+    return per_year.crossJoin(exact).select("years", "twice", "too_large", "far_off")

@@ -74,3 +74,20 @@ def test_a_span_stated_late(spark):
     df = spark.createDataFrame([("Words without a year. " * 60 + "It lasted from 300 BC until 200 BC.",)], "t string")
     assert df.select(explicit_range(F.col("t")).alias("r")).first().r.start_year == -300
     assert df.select(explicit_range(F.col("t"), 400).alias("r")).first().r is None
+
+
+def test_chunks_by_sketches(spark):
+    from chronofold.operators import facts as K
+    dates = spark.range(40_000).select((F.col("id") * 7919 % 9000).alias("item"), (F.col("id") * 31 % 2600 - 7_000_000 * (F.col("id") % 50 == 0).cast("int")).cast("int").alias("year"))
+    low, high, most = -7_100_000, 2_100, 1_500
+    plan = K.plan_chunks_sketched(dates, low, high, most).collect()
+    spans = sorted((r.low, r.high) for r in plan)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    rows = dates.filter(F.col("year").between(low, high)).collect()
+    exact = {s: len({r.item for r in rows if s[0] <= r.year <= s[1]}) for s in spans}
+    assert sum(any(a <= r.year <= b for a, b in spans) for r in rows) == len(rows)
+    assert all(abs(r.n - exact[r.low, r.high]) <= max(2, 0.07 * exact[r.low, r.high]) for r in plan)
+    assert all(n <= 1.07 * most for s, n in exact.items() if s[0] < s[1])
+    assert 1 < len(plan) < 100 and K.plan_chunks_sketched(dates.limit(0), low, high, most).collect() == []
+    exactly = K.plan_chunks(dates.filter("year > -3000"), -3000, 2100, most).collect()
+    assert abs(len(exactly) - len(K.plan_chunks_sketched(dates.filter("year > -3000"), -3000, 2100, most).collect())) <= 2
