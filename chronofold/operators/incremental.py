@@ -39,9 +39,19 @@ def chunks_left(chunks: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 def records_of(records: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Records whose category and year lie in one of the (disjoint) chunks, with the chunk's bounds."""
-    years = chunks.select("category", "low", "high", F.explode(F.sequence("low", "high")).alias("year"))
-    return records.join(broadcast_if_small(years), ["category", "year"])
+    """Records whose category and year lie in one of the (disjoint) chunks, with the chunk's bounds.
+
+    Both sides meet on buckets of the largest power of two within a chunk's width, so a chunk is three rows at most however
+    many years it has; a record has a row for each width there is, of which one is kept.
+    """
+    low, high = F.col("low").cast("long"), F.col("high").cast("long")
+    level = F.length(F.bin(high - low + 1)) - 1
+    bucket = lambda year, n: F.call_function("shiftright", year.cast("long"), n)
+    spans = cut(chunks.filter("low <= high").select("category", "low", "high", level.alias("__level"), F.explode(F.sequence(bucket(low, level), bucket(high, level))).alias("__bucket")), "spans")
+    levels = [r[0] for r in spans.select("__level").distinct().collect()]  # 64 at most
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("__level"), bucket(F.col("year"), F.lit(n)).alias("__bucket")) for n in levels or [0]])).alias("__at")
+    met = records.select("*", at).select(*records.columns, "__at.*").join(broadcast_if_small(spans), ["category", "__level", "__bucket"])
+    return met.filter(F.col("year").between(F.col("low"), F.col("high"))).select(*records.columns, "low", "high")
 
 
 def load_chunks(records: DataFrame, chunks: DataFrame, progress: DataFrame, path: str) -> DataFrame:

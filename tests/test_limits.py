@@ -91,3 +91,13 @@ def test_chunks_by_sketches(spark):
     assert 1 < len(plan) < 100 and K.plan_chunks_sketched(dates.limit(0), low, high, most).collect() == []
     exactly = K.plan_chunks(dates.filter("year > -3000"), -3000, 2100, most).collect()
     assert abs(len(exactly) - len(K.plan_chunks_sketched(dates.filter("year > -3000"), -3000, 2100, most).collect())) <= 2
+
+
+def test_chunks_of_any_width(spark):
+    chunks = spark.createDataFrame([("a", -7_000_000, -3_001), ("a", -3_000, 0), ("a", 1, 1), ("a", 2, 3), ("a", 9, 1000), ("b", -10, 10), ("b", 30, 20)], "category string, low int, high int")
+    years = [-7_000_001, -7_000_000, -4_194_305, -3_001, -3_000, -1, 0, 1, 2, 3, 4, 8, 9, 512, 1000, 1001, 25, None]
+    records = spark.createDataFrame([(i, c, y) for i, y in enumerate(years) for c in "abc"], "id long, category string, year int")
+    want = sorted((c, y, lo, hi) for y in years if y is not None for c, lo, hi in [tuple(r) for r in chunks.collect()] if lo <= y <= hi)
+    got = I.records_of(records, chunks)
+    assert sorted((r.category, r.year, r.low, r.high) for r in got.collect()) == want
+    assert I.records_of(records, chunks.limit(0)).collect() == []
