@@ -126,40 +126,43 @@ class AttentionModel:
 def fit(labelled: DataFrame, sample: int = SAMPLE_A_LABEL, fit_bytes: int = FIT_BYTES) -> AttentionModel | float:
     """A model from (doc_id, text, quality 0/1).
 
-    About `sample` texts of each label, chosen by a hash of the row, come to the driver as passage rows, all passages of a
-    text: the first in the order of the hash whose texts make up `fit_bytes` at most, one of each label at least.  Null labels and
-    null texts teach nothing, repeated rows count once.  With fewer than two different labels the result is the constant score.
+    About `sample` texts of each label, chosen by a hash of doc_id before texts are joined or moved, come to the driver as
+    passage rows, all passages of a text: the first in the order of the hash, twice `sample` and `fit_bytes` of text at most, one of each
+    label at least.  Null labels and null texts teach nothing, repeated rows count once.  With fewer than two different labels the
+    result is the constant score.
     """
-    real = labelled.where("text is not null and quality in (0, 1)").withColumn("quality", F.col("quality").cast("int"))
-    real = real.withColumn("place", F.pmod(F.xxhash64("doc_id", "quality", "text"), F.lit(1 << 40)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    real = labelled.where("text is not null and quality in (0, 1)").select(
+        "doc_id", "text", F.col("quality").cast("int").alias("quality"), place.alias("place"), F.xxhash64("text").alias("hash"))
     counts = {r.quality: r.n for r in real.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0))
-    place, chosen = F.col("place"), F.lit(False)
+    taken, widest = F.lit(False), 0
     for label, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("quality") == label) & (place < int((1 << 40) * min(1.0, sample / n))))
-    sizes = real.where(chosen).groupBy("quality", "place").agg(F.max(F.octet_length("text")).alias("size")).collect()  # one narrow row a text
-    if len({r.quality for r in sizes}) < 2:  # a rare label, missed by its share
-        sizes = real.groupBy("quality").agg(F.min(F.struct("place", F.octet_length("text").alias("size"))).alias("m")).select("quality", "m.*").collect() + sizes
-    taken = F.lit(False)
-    for label in sorted(counts):
-        total, last = 0, -1
-        for r in sorted((r for r in sizes if r.quality == label), key=lambda r: r.place):
-            total += r.size
-            if total > fit_bytes and last >= 0:
+        mine = real.where(F.col("quality") == label)
+        share = F.col("place") < int((1 << 40) * min(1.0, sample / n))
+        ordered = lambda rows: rows.groupBy("place", "hash").agg(F.max(F.octet_length("text")).alias("size")).orderBy("place", "hash")
+        sizes = ordered(mine.where(share)).limit(2 * sample).collect() or ordered(mine).limit(1).collect()
+        total, last = 0, sizes[0]
+        for r in sizes:
+            total += r["size"]
+            if total > fit_bytes and r is not sizes[0]:
                 break
-            last = r.place
-        taken = taken | ((F.col("quality") == label) & (place <= last))
+            last = r
+        first = (F.col("place") < last.place) | ((F.col("place") == last.place) & (F.col("hash") <= last.hash))
+        taken, widest = taken | ((F.col("quality") == label) & first), max(widest, last.place)
 
     def passages(batches):
         for batch in batches:
             for lo, hi, data, offsets in K.texts_of(batch.column("text")):
                 rows = [encode_passages(data, a, b).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("place")[lo:hi], batch.column("quality")[lo:hi], pa.array(rows, pa.large_binary()).cast(pa.binary())],
-                                                 ["place", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("place", "hash", "quality")), pa.array(rows, pa.binary())],
+                                                 ["place", "hash", "quality", "x"])
 
-    rows = real.where(taken).select("place", "text", "quality").mapInArrow(passages, "place long, quality int, x binary").dropDuplicates(["place", "quality"]).collect()
-    rows.sort(key=lambda r: (r.quality, r.place))
+    # A bound on doc_id alone goes below a join of texts and labels, to both sides.
+    rows = real.where(F.col("place") <= widest).where(taken).select("place", "hash", "text", "quality").mapInArrow(passages, "place long, hash long, quality int, x binary")
+    rows = rows.dropDuplicates(["place", "hash", "quality"]).collect()
+    rows.sort(key=lambda r: (r.quality, r.place, r.hash))
     return AttentionModel.fit([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH).astype(float) for r in rows],
                               np.array([r.quality for r in rows], float))
 
