@@ -54,6 +54,23 @@ def _bucket(year):
     return F.floor(F.least(F.greatest(year, F.lit(BUCKET_FROM)), F.lit(BUCKET_TO)) / BUCKET_YEARS).cast("int")
 
 
+def _within_reach(q: DataFrame, held: DataFrame) -> DataFrame:
+    """Searches with a text, each up to the bucket in which its limit is surely full: no entry that begins later is among its first rows.
+
+    An entry that begins in a bucket before the search's last one and ends in one after its first one is in its years.  A search that
+    looks at places keeps all its buckets.
+    """
+    cells = held.filter("start_year IS NOT NULL AND end_year IS NOT NULL").groupBy("text", "category", "from_bucket", "to_bucket").agg(F.count("*").alias("n"))
+    q = cut(q, "worded")
+    plain = q.filter(F.coalesce(*[F.col(c).cast("string") for c in ("lat_min", "lat_max", "lng_min", "lng_max", "inside", "outside")]).isNull())
+    sure = plain.join(cells, ["text", "category"]).filter("from_bucket < last_bucket AND to_bucket > query_bucket")
+    sure = sure.groupBy("query_id", "row_limit", "from_bucket").agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(W.partitionBy("query_id").orderBy("from_bucket"))
+    full = sure.withColumn("n", so_far).filter("n >= row_limit").groupBy("query_id").agg(F.min("from_bucket").alias("reach"))
+    q = q.join(full, "query_id", "left")
+    return q.withColumn("last_bucket", F.least("last_bucket", F.greatest("query_bucket", F.coalesce("reach", "last_bucket")))).drop("reach")
+
+
 def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = None,
             boundaries: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """(query_id, rank, id, slug, start_year) of every search over one pass of the entries.
@@ -65,7 +82,8 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
     a search names are looked into.
 
     entries carry tags; primary: (entry_id, lat, lng); boundaries: (slug, part, rings).  index: of all entries' titles and
-    descriptions (words_of); with it their texts are not read, but for those that hold the rarest trigrams of a search.
+    descriptions (words_of); with it their texts are not read, but for those that hold the rarest trigrams of a search, and a search
+    with a text meets the entries that hold it, not all of its years.
     """
     same = F.to_json(F.struct(*[c for c in bounds.columns if c != "query_id"]))
     asked = cut(bounds.withColumn("bounds", same), "bounds")
@@ -81,21 +99,29 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
     words = F.lit(None).cast("string") if index else words_of(F.col("title"), F.col("description"))
     e = e.select("id", "slug", "start_year", "end_year", "category", "lat", "lng", words.alias("words"),
                  _bucket(F.col("start_year")).alias("from_bucket"), _bucket(F.col("end_year")).alias("to_bucket"))
-    e = e.withColumn("bucket", F.explode(F.sequence("from_bucket", F.greatest("from_bucket", "to_bucket"))))
     all_nine = F.array(*[F.lit(c) for c in CATEGORIES])
     q = bounds.filter("year_min <= year_max").withColumns({
-        "category": F.explode(F.array_distinct(F.coalesce("categories", all_nine))), "query_bucket": _bucket(F.col("year_min"))})
-    q = q.withColumn("bucket", F.explode(F.sequence("query_bucket", _bucket(F.col("year_max"))))).drop("categories")
-    hit = e.join(broadcast_if_small(q), ["category", "bucket"]).filter(
-        (F.col("bucket") == F.greatest("from_bucket", "query_bucket"))
-        & (F.col("start_year") <= F.col("year_max")) & (F.col("end_year") >= F.col("year_min"))
-        & (F.lit(index is not None) | F.col("text").isNull() | F.contains("words", F.col("text")))
-        & (F.col("lat_min").isNull() | F.coalesce(F.col("lat").between(F.col("lat_min"), F.col("lat_max")), F.lit(False)))
-        & (F.col("lng_min").isNull() | F.coalesce(F.col("lng").between(F.col("lng_min"), F.col("lng_max")), F.lit(False))))
-    if index is not None:
-        held = matching(index, bounds.select("text")).withColumn("holds", F.lit(True))
-        hit = hit.join(broadcast_if_small(held), ["text", "id"], "left").filter("text IS NULL OR holds")
-    hit = hit.select("query_id", "id", "slug", "start_year", "inside", "outside", "row_limit")
+        "category": F.explode(F.array_distinct(F.coalesce("categories", all_nine))), "query_bucket": _bucket(F.col("year_min")),
+        "last_bucket": _bucket(F.col("year_max"))}).drop("categories")
+
+    def met(e: DataFrame, q: DataFrame, on: list[str]) -> DataFrame:
+        e = e.withColumn("bucket", F.explode(F.sequence("from_bucket", F.greatest("from_bucket", "to_bucket"))))
+        q = q.withColumn("bucket", F.explode(F.sequence("query_bucket", "last_bucket")))
+        return e.join(broadcast_if_small(q), [*on, "bucket"]).filter(
+            (F.col("bucket") == F.greatest("from_bucket", "query_bucket"))
+            & (F.col("start_year") <= F.col("year_max")) & (F.col("end_year") >= F.col("year_min"))
+            & (F.lit(index is not None) | F.col("text").isNull() | F.contains("words", F.col("text")))
+            & (F.col("lat_min").isNull() | F.coalesce(F.col("lat").between(F.col("lat_min"), F.col("lat_max")), F.lit(False)))
+            & (F.col("lng_min").isNull() | F.coalesce(F.col("lng").between(F.col("lng_min"), F.col("lng_max")), F.lit(False)))
+        ).select("query_id", "id", "slug", "start_year", "inside", "outside", "row_limit")
+
+    if index is None:
+        hit = met(e, q, ["category"])
+    else:
+        # A search with a text meets only the entries that hold it.
+        held = cut(e.join(matching(index, bounds.select("text")), "id"), "held")
+        worded = _within_reach(q.filter("text IS NOT NULL"), held)
+        hit = met(e, q.filter("text IS NULL"), ["category"]).unionByName(met(held, worded, ["category", "text"]))
     if primary is not None and boundaries is not None:
         named = bounds.select(F.explode(F.array("inside", "outside")).alias("slug")).where("slug is not null").distinct()
         boundaries = boundaries.join(broadcast_if_small(named), "slug", "left_semi")
