@@ -99,23 +99,35 @@ def stream_newest(spark, sf):
     return refresh.read_newest(spark, checkpoint).select("user_id", "event_id", "event_type", "value")
 
 
-def write_dump(spark, sf, parts):
-    """The pages as dump files of bz2 page text."""
+PARTS = 3
+
+
+def write_dump(spark, sf):
+    """(path, files of a part): the pages as dump files of bz2 page text, in three parts of as many files as the input has splits.
+
+    A bz2 file is written by one task, so their number follows the input."""
     p = v.wiki_pages(spark, sf)
+    files = max(spark.sparkContext.defaultParallelism, v.table(spark, sf, "documents").rdd.getNumPartitions())
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     ns = F.when(F.col("page_id") % 10 == 9, "<ns>1</ns>").when(F.col("page_id") % 10 == 8, "").otherwise("<ns>0</ns>")
     xml = F.concat(F.lit("  <page>\n    <title>"), esc(F.col("title")), F.lit("</title>"), ns,
                    F.lit('<revision><text bytes="1" xml:space="preserve">'), esc(F.col("wikitext")), F.lit("</text></revision>\n  </page>"))
     path = shared_path(spark, "dump")
-    p.repartitionByRange(parts, "page_id").select(xml.alias("value")).write.option("compression", "bzip2").text(path)
-    return path
+    p.repartitionByRange(PARTS * files, "page_id").select(xml.alias("value")).write.option("compression", "bzip2").text(path)
+    return path, files
 
 
 @query("dump_pages", "SELECT title, md5(wikitext) AS h FROM v_wikitext WHERE page_id%10<>9", ("v_wikitext",))
 def dump_pages(spark, sf):
     """Written as bz2 dump files and read back, talk pages left out."""
     from chronofold.sources.dump import read_pages
-    return read_pages(spark, write_dump(spark, sf, 3)).select("title", F.md5("wikitext").alias("h"))
+    return read_pages(spark, write_dump(spark, sf)[0]).select("title", F.md5("wikitext").alias("h"))
+
+
+def ingest_run(spark, sf, out):
+    path, files = write_dump(spark, sf)
+    rules = IngestRules(require_points=True, date_before=1850)
+    return ingest.start_ingest(spark, path, out, shared_path(spark, "ingest-checkpoint"), rules, files_per_batch=files)
 
 
 STREAMED = f"SELECT * FROM ({NUMBERS}) WHERE page_id%10<>9 AND t IN (0,1,2,4)"
@@ -126,8 +138,7 @@ SELECT concat('doc-',CAST(page_id AS STRING)) AS id, category, y0 AS start_year,
 def stream_ingest(spark, sf):
     """Dump parts as a stream, one per batch, equal to the batch extraction."""
     out = shared_path(spark, "ingest")
-    rules = IngestRules(require_points=True, date_before=1850)
-    ingest.start_ingest(spark, write_dump(spark, sf, 3), out, shared_path(spark, "ingest-checkpoint"), rules).awaitTermination()
+    ingest_run(spark, sf, out).awaitTermination()
     return spark.read.parquet(f"{out}/entries").select("id", "category", "start_year", "start_expr")
 
 
@@ -136,8 +147,7 @@ SELECT CAST(3 AS BIGINT) AS parts, count(*) AS considered, count(*) FILTER (ok)
  count(*) FILTER (ok)*100/CAST(count(*) AS DOUBLE) AS percent_kept FROM (SELECT *, lat IS NOT NULL AND y0<=1850 AS ok FROM ({STREAMED}))""")
 def stream_ingest_counts(spark, sf):
     out = shared_path(spark, "ingest")
-    rules = IngestRules(require_points=True, date_before=1850)
-    ingest.start_ingest(spark, write_dump(spark, sf, 3), out, shared_path(spark, "ingest-checkpoint"), rules).awaitTermination()
+    ingest_run(spark, sf, out).awaitTermination()
     return ingest.progress_totals(spark, out).select("parts", "considered", "collected", "rejected", "person", "event", "percent_kept")
 
 
@@ -146,9 +156,8 @@ SELECT CAST(3 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS considered, CAS
 def stream_metrics(spark, sf):
     """An ingest run seen by a listener: one row a batch, with its counts and its rate."""
     out, path = shared_path(spark, "ingest"), shared_path(spark, "metrics")
-    rules = IngestRules(require_points=True, date_before=1850)
     with metrics.progress_table(spark, path) as table:
-        run = ingest.start_ingest(spark, write_dump(spark, sf, 3), out, shared_path(spark, "ingest-checkpoint"), rules)
+        run = ingest_run(spark, sf, out)
         run.awaitTermination()
         table.ended(run.runId)
     p = metrics.read_progress(spark, path)
