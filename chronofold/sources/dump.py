@@ -16,13 +16,18 @@ def parse_pages(raw: DataFrame) -> DataFrame:
     A page lacking title or text is left out, as are other name spaces; a page
     that names none counts as an article.
     """
-    body = F.regexp_extract("value", r"<page>([\s\S]*)\z", 1)
-    df = raw.select(body.alias("page")).filter(F.contains("value", F.lit("<page>")))
-    text = F.regexp_extract("page", r"<text[^>]*>([\s\S]*?)</text>", 1)
+    mark = "<page>"
+    df = raw.filter(F.contains("value", F.lit(mark))).select(
+        F.substr("value", F.position(F.lit(mark), "value") + len(mark)).alias("page"))
+    # Page text is long: its ends are found as plain strings, not by a pattern that is tried at every character.
+    df = df.select("page", F.position(F.lit("<text"), "page").alias("tag"))
+    df = df.select("page", F.position(F.lit(">"), "page", "tag").alias("open"))
+    df = df.select("page", "open", F.position(F.lit("</text>"), "page", F.col("open") + 1).alias("close"))
     df = df.select(
         F.regexp_like("page", F.lit("<title>[^<]*</title>")).alias("has_title"),
         F.regexp_extract("page", "<title>([^<]*)</title>", 1).alias("title"),
-        F.regexp_like("page", F.lit(r"<text[^>]*>[\s\S]*?</text>")).alias("has_text"), text.alias("text"),
+        ((F.col("open") > 0) & (F.col("close") > 0)).alias("has_text"),
+        F.substr("page", F.col("open") + 1, F.col("close") - F.col("open") - 1).alias("text"),
         F.regexp_extract("page", r"<ns>(\d+)</ns>", 1).alias("ns"))
     article = F.coalesce(F.col("ns").try_cast("int"), F.lit(0)) == 0
     df = keep_if(df, F.col("has_title") & F.col("has_text") & article)
