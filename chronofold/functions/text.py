@@ -19,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def where_held(c: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """`change` of the texts that hold a mark without which it changes nothing; patterns need not go through the others."""
+    return let(c, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
+
+
 def sub(c: Column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
 
@@ -116,26 +121,28 @@ def _drop_templates(c: Column, by: str) -> Column:
 
 def strip_citations(c: Column) -> Column:
     """Prose with references, templates and files turned to spaces."""
-    c = sub(c, "(?i)&nbsp;", " ")
-    c = _drop_templates(_drop_refs(c, " "), " ")
-    return sub(c, rf"(?i)\[\[{WS}*(?:File|Image){WS}*:[^\]]*\]\]", " ")
+    c = where_held(c, "&", lambda t: sub(t, "(?i)&nbsp;", " "))
+    c = _drop_templates(where_held(c, "<", lambda t: _drop_refs(t, " ")), " ")
+    return where_held(c, "[[", lambda t: sub(t, rf"(?i)\[\[{WS}*(?:File|Image){WS}*:[^\]]*\]\]", " "))
 
 
 def description(wikitext: Column, opening: int | None = None, most: int | None = None) -> Column:
     """First sentence of the first real prose line, `most` characters of it if given.  A line without the end of a
     sentence is taken whole, or its first `opening` characters."""
-    c = _drop_refs(wikitext, "")
-    c = sub(c, "<[^>]+>")
-    c = _drop_templates(c, "")
-    c = sub(c, rf"(?i)\[\[{WS}*(?:File|Image){WS}*:[^\]]*\]\]")
-    c = sub(c, rf"\[https?://[^{SPACES}\]]+{WS}+([^\]]+)\]", "$1")
-    c = sub(c, r"\[https?://[^\]]*\]")
-    c = sub(c, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
-    c = sub(c, "'{2,3}")
-    c = sub(c, "==+[^=]+=+")
-    c = sub(c, r"(?i)\[\[Category:[^\]]*\]\]")
-    c = sub(c, "[ \\t]{2,}", " ")
-    lines = F.transform(F.split(c, "\n"),
+    def links(t: Column) -> Column:
+        t = sub(t, rf"(?i)\[\[{WS}*(?:File|Image){WS}*:[^\]]*\]\]")
+        t = sub(t, rf"\[https?://[^{SPACES}\]]+{WS}+([^\]]+)\]", "$1")
+        t = sub(t, r"\[https?://[^\]]*\]")
+        return sub(t, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
+
+    c = where_held(wikitext, "<", lambda t: sub(_drop_refs(t, ""), "<[^>]+>"))
+    c = where_held(_drop_templates(c, ""), "[", links)
+    c = where_held(c, "''", lambda t: sub(t, "'{2,3}"))
+    c = where_held(c, "==", lambda t: sub(t, "==+[^=]+=+"))
+    c = where_held(c, "[[", lambda t: sub(t, r"(?i)\[\[Category:[^\]]*\]\]"))
+    c = let(c, lambda t: F.when(F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), sub(t, "[ \\t]{2,}", " ")).otherwise(t))
+    # Trimming makes no line longer, so the short ones need none.
+    lines = F.transform(F.filter(F.split(c, "\n"), lambda x: F.length(x) > 40),
                         lambda x: sub(sub(x, rf"^[{SPACES},;()\[\]]+"), rf"{WS}+\z"))
     prose = F.filter(lines, lambda x: (F.length(x) > 40) & ~F.substring(x, 1, 1).isin("*", "|", "{"))
     first = F.get(prose, F.lit(0))
