@@ -9,6 +9,7 @@ from chronofold.functions.years import year_label
 from chronofold.operators.catalog import DEFAULT_TYPES
 from chronofold.operators.extract import IngestRules
 from chronofold.operators.spatial import to_rings
+from chronofold.runtime import keep_if
 from chronofold.schema import CATEGORIES, LOCATIONS
 from chronofold.sources.json_records import read_documents
 
@@ -28,10 +29,12 @@ def parse_entries(lines: DataFrame) -> DataFrame:
         ("start_year", "start_month", "start_day", "end_year", "end_month", "end_day"), 3)}
     no_tags = F.array().cast("array<string>")
     is_list = F.regexp_like(at(2), F.lit(rf"^{WS}*\[")) & F.try_parse_json(at(2)).isNotNull()
-    df = df.filter((F.size("c") >= 16) & number["start_year"].isNotNull() & number["end_year"].isNotNull() & is_list)
+    # A plain filter would be pushed below the split and split a line again for each column it looks at.
+    df = keep_if(df, F.size("c") >= 16).select("c", *[c.alias(n) for n, c in number.items()])
+    df = keep_if(df, F.col("start_year").isNotNull() & F.col("end_year").isNotNull() & is_list)
     return df.select(
         text(0).alias("slug"), text(1).alias("title"), F.from_json(at(2), LOCATIONS).alias("locations"),
-        *[c.alias(n) for n, c in number.items()], text(9).alias("start_expr"), text(10).alias("end_expr"),
+        *number, text(9).alias("start_expr"), text(10).alias("end_expr"),
         F.when(F.coalesce(at(11), F.lit("")) == "", "gregorian").otherwise(at(11)).alias("calendar"),
         F.coalesce(leading_int(at(12)), F.lit(0)).cast("double").alias("uncertainty_years"),
         F.when(at(13).isin(*CATEGORIES), at(13)).otherwise("other").alias("category"),
