@@ -15,7 +15,7 @@ from chronofold.functions.coords import wkt_point
 from chronofold.functions.dates import fact_time
 from chronofold.functions.text import group
 from chronofold.operators.filters import in_box, label_contains
-from chronofold.runtime import broadcast_if_small, cut, keep_if, small_enough
+from chronofold.runtime import broadcast_if_small, broadcast_or_merge, cut, keep_if, small_enough
 
 # Subclass edges that may be broadcast: two short columns.
 EDGE_ROWS = 300_000
@@ -83,10 +83,10 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
         step = frontier.withColumnRenamed("type", "t0") if few_edges else broadcast_if_small(frontier.withColumnRenamed("type", "t0"))
         for n in range(hops):
             e = edges.select(F.col("parent").alias(f"t{n}"), F.col("child").alias(f"t{n + 1}"))
-            step = step.join(F.broadcast(e) if few_edges else e, f"t{n}", "left" if n else "inner")
+            step = step.join(F.broadcast(e) if few_edges else e.hint("merge"), f"t{n}", "left" if n else "inner")
         met = F.explode(F.array(*[F.col(f"t{n + 1}") for n in range(hops)])).alias("type")
         found = step.select("root", met).filter("type IS NOT NULL").distinct()
-        frontier = cut(found.join(known, ["root", "type"], "left_anti"), "closure")
+        frontier = cut(found.join(known if few_edges else known.hint("merge"), ["root", "type"], "left_anti"), "closure")
         if frontier.isEmpty():
             return known
         known = known.unionAll(frontier)
@@ -102,7 +102,7 @@ def of_type(types: DataFrame, root: str, closure: DataFrame | None = None) -> Da
     if closure is None:
         return types.filter(F.col("type_id") == root).select("item").distinct()
     wanted = closure.filter(F.col("root") == root).select(F.col("type").alias("type_id"))
-    return types.join(broadcast_if_small(wanted), "type_id", "left_semi").select("item").distinct()
+    return types.join(broadcast_or_merge(wanted), "type_id", "left_semi").select("item").distinct()
 
 
 def without(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def category_items(types: DataFrame, rules: list[CategoryRule], closure: DataFra
     if deep:
         under = closure.join(F.broadcast(spark.createDataFrame(deep, "root string, category string")), "root")
         lookup = lookup.unionByName(under.select(F.col("type").alias("type_id"), "category"))
-    return types.join(broadcast_if_small(lookup), "type_id").select("item", "category").distinct()
+    return types.join(broadcast_or_merge(lookup), "type_id").select("item", "category").distinct()
 
 
 def place_points(items: DataFrame, claims: DataFrame, rules: list[CategoryRule]) -> DataFrame:
@@ -208,7 +208,7 @@ def item_marks(claims: DataFrame, rules: list[CategoryRule], closure: DataFrame,
         closure.join(F.broadcast(roots), "root").select("prop", F.col("type").alias("value_item"), "mark"))
     always = F.when(F.col("prop") == out.sport_prop, SPORTS).when(F.col("prop") == out.fictional_prop, FICTIONAL)
     m = claims.filter(F.col("prop").isin("P31", out.occupation_prop, out.sport_prop, out.fictional_prop))
-    m = m.join(broadcast_if_small(lookup), ["prop", "value_item"], "left").select("item", F.coalesce(always, "mark").alias("mark"))
+    m = m.join(broadcast_or_merge(lookup), ["prop", "value_item"], "left").select("item", F.coalesce(always, "mark").alias("mark"))
     marks = [r.category for r in rules] + [SPORTS, FICTIONAL, NOISE]
     return m.filter("mark IS NOT NULL").groupBy("item").agg(*[F.max(F.col("mark") == k).alias(f"is_{k}") for k in marks])
 

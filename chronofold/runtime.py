@@ -50,6 +50,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def broadcast_or_merge(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast df when a count proves it small, else have the join sort and merge.  For narrow tables of many rows: their few
+    bytes in files would otherwise have Spark broadcast them, and every row pass through the driver."""
+    return F.broadcast(df) if small_enough(df, rows) else df.hint("merge")
+
+
 def keep_if(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on costly columns without computing them again.
 
