@@ -111,6 +111,8 @@ def page_points(text: Column, map_bodies: Column, strict: bool = False) -> Colum
 
 def wkt_point(wkt: Column) -> Column:
     """'POINT(lng lat)' to a point, else null."""
-    p = rf"(?i)^POINT\({WS}*(-?[\d.]+){WS}+(-?[\d.]+){WS}*\)\z"
-    w = trim_all(wkt)
-    return _point(leading_float(F.regexp_extract(w, p, 2)), leading_float(F.regexp_extract(w, p, 1)))
+    p = rf"(?i)^{WS}*POINT\({WS}*(-?[\d.]+{WS}+-?[\d.]+){WS}*\){WS}*\z"
+    # What is a number as a whole is what its leading number is.
+    number = lambda n: F.coalesce(n.try_cast("double"), leading_float(n))
+    pair = let(F.split(F.regexp_extract(wkt, p, 1), rf"{WS}+"), lambda s: F.transform(s, number))
+    return let(pair, lambda n: _point(F.get(n, F.lit(1)), F.get(n, F.lit(0))))

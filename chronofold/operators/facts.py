@@ -138,12 +138,12 @@ def place_points(items: DataFrame, claims: DataFrame, rules: list[CategoryRule])
     property leads to.  Points are read for these items alone, and each is parsed once."""
     spark = claims.sparkSession
     looks = spark.createDataFrame([(r.category, r.place) for r in rules if r.place != "none"], "category string, place string")
-    at = items.select("item", "category").distinct().join(F.broadcast(looks), "category")
+    at = cut(items.select("item", "category").distinct().join(F.broadcast(looks), "category"), "places")
     via = sorted({r.place for r in rules} - {"direct", "none"})
     where = at.filter("place = 'direct'").select("item", "category", F.col("item").alias("holder"))
     if via:
-        links = of_items(claims.filter(F.col("prop").isin(*via)), at).select("item", F.col("prop").alias("place"), F.col("value_item").alias("holder"))
-        where = where.unionByName(at.join(links, ["item", "place"]).select("item", "category", "holder"))
+        links = claims.filter(F.col("prop").isin(*via)).select("item", F.col("prop").alias("place"), F.col("value_item").alias("holder"))
+        where = where.unionByName(links.join(broadcast_if_small(at), ["item", "place"]).select("item", "category", "holder"))
     where = cut(where, "holders")
     held = of_items(claims.filter("prop = 'P625'"), where.select(F.col("holder").alias("item")))
     points = cut(held.select(F.col("item").alias("holder"), wkt_point(F.col("value_point")).alias("point")), "points")
@@ -215,7 +215,9 @@ def item_marks(claims: DataFrame, rules: list[CategoryRule], closure: DataFrame,
 
 def of_items(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the wanted items; the ids are sent to the scan when they are few."""
-    return df.join(broadcast_if_small(wanted.select("item").distinct()), "item", "left_semi")
+    ids = wanted.select("item").distinct()
+    # Counted before they are made distinct, which takes a shuffle that the join can use but a count cannot pass on.
+    return df.join(F.broadcast(ids) if small_enough(wanted) else ids, "item", "left_semi")
 
 
 def search(claims: DataFrame, edges: DataFrame, labels: DataFrame, descriptions: DataFrame, articles: DataFrame,

@@ -126,7 +126,7 @@ def claims(spark, sf):
             .unionAll(e.filter("id % 7 = 0").select(*row("P641", q(i), q(F.lit(1)))))
             .unionAll(e.select(*row("P106", q(i), q(i % 500))))
             .unionAll(e.filter("id % 17 = 0").select(*row("P1074", q(i), q(F.lit(1)))))
-            .unionAll(v.locations(spark, sf).select(*row("P625", q(F.col("entry_id")), value_point=F.concat(
+            .unionAll(v.points(spark, sf).select(*row("P625", q(F.col("entry_id")), value_point=F.concat(
                 F.lit("POINT("), two("lng"), F.lit(" "), two("lat"), F.lit(")"))))))
 
 

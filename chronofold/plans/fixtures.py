@@ -65,6 +65,12 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, lng, lat) of all locations, for work that does not ask for their place in the list."""
+    listed = F.col("entry_id").isNotNull() & F.col("l_linenumber").isNotNull() & F.col("l_partkey").isNotNull()
+    return _points(spark, sf_dir).filter(listed).select("entry_id", "lng", "lat")
+
+
 def locations(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """Point locations with their place in the entry's list, of the given entries only if asked for."""
     points = _points(spark, sf_dir)
