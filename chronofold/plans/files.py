@@ -1,15 +1,21 @@
 """Queries that write the derived tables in a file format and read them back."""
 
-from pyspark.sql import functions as F
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from chronofold.operators import catalog as C, routes as J, spatial as sp
 from chronofold.operators.facts import as_entries, merge_by_id
 from chronofold.plans import fixtures as v
 from chronofold.plans.places import shapes
 from chronofold.plans.registry import query
-from chronofold.runtime import shared_path
+from chronofold.runtime import cut, shared_path
 from chronofold.sources import dump, files, sinks
 
+# Rows of the longest document up to which one task sorts it.
+SORTED_BY_ONE = 200_000
+
 
 def written(spark, df, label):
     path = shared_path(spark, label)
@@ -101,17 +107,41 @@ def long_documents(spark, rows, head, tail, label, between=","):
 
     opening: what begins a group of records, before its first one; between stands between groups.
     """
-    first = rows.groupBy("doc").agg(F.min("seq").alias("first"))
+    first = cut(rows.groupBy("doc").agg(F.min("seq").alias("first"), F.count("*").alias("n")), f"{label}-first")
+    longest = first.agg(F.max("n")).first()[0] or 0
+    first = first.drop("n")
     opening = F.col("opening") if "opening" in rows.columns else F.lit(None).cast("string")
     head = F.lit(head) if isinstance(head, str) else head
     begins = F.concat(F.when(F.col("seq") == F.col("first"), head).when(opening.isNotNull(), between).otherwise(","), F.coalesce(opening, F.lit("")))
     lines = rows.join(F.broadcast(first), "doc").select("doc", F.lit(0).alias("end"), "seq", F.concat(begins, "value").alias("value"))
     ends = first.select("doc", F.lit(1), "first", F.lit(tail))
-    path = shared_path(spark, label)
-    lines.unionAll(ends).repartition("doc").sortWithinPartitions("doc", "end", "seq").select("value").write.text(path)
+    lines, path = lines.unionAll(ends), shared_path(spark, label)
+    if longest > SORTED_BY_ONE:
+        return long_files(spark, lines, path, label)
+    lines.repartition("doc").sortWithinPartitions("doc", "end", "seq").select("value").write.text(path)
     return path
 
 
+def long_files(spark, lines, path, label):
+    """A file for each doc in the order of (end, seq).  A file has one writer; sorted by it, a document would have to fit its memory.  So
+    many tasks sort, and the writer of a file copies their parts one behind the other."""
+    parts = shared_path(spark, f"{label}-parts")
+    lines.repartitionByRange("doc", "end", "seq").sortWithinPartitions("doc", "end", "seq").select("doc", "value").write.parquet(parts)
+    read = spark.read.schema(lines.select("doc", "value").schema)
+    docs = {}  # a row for each part and document
+    for r in sorted(read.parquet(parts).select("doc", F.col("_metadata.file_name").alias("part")).distinct().collect(), key=lambda r: r.part):
+        docs.setdefault(r.doc, []).append(r.part)
+
+    def copy(numbered):
+        n, (doc, names) = numbered
+        inside = [read.parquet(f"{parts}/{name}").filter(F.col("doc").eqNullSafe(F.lit(doc))).select("value") for name in names]
+        reduce(DataFrame.unionAll, inside).coalesce(1).write.text(f"{path}/{n}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(copy, enumerate(docs.items())))
+    return f"{path}/*"
+
+
 def feature_line(ring):
     return F.concat(F.lit("[["), F.array_join(F.transform(ring, lambda p: F.concat(
         F.lit("["), p["lng"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]"))), ","), F.lit("]]"))
