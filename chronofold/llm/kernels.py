@@ -193,6 +193,64 @@ class Circulant:
         return out.view(np.int64)
 
 
+#: Bits of a hash that order a set; the owner's number stands above them.
+PLACE = 44
+PLACES = U64((1 << PLACE) - 1)
+
+
+def placed(hashes: np.ndarray, owners: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Sorted distinct (owner, place) numbers of the hashes, but for those at bad; owners: below 2^19, one for each hash."""
+    c = hashes >> U64(64 - PLACE)
+    c |= owners << U64(PLACE)
+    c[bad] = U64(2**64 - 1)
+    c.sort()
+    c = c[:len(c) - len(bad)]
+    first = np.empty(len(c), bool)
+    first[:1] = True
+    np.not_equal(c[1:], c[:-1], out=first[1:])
+    return c[first]
+
+
+class Windows:
+    """Band keys from one order: each key is of the places that follow one of `bands` fixed points of a circle, `rows` of them.
+
+    Sets at similarity s share a key with probability s^rows a band, as MinHash has it, but bands that do not
+    overlap are drawn without replacement, which misses less.  For sets of at least LEAST.
+    """
+
+    LEAST = 64
+
+    def __init__(self, bands: int, rows: int) -> None:
+        self.bands, self.rows = bands, rows
+        self.points = np.array([(i << PLACE) // bands for i in range(bands)], U64)
+
+    def keys(self, c: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """One row of keys for each owner, in order; c as `placed` gives it."""
+        owners = owners.astype(U64)
+        lo = np.searchsorted(c, owners << U64(PLACE))
+        n = np.searchsorted(c, (owners + U64(1)) << U64(PLACE)) - lo
+        at = np.searchsorted(c, ((owners << U64(PLACE))[:, None] | self.points).ravel()).reshape(-1, self.bands) - lo[:, None]
+        out = np.zeros(at.shape, U64) + np.arange(1, self.bands + 1, dtype=U64) * ODD[40]
+        for j in range(self.rows):
+            out = mix(out + (c[(at + j) % n[:, None] + lo[:, None]] & PLACES) * ODD[41 + j])
+        return out.view(np.int64)
+
+
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Arrow list array from flat values."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+
+
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Arrow binary array of eight-byte numbers from flat values."""
+    offsets = np.concatenate([[0], np.cumsum(8 * lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, lengths) of what `packed` gives."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]].view(np.int64), np.diff(offsets) // 8

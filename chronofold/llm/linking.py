@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chronofold.llm.components import components
 from chronofold.runtime import Work, broadcast_if_small
@@ -55,6 +55,8 @@ class HubIndex:
     def linked(self, part: int, s: np.ndarray, percent: int) -> list[int]:
         """Hubs of other components that are near enough, one for each component."""
         if len(self.ids) == 1:
+            if 100 * min(len(s), len(self.values)) < percent * max(len(s), len(self.values)):
+                return []
             at = np.searchsorted(self.values, s)
             both = np.count_nonzero(self.values[np.minimum(at, len(self.values) - 1)] == s)
             near = both and part != self.parts[0] and 100 * both >= percent * (len(self.values) + len(s) - both)
@@ -98,9 +100,10 @@ def verified(needs: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
     return ordered.mapInArrow(compare, LINK)
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """The first round: every bucket's smallest id with the ids it meets in any bucket."""
-    pairs = members.where("hub != id").select(F.col("hub").alias("g"), "id").distinct()
+def _stars(members: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """The first round: every bucket's smallest id with the ids it meets in any bucket, and the given pairs."""
+    stars = members.where("hub != id").select(F.col("hub").alias("g"), "id")
+    pairs = (stars if pairs is None else stars.unionAll(pairs.select("u", "v"))).distinct()
     sizes = pairs.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     rows = (pairs.join(broadcast_if_small(sizes.where("salts > 1"), NARROW_ROWS), "g", "left")
             .select("g", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "id", F.lit(1).alias("side"), F.col("id").alias("component")))
@@ -109,10 +112,12 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int,
-           work: Work, several: int = HUBS) -> tuple[DataFrame, DataFrame]:
+           work: Work, several: int = HUBS, pairs: DataFrame | None = None, unit: Callable[[Column], Column] = lambda id_: id_) -> tuple[DataFrame, DataFrame]:
     """(id, component) of all linked ids and the edges (u, v) that tie them, over the pairs that share a bucket.
 
     members: (key, id, hub).  with_texts adds the text to a table with the column id.
+    pairs: (u, v) that are compared besides, in the first round.  unit: of an id, that of what it stands for; labels and
+    edges are of these, so ids of one unit are one.
 
     First each bucket's smallest id is compared with the others.  A bucket whose ids are
     then in one component is done.  In the others, the ids outside the bucket's
@@ -123,14 +128,17 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
     components stays uncompared, the rounds grow with the logarithm of the largest bucket, and
     a bucket's rows move once a round for each HUBS of its hubs, not once a pair.
     """
-    needs = work.cut(_stars(members), "needs")
-    edges = work.cut(verified(needs, with_texts, sets_of, percent), "links")  # later: what ties the components so far
+    def units(found: DataFrame) -> DataFrame:
+        return found.select(unit(F.col("u")).alias("u"), unit(F.col("v")).alias("v"))
+
+    needs = work.cut(_stars(members, pairs), "needs")
+    edges = work.cut(units(verified(needs, with_texts, sets_of, percent)), "links")  # later: what ties the components so far
     work.drop(needs)
     rest = members.where("hub != id").select("key", "id")
     while True:
         labels = work.cut(components(edges, work), "labels")
-        rows = work.cut(rest.join(broadcast_if_small(labels, NARROW_ROWS), "id", "left")
-                        .select("key", "id", F.coalesce("component", "id").alias("component")), "rows")
+        rows = work.cut(rest.withColumn("unit", unit(F.col("id"))).join(broadcast_if_small(labels.withColumnRenamed("id", "unit"), NARROW_ROWS), "unit", "left")
+                        .select("key", "id", F.coalesce("component", "unit").alias("component")), "rows")
         parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
         open_ = (parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
                  .where("parts > 1").select("key", "n", F.col("top.component").alias("top"), (F.col("n") - F.col("top.c")).alias("outside")))
@@ -150,7 +158,7 @@ def linked(members: DataFrame, with_texts: Callable[[DataFrame], DataFrame], set
         to_members = (live.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
                       .select(block(F.col("b")).alias("g"), F.pmod(F.xxhash64("id", F.lit(1)), salts).cast("int").alias("salt"), "id", F.lit(1).alias("side"), "component"))
         needs = work.cut(to_hubs.unionAll(to_members), "needs")
-        found = verified(needs, with_texts, sets_of, percent)
+        found = units(verified(needs, with_texts, sets_of, percent))
         more = work.cut(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).where("u != v").unionAll(found), "links")
         members = work.cut(live.where("not hub").select("key", "id"), "members")
         work.drop(needs, edges, labels, rows, open_)
