@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronofold.operators import search_kernels as K
 from chronofold.operators.filters import without_eras
 from chronofold.operators.spatial import containing
-from chronofold.operators.text_index import TextIndex, matching
+from chronofold.operators.text_index import TextIndex, holders
 from chronofold.runtime import broadcast_if_small, cut
 from chronofold.schema import CATEGORIES, DEFAULT_LIMIT
 
@@ -54,16 +55,20 @@ def _bucket(year):
     return F.floor(F.least(F.greatest(year, F.lit(BUCKET_FROM)), F.lit(BUCKET_TO)) / BUCKET_YEARS).cast("int")
 
 
+#: Columns by which a search looks at places.
+PLACED = ("lat_min", "lat_max", "lng_min", "lng_max", "inside", "outside")
+
+
 def _within_reach(q: DataFrame, held: DataFrame) -> DataFrame:
     """Searches with a text, each up to the bucket in which its limit is surely full: no entry that begins later is among its first rows.
 
     An entry that begins in a bucket before the search's last one and ends in one after its first one is in its years.  A search that
     looks at places keeps all its buckets.
     """
-    cells = held.filter("start_year IS NOT NULL AND end_year IS NOT NULL").groupBy("text", "category", "from_bucket", "to_bucket").agg(F.count("*").alias("n"))
+    cells = held.select(F.explode("nos").alias("no"), "category", "from_bucket", "to_bucket").groupBy("no", "category", "from_bucket", "to_bucket").agg(F.count("*").alias("n"))
     q = cut(q, "worded")
-    plain = q.filter(F.coalesce(*[F.col(c).cast("string") for c in ("lat_min", "lat_max", "lng_min", "lng_max", "inside", "outside")]).isNull())
-    sure = plain.join(cells, ["text", "category"]).filter("from_bucket < last_bucket AND to_bucket > query_bucket")
+    plain = q.filter(F.coalesce(*[F.col(c).cast("string") for c in PLACED]).isNull())
+    sure = plain.join(cells, ["no", "category"]).filter("from_bucket < last_bucket AND to_bucket > query_bucket")
     sure = sure.groupBy("query_id", "row_limit", "from_bucket").agg(F.sum("n").alias("n"))
     so_far = F.sum("n").over(W.partitionBy("query_id").orderBy("from_bucket"))
     full = sure.withColumn("n", so_far).filter("n >= row_limit").groupBy("query_id").agg(F.min("from_bucket").alias("reach"))
@@ -71,6 +76,23 @@ def _within_reach(q: DataFrame, held: DataFrame) -> DataFrame:
     return q.withColumn("last_bucket", F.least("last_bucket", F.greatest("query_bucket", F.coalesce("reach", "last_bucket")))).drop("reach")
 
 
+def _first_rows(q: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, id, slug, start_year, row_limit) of searches that look at no place: of each bucket, the first rows up to the limit.
+
+    The entries of a text and bucket go by in order, past all searches for them, so that no pair is made that a limit leaves out.
+    """
+    q = q.withColumn("bucket", F.explode(F.sequence("query_bucket", "last_bucket")))
+    asked = q.groupBy("no", "bucket", "query_id", "year_min", "year_max", "row_limit", "query_bucket").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    asked = cut(asked, "asked")
+    hits = held.withColumn("bucket", F.explode(F.sequence("from_bucket", F.greatest("from_bucket", "to_bucket")))).withColumn("no", F.explode("nos"))
+    hits = hits.join(broadcast_if_small(asked.select("no", "bucket").distinct()), ["no", "bucket"], "left_semi")
+    of = dict(held.dtypes) | dict(asked.dtypes)
+    columns = ["start_year", "slug", "id", "end_year", "category", "from_bucket", "query_id", "year_min", "year_max", "row_limit", "query_bucket", "categories"]
+    row = lambda df, kind: df.select("no", "bucket", F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(of[c]).alias(c) for c in columns])
+    rows = row(asked, 0).unionByName(row(hits, 1)).repartition("no", "bucket").sortWithinPartitions("no", "bucket", "kind", "start_year", "slug")
+    return rows.mapInArrow(K.first_rows, ", ".join(f"{c} {of[c]}" for c in ("query_id", "id", "slug", "start_year", "row_limit")))
+
+
 def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = None,
             boundaries: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """(query_id, rank, id, slug, start_year) of every search over one pass of the entries.
@@ -119,9 +141,18 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
         hit = met(e, q, ["category"])
     else:
         # A search with a text meets only the entries that hold it.
-        held = cut(e.join(matching(index, bounds.select("text")), "id"), "held")
-        worded = _within_reach(q.filter("text IS NOT NULL"), held)
-        hit = met(e, q.filter("text IS NULL"), ["category"]).unionByName(met(held, worded, ["category", "text"]))
+        texts, found = holders(index, bounds.select("text"))
+        held = cut(e.filter("start_year IS NOT NULL AND end_year IS NOT NULL").join(found, "id"), "held")
+        numbered = q.filter("text IS NOT NULL").join(broadcast_if_small(texts), "text")
+        worded = cut(_within_reach(numbered, held), "reach")
+        placed = F.coalesce(*[F.col(c).cast("string") for c in PLACED]).isNotNull()
+        hit = _first_rows(worded.filter(~placed), held).select("*", *[F.lit(None).cast("string").alias(c) for c in ("inside", "outside")])
+        if not worded.filter(placed).isEmpty():
+            each = held.withColumn("no", F.explode("nos")).drop("nos")
+            hit = hit.unionByName(met(each, worded.filter(placed), ["category", "no"]))
+        free = q.filter("text IS NULL")
+        if not free.isEmpty():
+            hit = hit.unionByName(met(e, free, ["category"]))
     if primary is not None and boundaries is not None:
         named = bounds.select(F.explode(F.array("inside", "outside")).alias("slug")).where("slug is not null").distinct()
         boundaries = boundaries.join(broadcast_if_small(named), "slug", "left_semi")
