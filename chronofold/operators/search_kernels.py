@@ -10,19 +10,19 @@ import pyarrow.compute as pc
 
 
 def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query_id, id, slug, start_year, row_limit): of each text and bucket, the first entries of each search, up to its limit.
+    """(query_id, id, slug, start_year, row_limit): of each share of a text and bucket, the first entries of each search, up to its limit.
 
-    Rows of a text and bucket come together: its searches (kind 0), their categories joined by commas, then its entries (kind 1) in
+    Rows of a share come together: its searches (kind 0), their categories joined by commas, then its entries (kind 1) in
     order of start year and slug.
     """
     now, asked, searches = None, [], None
     for batch in batches:
-        no, bucket, kind = (batch.column(c).to_numpy() for c in ("no", "bucket", "kind"))
-        ends = [*(np.flatnonzero((no[1:] != no[:-1]) | (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(no)] if len(no) else []
+        no, bucket, share, kind = keys = [batch.column(c).to_numpy() for c in ("no", "bucket", "share", "kind")]
+        ends = [*(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(no)] if len(no) else []
         lo = 0
         for hi in ends:
-            if now != (no[lo], bucket[lo]):
-                now, asked, searches = (no[lo], bucket[lo]), [], None
+            if now != (no[lo], bucket[lo], share[lo]):
+                now, asked, searches = (no[lo], bucket[lo], share[lo]), [], None
             if kind[lo] == 0:
                 asked.append(batch.slice(lo, hi - lo))
             elif asked:
@@ -32,7 +32,7 @@ def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Searches:
-    """The searches for one text and bucket, and how many rows each still takes."""
+    """The searches for a share, and how many rows each still takes."""
 
     def __init__(self, searches: pa.Table) -> None:
         column = lambda c: searches.column(c).to_numpy()

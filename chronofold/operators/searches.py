@@ -55,17 +55,19 @@ def _bucket(year):
     return F.floor(F.least(F.greatest(year, F.lit(BUCKET_FROM)), F.lit(BUCKET_TO)) / BUCKET_YEARS).cast("int")
 
 
+# Entries of a text and bucket that go past their searches in one task, about.
+A_TASK = 200_000
+
 #: Columns by which a search looks at places.
 PLACED = ("lat_min", "lat_max", "lng_min", "lng_max", "inside", "outside")
 
 
-def _within_reach(q: DataFrame, held: DataFrame) -> DataFrame:
+def _within_reach(q: DataFrame, cells: DataFrame) -> DataFrame:
     """Searches with a text, each up to the bucket in which its limit is surely full: no entry that begins later is among its first rows.
 
     An entry that begins in a bucket before the search's last one and ends in one after its first one is in its years.  A search that
-    looks at places keeps all its buckets.
+    looks at places keeps all its buckets.  cells: (no, category, from_bucket, to_bucket, n), how many entries hold a text.
     """
-    cells = held.select(F.explode("nos").alias("no"), "category", "from_bucket", "to_bucket").groupBy("no", "category", "from_bucket", "to_bucket").agg(F.count("*").alias("n"))
     q = cut(q, "worded")
     plain = q.filter(F.coalesce(*[F.col(c).cast("string") for c in PLACED]).isNull())
     sure = plain.join(cells, ["no", "category"]).filter("from_bucket < last_bucket AND to_bucket > query_bucket")
@@ -76,20 +78,24 @@ def _within_reach(q: DataFrame, held: DataFrame) -> DataFrame:
     return q.withColumn("last_bucket", F.least("last_bucket", F.greatest("query_bucket", F.coalesce("reach", "last_bucket")))).drop("reach")
 
 
-def _first_rows(q: DataFrame, held: DataFrame) -> DataFrame:
+def _first_rows(q: DataFrame, held: DataFrame, cells: DataFrame) -> DataFrame:
     """(query_id, id, slug, start_year, row_limit) of searches that look at no place: of each bucket, the first rows up to the limit.
 
     The entries of a text and bucket go by in order, past all searches for them, so that no pair is made that a limit leaves out.
+    Where they are many, they go by in several shares, past the searches each time.
     """
+    touched = lambda df: df.withColumn("bucket", F.explode(F.sequence("from_bucket", F.greatest("from_bucket", "to_bucket"))))
+    shares = touched(cells).groupBy("no", "bucket").agg(F.ceil(F.sum("n") / A_TASK).alias("shares"))
     q = q.withColumn("bucket", F.explode(F.sequence("query_bucket", "last_bucket")))
     asked = q.groupBy("no", "bucket", "query_id", "year_min", "year_max", "row_limit", "query_bucket").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    asked = cut(asked, "asked")
-    hits = held.withColumn("bucket", F.explode(F.sequence("from_bucket", F.greatest("from_bucket", "to_bucket")))).withColumn("no", F.explode("nos"))
-    hits = hits.join(broadcast_if_small(asked.select("no", "bucket").distinct()), ["no", "bucket"], "left_semi")
+    asked = cut(asked.join(broadcast_if_small(shares), ["no", "bucket"]), "asked")
+    hits = touched(held).withColumn("no", F.explode("nos")).join(broadcast_if_small(asked.select("no", "bucket", "shares").distinct()), ["no", "bucket"])
+    hits = hits.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+    asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     of = dict(held.dtypes) | dict(asked.dtypes)
     columns = ["start_year", "slug", "id", "end_year", "category", "from_bucket", "query_id", "year_min", "year_max", "row_limit", "query_bucket", "categories"]
-    row = lambda df, kind: df.select("no", "bucket", F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(of[c]).alias(c) for c in columns])
-    rows = row(asked, 0).unionByName(row(hits, 1)).repartition("no", "bucket").sortWithinPartitions("no", "bucket", "kind", "start_year", "slug")
+    row = lambda df, kind: df.select("no", "bucket", "share", F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(of[c]).alias(c) for c in columns])
+    rows = row(asked, 0).unionByName(row(hits, 1)).repartition("no", "bucket", "share").sortWithinPartitions("no", "bucket", "share", "kind", "start_year", "slug")
     return rows.mapInArrow(K.first_rows, ", ".join(f"{c} {of[c]}" for c in ("query_id", "id", "slug", "start_year", "row_limit")))
 
 
@@ -144,9 +150,11 @@ def run_all(bounds: DataFrame, entries: DataFrame, primary: DataFrame | None = N
         texts, found = holders(index, bounds.select("text"))
         held = cut(e.filter("start_year IS NOT NULL AND end_year IS NOT NULL").join(found, "id"), "held")
         numbered = q.filter("text IS NOT NULL").join(broadcast_if_small(texts), "text")
-        worded = cut(_within_reach(numbered, held), "reach")
+        cells = held.select(F.explode("nos").alias("no"), "category", "from_bucket", "to_bucket").groupBy("no", "category", "from_bucket", "to_bucket")
+        cells = cut(cells.agg(F.count("*").alias("n")), "cells")
+        worded = cut(_within_reach(numbered, cells), "reach")
         placed = F.coalesce(*[F.col(c).cast("string") for c in PLACED]).isNotNull()
-        hit = _first_rows(worded.filter(~placed), held).select("*", *[F.lit(None).cast("string").alias(c) for c in ("inside", "outside")])
+        hit = _first_rows(worded.filter(~placed), held, cells).select("*", *[F.lit(None).cast("string").alias(c) for c in ("inside", "outside")])
         if not worded.filter(placed).isEmpty():
             each = held.withColumn("no", F.explode("nos")).drop("nos")
             hit = hit.unionByName(met(each, worded.filter(placed), ["category", "no"]))
